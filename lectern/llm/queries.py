@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language_id, minhash, quality_classifier, quality_rules
+from lectern.llm import decontaminate, language_id, minhash, quality_classifier, quality_rules, warc
 from lectern.llm.sampling import held_out
+from lectern.llm.scratch import Scratch
 
 KEEP_FROM = 0.3
 
@@ -24,6 +25,16 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = Scratch(spark, "warc").keep(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
+    read = warc.read_archives(archives, payloads=False).where("kind = 'record'")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = language_id.train(documents)
@@ -45,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
+        op4_benchmark_decontamination,
+        op5_warc,
         op6_language_id,
         op8_minhash_near_dedup,
         op9_quality_rules,

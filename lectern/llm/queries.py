@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language_id, minhash, quality_classifier, quality_rules, warc
+from lectern.llm import chat, decontaminate, language_id, minhash, quality_classifier, quality_rules, url_filter, warc
 from lectern.llm.sampling import held_out
 from lectern.llm.scratch import Scratch
 
@@ -25,6 +25,17 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 
 
+def listed_hosts(pages: DataFrame) -> DataFrame:
+    """A stand-in for a block list: an eighth of the hosts of three labels or more, by their MD5."""
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("key")).distinct()
+    return hosts.where(F.substring(F.md5(F.encode("key", "UTF-8")), 1, 1).isin("0", "1") & F.col("key").rlike(r"\..*\."))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, listed_hosts(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,16 +63,67 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents, forest).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "anomaly")
 
 
+def op10_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return chat.preference_segments(conversations, chat.neighbours(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
+        op2_url_filter,
         op4_benchmark_decontamination,
         op5_warc,
         op6_language_id,
         op8_minhash_near_dedup,
         op9_quality_rules,
+        op10_chat_preference,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": r"""
+WITH p AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), q AS (
+  SELECT *,
+         CASE WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+              WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+              WHEN ends_with('.' || host, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+              WHEN ends_with('.' || host, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+              WHEN ends_with('.' || host, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+         substr(md5(host), 1, 1) IN ('0', '1') AND regexp_matches(host, '\..*\.') AS listed
+  FROM p
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict,
+       listed
+FROM q
+""",
+    "op10_chat_preference": """
+WITH t AS (
+  SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), said AS (
+  SELECT pair_id, turn, role, text, bool_or(side = 0) AS in_chosen, bool_or(side = 1) AS in_rejected FROM t GROUP BY ALL
+), differ AS (
+  SELECT pair_id, min(CASE WHEN NOT (in_chosen AND in_rejected) THEN turn END) AS first FROM said
+  GROUP BY pair_id HAVING bool_or(in_chosen) AND bool_or(in_rejected)
+), parts AS (
+  SELECT pair_id, 'prompt' AS part, turn, role, text FROM said JOIN differ USING (pair_id) WHERE coalesce(turn < first, true)
+  UNION ALL SELECT pair_id, 'chosen', turn, role, text FROM said JOIN differ USING (pair_id) WHERE turn >= first AND in_chosen
+  UNION ALL SELECT pair_id, 'rejected', turn, role, text FROM said JOIN differ USING (pair_id) WHERE turn >= first AND in_rejected
+), shown AS (
+  SELECT *, '<|im_start|>' || replace(role, '<|', '< |') || chr(10) AS header, replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS body,
+         part <> 'prompt' AND role = 'assistant' AS learned
+  FROM parts
+)
+SELECT pair_id, 2 * pair_id AS chosen_id, 2 * pair_id + 1 AS rejected_id, part, turn, role,
+       CASE WHEN learned THEN header ELSE header || body END AS masked, CASE WHEN learned THEN body ELSE '' END AS target
+FROM shown
+""",
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, language_id, minhash, quality_classifier, quality_rules, url_filter, warc
+from lectern.llm import chat, decontaminate, language_id, minhash, quality_classifier, quality_rules, sentencepiece, url_filter, warc
 from lectern.llm.sampling import held_out
 from lectern.llm.scratch import Scratch
 
@@ -53,6 +53,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = sentencepiece.encoded(documents, sentencepiece.load_vocabulary(), keep_text=False)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_benchmark_decontamination,
         op5_warc,
         op6_language_id,
+        op7_sentencepiece,
         op8_minhash_near_dedup,
         op9_quality_rules,
         op10_chat_preference,

@@ -13,7 +13,8 @@ time:
    one path on which every two neighbouring pieces are stable, that is, BPE would not have
    merged across their boundary. A position is reached by the edge whose start is reached and
    whose piece is stable behind the piece that reached the start.
-5. The words' tokens are put in the places of the words.
+5. The words' tokens are put in the places of the words. A worker keeps the tokens of a
+   bounded number of words, so that later batches index only the words it has not met.
 
 Characters outside the vocabulary become byte pieces. Decoding joins the pieces, turns marks
 to blanks and drops the first. The round trip is exact but for the mark character itself,
@@ -260,9 +261,45 @@ class Matcher:
             high[open_[~less]] = middle[~less]
 
 
+class KnownWords:
+    """Tokens of words met before, by the words' 64-bit hashes, in a table of one slot for each hash's top bits.
+
+    The first words to come stay, up to a bound; those beyond it, or in a slot that is
+    taken, are kept for the piece at hand only.
+    """
+
+    def __init__(self, bits: int = 20, words: int = 400_000) -> None:
+        self.shift, self.words = U64(64 - bits), words
+        self.keys, self.entry = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int64)
+        self.tokens, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fixed = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        slot = (hashes >> self.shift).astype(np.int64)
+        return np.where(self.keys[slot] == hashes, self.entry[slot], -1)
+
+    def add(self, hashes: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+        number = len(self.size) + np.arange(len(hashes))
+        self.begin = np.append(self.begin, len(self.tokens) + first[:-1])
+        self.size = np.append(self.size, np.diff(first))
+        self.tokens = np.append(self.tokens, tokens)
+        if len(self.size) <= self.words:
+            slot = (hashes >> self.shift).astype(np.int64)
+            free = self.entry[slot] < 0
+            self.keys[slot[free]], self.entry[slot[free]] = hashes[free], number[free]
+            self.fixed = len(self.size)
+        return number
+
+    def trim(self) -> None:
+        if len(self.size) > self.fixed:
+            self.tokens = self.tokens[: self.begin[self.fixed - 1] + self.size[self.fixed - 1] if self.fixed else 0]
+            self.begin, self.size = self.begin[: self.fixed], self.size[: self.fixed]
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
+        self.known = KnownWords()
         self.matcher = Matcher(vocabulary)
         self.mark_run: dict[int, list[int]] = {}
 
@@ -389,13 +426,19 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(piece.n_docs + 1, np.int64)
         ends = np.append(starts[1:], len(text))
-        marked = Piece(0, text, np.array([0, len(text)]))
-        _, at, inverse = np.unique(marked.span_hashes(starts, ends), return_index=True, return_inverse=True)
-        tokens, token_first = self._distinct(text, starts[at], ends[at])
-        counts = np.diff(token_first)[inverse]
-        total = np.append(0, np.cumsum(counts))
-        pick = np.repeat(token_first[:-1][inverse] - total[:-1], counts) + np.arange(int(total[-1]))
-        return tokens[pick], total[first]
+        hashes = Piece(0, text, np.array([0, len(text)])).span_hashes(starts, ends)
+        entry = self.known.find(hashes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            _, at, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+            at = new[at]
+            tokens, token_first = self._distinct(text, starts[at], ends[at])
+            entry[new] = self.known.add(hashes[at], tokens, token_first)[inverse]
+        pool, begin, size = self.known.tokens, self.known.begin[entry], self.known.size[entry]
+        total = np.append(0, np.cumsum(size))
+        out = pool[np.repeat(begin - total[:-1], size) + np.arange(int(total[-1]))]
+        self.known.trim()
+        return out, total[first]
 
     def _distinct(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words of one mark at most are matched; the few that begin with more are merged one by one."""
@@ -455,16 +498,26 @@ class Decoder:
         return out[keep], begins - np.searchsorted(drop, begins)
 
 
-def encoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", check: bool = True) -> DataFrame:
-    """documents with ids and, if check is set, round_trip: whether the ids decode to the text again."""
+_encoders: list[Encoder] = []
+
+
+def _worker_encoder(vocabulary: Vocabulary) -> Encoder:
+    """One encoder for a worker process, which lives on from task to task."""
+    if not _encoders or _encoders[0].vocabulary is not vocabulary:
+        _encoders[:] = [Encoder(vocabulary)]
+    return _encoders[0]
+
+
+def encoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", check: bool = True, keep_text: bool = True) -> DataFrame:
+    """documents with ids and, if check is set, round_trip: whether the ids decode to the text again. The text goes if keep_text is not set."""
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
-    kept = [f for f in documents.schema.fields if f.name not in ("ids", "round_trip")]
+    kept = [f for f in documents.schema.fields if f.name not in ("ids", "round_trip") and (keep_text or f.name != text)]
     schema = T.StructType(kept + (fields if check else fields[:1]))
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        encoder, decoder = _worker_encoder(shared.value), Decoder(shared.value)
         kind = arrow_type(fields[0].dataType)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
@@ -484,7 +537,8 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", ch
                     columns.append(pa.array(same, pa.bool_(), mask=missing))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return documents.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
+    used = names if text in names else [*names, text]
+    return documents.select(*[f"`{n}`" for n in used]).mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "text") -> DataFrame:

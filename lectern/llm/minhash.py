@@ -9,9 +9,13 @@ there, and two documents agree on a coordinate with their weighted Jaccard simil
 1. Documents of equal sets are one: the least id stands for them (`rep`).
 2. Representatives that agree on all rows of a band share a bucket. Each member of a bucket
    is paired with the bucket's least id, and pairs are checked on the whole sets.
-3. In buckets that still hold several components, members of different components are
-   paired and checked. So all pairs of a bucket are decided, either by a check or because
-   they are connected already.
+3. Members of buckets that still hold several components are joined exactly by the prefix
+   filter: the elements of each set are ordered by how many of these sets have them, rarest
+   first, and two sets can only be similar enough if they share an element of the prefix
+   that is as heavy as the similarity leaves open. Members of different components that do
+   are checked. So all pairs of a bucket are decided: by a check, by the filter, or because
+   they are connected already. Sets that differ from all others in many elements, as edited
+   copies in a large group do, have prefixes of elements that no other has.
 
 The chance that a pair of similarity s shares no bucket is (1 - s^rows)^bands; with the
 defaults 1e-4 at 0.8 and 1e-10 at 0.9.
@@ -28,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
@@ -213,6 +217,38 @@ def similar_pairs(pairs: DataFrame, documents: DataFrame, settings: Settings, sc
     return both.select("a", "b", "ea", "eb", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
+def prefix_pairs(rooted: DataFrame, documents: DataFrame, settings: Settings, scratch: Scratch, text: str, doc_id: str) -> DataFrame:
+    """Pairs (a, b) of ids with different roots whose sets share an element of both prefixes. rooted: (id, root)."""
+    texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.lower(F.col(text).cast("string")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for piece in text_pieces(batch.column(1)):
+                elements, counts, first = weighted_sets(piece, settings.words)
+                weights = _weights(counts, settings.weights)
+                sizes = np.diff(first)
+                whole = np.add.reduceat(np.append(weights, 0.0), np.minimum(first[:-1], len(weights))) * (sizes > 0)
+                owner = np.repeat(np.arange(piece.n_docs), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[piece.first + owner]), pa.array(elements.astype(np.int64)), pa.array(weights), pa.array(whole[owner])], names=["id", "element", "weight", "whole"])
+
+    rows = texts.join(_narrow(rooted.select("id"), settings), "id", "left_semi").mapInArrow(run, "id long, element long, weight double, whole double")
+    rows = scratch.keep(rows.dropDuplicates(["id", "element"]), "elements")
+    spread = rows.groupBy("element").agg(F.count("*").alias("spread")).where("spread > 1")
+    common = rows.join(spread, "element")
+    own = Window.partitionBy("id")
+    upto = own.orderBy("spread", "element").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # what no other set has comes first, so the suffix from an element on is made of common ones
+    after = F.sum("weight").over(own) - F.sum("weight").over(upto) + F.col("weight")
+    prefix = common.withColumn("after", after).where(F.col("after") >= F.lit(settings.similarity) * F.col("whole") - 1e-9)
+    heads = scratch.keep(prefix.select("id", "element").join(rooted, "id").select("element", "id", "root"), "prefixes")
+    several = heads.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("element")
+    heads = heads.join(several, "element", "left_semi")
+    x = heads.select("element", F.col("id").alias("a"), F.col("root").alias("ra"))
+    y = heads.select("element", F.col("id").alias("b"), F.col("root").alias("rb"))
+    return x.join(y, (x.element == y.element) & (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+
+
 def near_duplicates(documents: DataFrame, settings: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, class_id) for every row: the least id of the group of copies and near copies that it belongs to."""
     scratch = Scratch(documents.sparkSession, "near")
@@ -233,10 +269,8 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings(), text:
     # members of buckets that hold more than one component
     rooted = placed.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    loose = scratch.keep(rooted.join(mixed, "key", "left_semi").distinct(), "loose")
-    x = loose.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-    y = loose.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-    crossing = x.join(y, "key").where("ra <> rb AND a < b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    loose = scratch.keep(rooted.join(mixed, "key", "left_semi").select("id", "root").distinct(), "loose")
+    crossing = prefix_pairs(loose, documents, settings, scratch, text, doc_id).join(stars, ["a", "b"], "left_anti")
     crossing = scratch.keep(crossing, "crossing")
     if not crossing.isEmpty():
         links = scratch.keep(links.unionByName(similar_pairs(crossing, documents, settings, scratch, text, doc_id)), "links")

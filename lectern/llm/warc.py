@@ -31,6 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
+FEED = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -117,14 +118,16 @@ def parse_record(content: bytes, at: int) -> tuple[Record, int]:
 
 
 def _inflated(content: bytes, at: int) -> tuple[bytes, int]:
-    unpacker = zlib.decompressobj(31)
+    unpacker, plain, place = zlib.decompressobj(31), [], at
     try:
-        plain = unpacker.decompress(memoryview(content)[at:])
+        while not unpacker.eof and place < len(content):
+            plain.append(unpacker.decompress(content[place : place + FEED]))
+            place += FEED
     except zlib.error as e:
         raise Broken(f"gzip: {e}") from None
     if not unpacker.eof:
         raise Broken("gzip: the member does not end")
-    return plain, len(content) - len(unpacker.unused_data)
+    return b"".join(plain), min(place, len(content)) - len(unpacker.unused_data)
 
 
 def _read_at(content: bytes, at: int) -> tuple[list[Record], int]:

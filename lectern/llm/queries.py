@@ -41,7 +41,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = Scratch(spark, "warc").keep(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
+    archives = Scratch(spark, "warc").keep(warc.write_archives(table(spark, sf_dir, "pages")), "archives", compression="none")
     read = warc.read_archives(archives, payloads=False).where("kind = 'record'")
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

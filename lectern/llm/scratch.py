@@ -25,10 +25,10 @@ class Scratch:
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def keep(self, frame: DataFrame, name: str) -> DataFrame:
+    def keep(self, frame: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         self._n += 1
         path = f"{self.folder}/{self._n:03d}-{name}"
-        frame.write.parquet(path)
+        frame.write.parquet(path, compression=compression)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, frame: DataFrame) -> None:

@@ -38,7 +38,7 @@ FEED = 1 << 14
 class Settings:
     """archive_bytes: an archive is closed when it has so many. revisit_from: least payload that may be a revisit."""
 
-    archive_bytes: int = 8 << 20
+    archive_bytes: int = 1 << 20
     revisit_from: int = 0
     level: int = 6
     date: str = "2000-01-01T00:00:00Z"

@@ -277,3 +277,17 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings(), text:
         roots = components(links, scratch)
     classes = members.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     return classes.select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))
+
+
+def one_of_each(documents: DataFrame, settings: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """documents without copies and near copies: of each class the row with the least id stays.
+
+    Of repeated rows of that id one stays. Rows without an id cannot be told apart and stay.
+    """
+    scratch = Scratch(documents.sparkSession, "kept")
+    classes = scratch.keep(near_duplicates(documents, settings, text, doc_id).where("doc_id IS NOT NULL"), "classes")
+    dropped = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__id")).distinct()
+    rest = documents.join(_narrow(dropped, settings), F.col(doc_id).cast("long") == F.col("__id"), "left_anti")
+    if classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rest
+    return rest.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(rest.where(F.col(doc_id).isNull()))

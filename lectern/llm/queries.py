@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, language_id, minhash, quality_classifier, quality_rules, sentencepiece, url_filter, warc
+from lectern.llm import chat, decontaminate, language_id, minhash, pii, quality_classifier, quality_rules, sentencepiece, url_filter, warc
 from lectern.llm.sampling import held_out
 from lectern.llm.scratch import Scratch
 
@@ -36,6 +36,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed_hosts(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(documents, pii.train(documents))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", "spans")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_classifier,
         op2_url_filter,
+        op3_pii,
         op4_benchmark_decontamination,
         op5_warc,
         op6_language_id,

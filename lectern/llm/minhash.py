@@ -12,8 +12,8 @@ there, and two documents agree on a coordinate with their weighted Jaccard simil
 3. Members of buckets that still hold several components are joined exactly by the prefix
    filter: the elements of each set are ordered by how many of these sets have them, rarest
    first, and two sets can only be similar enough if they share an element of the prefix
-   that is as heavy as the similarity leaves open. Members of different components that do
-   are checked. So all pairs of a bucket are decided: by a check, by the filter, or because
+   that is as heavy as the similarity leaves open, and if enough weight lies ahead of it in
+   both. Members of different components that do are checked. So all pairs of a bucket are decided: by a check, by the filter, or because
    they are connected already. Sets that differ from all others in many elements, as edited
    copies in a large group do, have prefixes of elements that no other has.
 
@@ -241,12 +241,14 @@ def prefix_pairs(rooted: DataFrame, documents: DataFrame, settings: Settings, sc
     # what no other set has comes first, so the suffix from an element on is made of common ones
     after = F.sum("weight").over(own) - F.sum("weight").over(upto) + F.col("weight")
     prefix = common.withColumn("after", after).where(F.col("after") >= F.lit(settings.similarity) * F.col("whole") - 1e-9)
-    heads = scratch.keep(prefix.select("id", "element").join(rooted, "id").select("element", "id", "root"), "prefixes")
+    heads = scratch.keep(prefix.select("id", "element", "after", "whole").join(rooted, "id"), "prefixes")
     several = heads.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("element")
     heads = heads.join(several, "element", "left_semi")
-    x = heads.select("element", F.col("id").alias("a"), F.col("root").alias("ra"))
-    y = heads.select("element", F.col("id").alias("b"), F.col("root").alias("rb"))
-    return x.join(y, (x.element == y.element) & (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    x, y = (heads.select("element", F.col("id").alias(k), F.col("root").alias(f"r{k}"), F.col("after").alias(f"after_{k}"), F.col("whole").alias(f"whole_{k}")) for k in "ab")
+    # at the first common element, what lies ahead in either set bounds the common weight
+    needed = F.lit(settings.similarity / (1 + settings.similarity)) * (F.col("whole_a") + F.col("whole_b")) - 1e-9
+    alike = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (F.least("after_a", "after_b") >= needed)
+    return x.join(y, (x["element"] == y["element"]) & alike).select("a", "b").distinct()
 
 
 def near_duplicates(documents: DataFrame, settings: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.components import components
 from lectern.llm.scratch import Scratch
-from lectern.llm.textarrays import U64, Piece, mix, text_pieces
+from lectern.llm.textarrays import U64, Piece, mix, release, text_pieces
 
 HASH_BITS = 40
 _LOW = U64((1 << HASH_BITS) - 1)
@@ -102,7 +102,7 @@ def _throw(elements, weights, owners, reach, level, low, width, k, out) -> None:
     number = 0
     while len(seeds):
         limit = reach[owners]
-        steps = int(max(1, min(4096, 2_000_000 // len(seeds), np.ceil(limit.mean() * width))))
+        steps = int(max(1, min(4096, 500_000 // len(seeds), np.ceil(limit.mean() * width))))
         darts = mix(seeds[:, None] + np.arange(number, number + steps, dtype=U64)[None, :] * U64(0xD1342543DE82EF95), 1)
         gaps = -np.log(((darts >> U64(11)).astype(float) + 0.5) * 2.0**-53) / width
         gaps[:, 0] += ranks
@@ -152,6 +152,7 @@ def signatures(documents: DataFrame, settings: Settings, text: str = "text", doc
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * settings.bands, settings.bands), pa.int32()), pa.array(keys.ravel()))
                 ids = batch.column(0).slice(piece.first, piece.n_docs)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), bands], names=["id", "n", "set_a", "set_b", "bands"])
+            release()
 
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.lower(F.col(text).cast("string")).alias("text"))
     return rows.mapInArrow(run, "id long, n long, set_a long, set_b long, bands array<long>")
@@ -180,6 +181,7 @@ def packed_sets(texts: DataFrame, settings: Settings) -> DataFrame:
                 spans = list(zip(first[:-1], first[1:], strict=True))
                 columns = [batch.column(0).slice(piece.first, piece.n_docs), pa.array([_pack(elements[a:b]) for a, b in spans], pa.binary()), pa.array([counts[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "elements", "counts"])
+            release()
 
     return texts.select("id", "text").mapInArrow(run, "id long, elements binary, counts binary")
 
@@ -231,6 +233,7 @@ def prefix_pairs(rooted: DataFrame, documents: DataFrame, settings: Settings, sc
                 whole = np.add.reduceat(np.append(weights, 0.0), np.minimum(first[:-1], len(weights))) * (sizes > 0)
                 owner = np.repeat(np.arange(piece.n_docs), sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[piece.first + owner]), pa.array(elements.astype(np.int64)), pa.array(weights), pa.array(whole[owner])], names=["id", "element", "weight", "whole"])
+            release()
 
     rows = texts.join(_narrow(rooted.select("id"), settings), "id", "left_semi").mapInArrow(run, "id long, element long, weight double, whole double")
     rows = scratch.keep(rows.dropDuplicates(["id", "element"]), "elements")

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lectern.llm.textarrays import CONTINUATION, U64, Piece, arrow_type, text_pieces
+from lectern.llm.textarrays import CONTINUATION, U64, Piece, arrow_type, release, text_pieces
 
 #: Where the public tokenizers' files are; any SentencePiece BPE model with byte pieces will do.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -268,7 +268,7 @@ class KnownWords:
     taken, are kept for the piece at hand only.
     """
 
-    def __init__(self, bits: int = 20, words: int = 400_000) -> None:
+    def __init__(self, bits: int = 20, words: int = 300_000) -> None:
         self.shift, self.words = U64(64 - bits), words
         self.keys, self.entry = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int64)
         self.tokens, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -521,7 +521,7 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", ch
         kind = arrow_type(fields[0].dataType)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            for piece in text_pieces(pc.replace_substring(texts, MARK.decode(), " "), 1 << 21):
+            for piece in text_pieces(pc.replace_substring(texts, MARK.decode(), " ")):
                 ids, first = encoder.encode(piece)
                 missing = np.asarray(texts.slice(piece.first, piece.n_docs).is_null())
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32(), mask=np.append(missing, False)), pa.array(ids)).cast(kind)
@@ -536,6 +536,7 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", ch
                         same = np.array([data[at[d] : at[d + 1]].tobytes() == piece.data[piece.offsets[d] : piece.offsets[d + 1]].tobytes() for d in range(piece.n_docs)])
                     columns.append(pa.array(same, pa.bool_(), mask=missing))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+            release()
 
     used = names if text in names else [*names, text]
     return documents.select(*[f"`{n}`" for n in used]).mapInArrow(run, schema)

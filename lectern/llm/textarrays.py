@@ -8,6 +8,7 @@ UTF-8 never cuts a code point.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -171,6 +172,14 @@ def text_pieces(column: pa.Array, size: int = PIECE_BYTES) -> Iterator[Piece]:
         first = last
 
 
+def release() -> None:
+    """Gives freed memory back to the system; a worker that waits for its next task should not hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -207,5 +216,7 @@ def with_text_columns(
             new = [pa.concat_arrays(p) if p else pa.array([], k) for p, k in zip(parts, kinds, strict=True)]
             old = [batch.column(batch.schema.get_field_index(n)) for n in out_names]
             yield pa.RecordBatch.from_arrays(old + new, names=out_names + [f.name for f in added])
+            del batch, old, new, parts
+            release()
 
     return source.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from datetime import date
 
 import pandas as pd
@@ -30,15 +31,21 @@ def normalize(text: str | None) -> str:
     return " ".join(strip_accents(text).casefold().split()) if text else ""
 
 
-@F.pandas_udf("string")
-def strip_accents_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(strip_accents, na_action="ignore")
+def _each(one: Callable[[str | None], str], text: Column) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: one(t) if t is not None else None)
 
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(text)
 
-@F.pandas_udf("string")
-def normalize_udf(texts: pd.Series) -> pd.Series:
-    """Meant for distinct terms, which are few against the texts they come from."""
-    return texts.map(normalize)
+
+def without_accents(text: Column) -> Column:
+    return _each(strip_accents, text)
+
+
+def normalized(text: Column) -> Column:
+    """Meant for distinct terms, which are few against the texts they come from. Null is empty."""
+    return _each(normalize, F.coalesce(text, F.lit("")))
 
 
 def words(text: Column) -> Column:

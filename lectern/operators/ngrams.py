@@ -16,10 +16,14 @@ def ngrams(text: Column, n: int) -> Column:
 
 
 def word_ngrams(text: Column, n: int) -> Column:
-    tokens = X.words(text)
-    last = F.size(tokens) - n + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.array_join(F.slice(tokens, k, F.lit(n)), " "))
+    """All n-grams of words, joined by blanks. The words are bound once, as the only entry of an array."""
+
+    def grams(words: Column) -> Column:
+        last = F.size(words) - n + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.array_join(F.slice(words, k, F.lit(n)), " "))
+
+    return F.flatten(F.transform(F.array(X.words(text)), grams))
 
 
 def ngram_postings(documents: DataFrame, n: int = 3, unit: str = "char", text: str = "text") -> DataFrame:

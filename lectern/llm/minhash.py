@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.components import components
 from lectern.llm.scratch import Scratch
-from lectern.llm.textarrays import U64, Piece, mix, release, text_pieces
+from lectern.llm.textarrays import U64, Piece, bounded_batches, mix, release, text_pieces
 
 HASH_BITS = 40
 _LOW = U64((1 << HASH_BITS) - 1)
@@ -155,7 +155,7 @@ def signatures(documents: DataFrame, settings: Settings, text: str = "text", doc
             release()
 
     rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.lower(F.col(text).cast("string")).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, set_a long, set_b long, bands array<long>")
+    return bounded_batches(rows).mapInArrow(run, "id long, n long, set_a long, set_b long, bands array<long>")
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -183,7 +183,7 @@ def packed_sets(texts: DataFrame, settings: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "elements", "counts"])
             release()
 
-    return texts.select("id", "text").mapInArrow(run, "id long, elements binary, counts binary")
+    return bounded_batches(texts).select("id", "text").mapInArrow(run, "id long, elements binary, counts binary")
 
 
 def set_similarity(a: bytes, b: bytes, counts_a: bytes = b"", counts_b: bytes = b"") -> float:

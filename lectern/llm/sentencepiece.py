@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lectern.llm.textarrays import CONTINUATION, U64, Piece, arrow_type, release, text_pieces
+from lectern.llm.textarrays import CONTINUATION, U64, Piece, arrow_type, bounded_batches, release, text_pieces
 
 #: Where the public tokenizers' files are; any SentencePiece BPE model with byte pieces will do.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -539,7 +539,7 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", ch
             release()
 
     used = names if text in names else [*names, text]
-    return documents.select(*[f"`{n}`" for n in used]).mapInArrow(run, schema)
+    return bounded_batches(documents).select(*[f"`{n}`" for n in used]).mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "text") -> DataFrame:

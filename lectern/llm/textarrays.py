@@ -9,6 +9,7 @@ UTF-8 never cuts a code point.
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 PIECE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -180,6 +182,18 @@ def release() -> None:
         trim(0)
 
 
+def bounded_batches(frame: DataFrame) -> DataFrame:
+    """frame, in whose session no Arrow batch is filled beyond BATCH_BYTES from now on.
+
+    Spark's own bound is for numbers; batches of texts are held by both the executor and its
+    worker, as input and as output.
+    """
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(key, "0")) or 0) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return frame
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -219,4 +233,4 @@ def with_text_columns(
             del batch, old, new, parts
             release()
 
-    return source.mapInArrow(run, schema)
+    return bounded_batches(source).mapInArrow(run, schema)

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lectern.llm.textarrays import bounded_batches
+
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
 FEED = 1 << 14
@@ -200,7 +202,7 @@ def write_archives(pages: DataFrame, settings: Settings = Settings()) -> DataFra
         if members:
             yield closed()
 
-    return planned(pages, settings).mapInArrow(run, "archive string, content binary")
+    return bounded_batches(planned(pages, settings)).mapInArrow(run, "archive string, content binary")
 
 
 READ = "archive string, kind string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, gap_start long, gap_end long, reason string"
@@ -244,4 +246,4 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, wanted)
 
-    return archives.select(name, "content").mapInArrow(run, READ)
+    return bounded_batches(archives).select(name, "content").mapInArrow(run, READ)

@@ -9,7 +9,6 @@ UTF-8 never cuts a code point.
 from __future__ import annotations
 
 import ctypes
-import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -189,7 +188,8 @@ def bounded_batches(frame: DataFrame) -> DataFrame:
     worker, as input and as output.
     """
     conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", conf.get(key, "0")) or 0) > BATCH_BYTES:
+    bound = conf.get(key).lower().rstrip("b")
+    if not bound.isdecimal() or int(bound) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return frame
 

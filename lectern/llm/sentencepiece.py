@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lectern.llm.textarrays import CONTINUATION, U64, Piece, arrow_type, bounded_batches, release, text_pieces
+from lectern.llm.textarrays import CONTINUATION, U64, Piece, arrow_type, bounded_batches, kept_by_worker, release, text_pieces
 
 #: Where the public tokenizers' files are; any SentencePiece BPE model with byte pieces will do.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -498,14 +498,9 @@ class Decoder:
         return out[keep], begins - np.searchsorted(drop, begins)
 
 
-_encoders: list[Encoder] = []
-
-
 def _worker_encoder(vocabulary: Vocabulary) -> Encoder:
     """One encoder for a worker process, which lives on from task to task."""
-    if not _encoders or _encoders[0].vocabulary is not vocabulary:
-        _encoders[:] = [Encoder(vocabulary)]
-    return _encoders[0]
+    return kept_by_worker("encoder", lambda: Encoder(vocabulary), lambda e: e.vocabulary is vocabulary)
 
 
 def encoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", check: bool = True, keep_text: bool = True) -> DataFrame:
@@ -536,7 +531,7 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", ch
                         same = np.array([data[at[d] : at[d + 1]].tobytes() == piece.data[piece.offsets[d] : piece.offsets[d + 1]].tobytes() for d in range(piece.n_docs)])
                     columns.append(pa.array(same, pa.bool_(), mask=missing))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
-            release()
+            release("encoder")
 
     used = names if text in names else [*names, text]
     return bounded_batches(documents).select(*[f"`{n}`" for n in used]).mapInArrow(run, schema)

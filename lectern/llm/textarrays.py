@@ -173,8 +173,25 @@ def text_pieces(column: pa.Array, size: int = PIECE_BYTES) -> Iterator[Piece]:
         first = last
 
 
-def release() -> None:
-    """Gives freed memory back to the system; a worker that waits for its next task should not hold it."""
+_kept: dict[str, object] = {}
+
+
+def kept_by_worker(key: str, make: Callable[[], object], fresh: Callable[[object], bool]) -> object:
+    """What a worker process keeps from task to task: one object, until release() is called for another key."""
+    if key not in _kept or not fresh(_kept[key]):
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release(key: str = "") -> None:
+    """Gives memory back to the system; a worker that waits for its next task should not hold it.
+
+    Tables of powers go, and what is kept for other keys.
+    """
+    _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
+    for other in [k for k in _kept if k != key]:
+        del _kept[other]
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -106,7 +106,7 @@ def classes_of(items: list[tuple[int | None, int, np.ndarray]], settings: Settin
     for item_id, run, hashes in items:
         if len(hashes):
             groups[run, len(hashes).bit_length() - 1].append((item_id, hashes))
-    return [ItemClass(run, size, load(math.ceil(settings.containment * 2**size), settings.miss), own) for (run, size), own in sorted(groups.items(), key=lambda x: x[0])]
+    return [ItemClass(run, size, load(math.ceil(settings.containment * 2**size - 1e-9), settings.miss), own) for (run, size), own in sorted(groups.items(), key=lambda x: x[0])]
 
 
 def candidates(hashes: np.ndarray, docs: np.ndarray, n_docs: int, kind: ItemClass) -> set[tuple[int, int]]:
@@ -144,7 +144,7 @@ def search(piece: Piece, kinds: list[ItemClass], settings: Settings) -> list[lis
             for d, number in sorted(candidates(hashes, docs, piece.n_docs, kind)):
                 item_id, wanted = kind.items[number]
                 shared = int(np.isin(wanted, hashes[first[d] : first[d + 1]]).sum())
-                if shared >= settings.containment * len(wanted):
+                if shared >= settings.containment * len(wanted) - 1e-9:
                     hits[d].append({"item_id": item_id, "n_shared": shared, "n_item": len(wanted)})
     return hits
 

@@ -159,9 +159,11 @@ def train(documents: DataFrame, settings: Settings = Settings()) -> Model | None
     """
     bits = settings.bits
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & may_learn(F.col("doc_id")))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).select("lang")
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages)
     place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.join(F.broadcast(common), "lang").withColumn("place", F.row_number().over(place)).where(F.col("place") <= settings.per_language).select("doc_id", F.col("lang").alias("language")).distinct()
+    # of a language's ids only a share that should hold four times the wanted ones goes on to be ranked
+    share = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.col("count") < 4 * settings.per_language + 100
+    ids = rows.join(F.broadcast(common), "lang").where(share).withColumn("place", F.row_number().over(place)).where(F.col("place") <= settings.per_language).select("doc_id", F.col("lang").alias("language")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     chosen = texts.join(F.broadcast(ids), "doc_id").where(F.col("lang") == F.col("language"))
 

@@ -96,6 +96,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+SHINGLES_SQL = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_url_filter": r"""
 WITH p AS (
@@ -117,6 +121,33 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict,
        listed
 FROM q
+""",
+    # for items of five words or more
+    "op4_benchmark_decontamination": SHINGLES_SQL
+    + r"""
+, v AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM v),
+n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id),
+h AS (SELECT doc_id, item_id, count(*) AS n_shared FROM x JOIN q USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM h JOIN n USING (item_id) WHERE 5 * n_shared >= 4 * n_item
+""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+l AS (SELECT h, payload_bytes, max(page_id) AS last FROM k GROUP BY ALL)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM k JOIN l USING (h, payload_bytes)
+""",
+    "op8_minhash_near_dedup": SHINGLES_SQL.replace("WITH w", "WITH RECURSIVE w")
+    + """
+, n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE 5 * c >= 4 * (m.n + k.n - c)),
+link AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT link.b, r.root FROM r JOIN link ON link.a = r.doc_id WHERE r.root < link.b)
+SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id
 """,
     "op10_chat_preference": """
 WITH t AS (

@@ -37,7 +37,7 @@ def test_queries_with_sql(spark, tmp_path, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     QUERIES[name](spark, FOLDER).write.parquet(f"{tmp_path}/out")
     columns = ", ".join(sorted(c.sql(ORACLES[name]).columns))

@@ -31,7 +31,8 @@ def run_batch(queries: list[tuple[str, ParsedQuery]], index: Index, scorer: Scor
     if fallback == "all":
         unmatched = filters.join(scores.select("qid").distinct(), "qid", "left_anti")
         one = F.lit(1).alias("__one")
-        bare = index.documents.select("*", one).join(unmatched.select("*", one), "__one").drop("__one").withColumn("score", F.lit(0.0))
+        # no more rows than the batch has queries, which the driver holds
+        bare = index.documents.select("*", one).join(F.broadcast(unmatched.select("*", one)), "__one").drop("__one").withColumn("score", F.lit(0.0))
         found = found.unionByName(bare.select(*found.columns))
     kept = found.where(passes_filters())
     words = [(qid, t) for qid, q in queries for t in q.exclusions]

@@ -358,10 +358,12 @@ def train(documents: DataFrame, settings: Settings = Settings()) -> Model:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digit = text.rlike("[0-9@]")
     rows = documents.select(text.alias("text")).where("text <> ''")
-    most = settings.sample
+    most, n = settings.sample, max(1, documents.count())
     parts = []
     for which, number in ((digit, most * 2 // 3), (~digit, most // 3)):
-        chosen = rows.where(which).select("text", F.xxhash64("text").alias("h"))
+        # a share of the rows that should hold many more than are wanted, though few have a digit
+        few = (F.col("h") / F.lit(2.0**64) + 0.5) * n < 64 * number + 1000
+        chosen = rows.select("text", F.xxhash64("text").alias("h")).where(few).where(which)
         keys = chosen.select("h").distinct().orderBy("h").limit(number)
         around = F.slice(F.regexp_extract_all("text", F.lit(r"(?s).{0,200}[0-9@].{0,200}"), 0), 1, 20)
         pieces = F.when(which, around).otherwise(F.array(F.substring("text", 1, 400)))

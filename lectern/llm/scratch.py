@@ -8,17 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where that is unset, as in tests, a temporary folder of the driver."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
+        folder = _own[app]
     return folder.rstrip("/")
 
 
 class Scratch:
-    """Tables written as Parquet and read again, which cuts lineage and survives lost executors."""
+    """Tables written as Parquet and read again, which cuts lineage and survives lost executors.
+
+    Those that a result still reads stay in the folder; it may go when the result is written.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark

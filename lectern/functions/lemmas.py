@@ -20,6 +20,10 @@ class Lemmatizer(ABC):
     @abstractmethod
     def lemma(self, surface: str) -> str: ...
 
+    def column(self, surface: Column) -> Column | None:
+        """The term as an expression of the surface, if there is one; it saves joins and shuffles."""
+        return None
+
     def lemmas(self, text: str) -> list[str]:
         import regex
 
@@ -29,8 +33,11 @@ class Lemmatizer(ABC):
 class LowerCase(Lemmatizer):
     """A surface's term is its lower-case form."""
 
+    def column(self, surface: Column) -> Column:
+        return F.lower(surface)
+
     def apply(self, tokens: DataFrame) -> DataFrame:
-        return tokens.withColumn("term", F.lower("surface"))
+        return tokens.withColumn("term", self.column(F.col("surface")))
 
     def lemma(self, surface: str) -> str:
         return surface.lower()

@@ -38,9 +38,22 @@ def term_counts(tokens: DataFrame) -> DataFrame:
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
-    """Documents that have a term in any zone. A zone's row of a document counts half if both zones have it."""
-    per_document = counts.groupBy("term", "doc_id").agg(F.lit(1).alias("one"))
-    return per_document.groupBy("term").agg(F.count("*").alias("df"))
+    """Documents that have a term in any zone, from the counts of their zones."""
+    return counts.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+
+
+def frequencies_of(documents: DataFrame, lemmatizer: Lemmatizer | None = None) -> DataFrame:
+    """As document_frequencies, from documents with an id each.
+
+    Where a term is an expression of its surface, a document's distinct terms are found
+    within its row, and only partial counts of terms are shuffled.
+    """
+    lemmatizer = lemmatizer or LowerCase()
+    if lemmatizer.column(F.lit("")) is None:
+        return document_frequencies(term_counts(tokens_of(documents, lemmatizer)))
+    words = F.concat(*[X.surfaces(F.coalesce(F.col(z), F.lit(""))) for z in ZONES])
+    terms = documents.select(F.explode(F.array_distinct(F.transform(words, lemmatizer.column))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def with_idf(frequencies: DataFrame, n: Column) -> DataFrame:
@@ -59,6 +72,11 @@ def document_lengths(documents: DataFrame, counts: DataFrame) -> DataFrame:
     return documents.select("doc_id").join(sums, "doc_id", "left").select("doc_id", *[F.coalesce(f"len_{z}", F.lit(0)).cast("long").alias(f"len_{z}") for z in ZONES])
 
 
+def lengths_of(documents: DataFrame) -> DataFrame:
+    """As document_lengths, from the documents alone, without a shuffle."""
+    return documents.select("doc_id", *[F.size(X.surfaces(F.coalesce(F.col(z), F.lit("")))).cast("long").alias(f"len_{z}") for z in ZONES])
+
+
 def corpus_statistics(lengths: DataFrame) -> DataFrame:
     """One row: n and the mean lengths, 0 for an empty corpus."""
     means = [F.coalesce(F.try_divide(F.sum(f"len_{z}"), F.count("*")), F.lit(0.0)).cast("double").alias(f"avg_len_{z}") for z in ZONES]
@@ -130,10 +148,10 @@ class Index:
     def build(cls, documents: DataFrame, lemmatizer: Lemmatizer | None = None, threshold: float = NOISE_THRESHOLD, seeds: tuple[str, ...] = SEED_NOISE) -> Index:
         tokens = tokens_of(documents, lemmatizer)
         counts = term_counts(tokens)
-        lengths = document_lengths(documents, counts)
+        lengths = lengths_of(documents)
         statistics = corpus_statistics(lengths)
         n = documents.agg(F.count("*").alias("n")).scalar()
-        vocabulary = with_idf(document_frequencies(counts), n)
+        vocabulary = with_idf(frequencies_of(documents, lemmatizer), n)
         postings = postings_of(counts, vocabulary)
         return cls(documents, postings, vocabulary, lengths, statistics, surface_forms(tokens), noise_terms(greatest_weights(postings), threshold, seeds))
 

@@ -74,7 +74,7 @@ def counts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocabulary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
-    return I.with_idf(I.document_frequencies(counts_of(spark, sf_dir)), n)
+    return I.with_idf(I.frequencies_of(documents_of(spark, sf_dir)), n)
 
 
 def postings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ def token_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(DF_SQL + "SELECT * FROM df")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2."""
-    return I.document_frequencies(counts_of(spark, sf_dir))
+    return I.frequencies_of(documents_of(spark, sf_dir))
 
 
 @query(DF_SQL + "SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -165,7 +165,7 @@ def postings_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(LEN_SQL + "SELECT * FROM len")
 def doc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4."""
-    return I.document_lengths(documents_of(spark, sf_dir), counts_of(spark, sf_dir))
+    return I.lengths_of(documents_of(spark, sf_dir))
 
 
 @query(LEN_SQL + "SELECT count(*) AS n, round(avg(len_titre), 6) AS avg_len_titre, round(avg(len_texte), 6) AS avg_len_texte FROM len")

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lectern.llm.textarrays import CONTINUATION, U64, Piece, arrow_type, bounded_batches, kept_by_worker, release, text_pieces
+from lectern.llm.textarrays import CONTINUATION, PIECE_BYTES, U64, Piece, arrow_type, bounded_batches, kept_by_worker, release, text_pieces
 
 #: Where the public tokenizers' files are; any SentencePiece BPE model with byte pieces will do.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -516,7 +516,7 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", ch
         kind = arrow_type(fields[0].dataType)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            for piece in text_pieces(pc.replace_substring(texts, MARK.decode(), " ")):
+            for piece in text_pieces(pc.replace_substring(texts, MARK.decode(), " "), PIECE_BYTES // 2):
                 ids, first = encoder.encode(piece)
                 missing = np.asarray(texts.slice(piece.first, piece.n_docs).is_null())
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32(), mask=np.append(missing, False)), pa.array(ids)).cast(kind)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 BATCH_BYTES = 8 << 20
 
 U64 = np.uint64

@@ -12,7 +12,7 @@ from lectern.streaming.ingest import StreamingIndexer, event_counts
 PAGE = """<html><head><title>2011/06/21&nbsp;&gt; BE France&nbsp;258&nbsp;&gt; Physique</title></head><body>
 <span class="style15">http://x/67068.htm</span><span class="style15">21/06/2011</span>
 <span class="style42">21/06/2011</span><span class="style42">Focus</span><span class="style17"> Un titre &eacute; </span>
-<table><tr><td><span class="style28">R&eacute;dacteur :</span><td>ADIT - Jean Dupont - email : x@y.fr
+<table><tr><td><span class="style28">R&eacute;dacteur :</span><td>Service - Jean Dupont - email : x@y.fr
 <tr><td><span class="style28">Pour en savoir plus, contacts :</span></td><td> Institut </td></tr></table>
 <p class="style96"><span class="style95">Premier texte,<br>suite.</span><p class="style96"><img style="x;margin-bottom:5px" src="a.jpg"><span class="style95">Second.</span></p>
 <p class="style96 x"><span class="style95">pas celui-ci</span></p></body></html>"""

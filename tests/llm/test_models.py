@@ -222,6 +222,53 @@ def test_the_tagger_adds_what_the_patterns_miss(tagger):
     assert pii.spans_of([mixed], tagger, pii.Settings())[0][1]["email"] == brute_spans(mixed)["email"]
 
 
+def test_the_tagger_reads_texts_without_a_digit_or_an_at_sign(tagger):
+    filler = " ".join(prose(5, 40))
+    text = f"{filler} jane at example dot org {filler}"
+    assert not re.search("[0-9@]", text)
+    assert "jane at example dot org" in [text[a:b] for a, b, _, _ in pii.added_spans([text], tagger, pii.Settings())[0]]
+
+
+def test_digits_of_all_scripts_are_one_class():
+    assert pii.classes_of("５٣१7𝟗＠").tolist() == pii.classes_of("11111@").tolist()
+
+
+def _planted(monkeypatch, a, b, text):
+    """added_spans with a tagger that is sure of the stretch a to b of the text."""
+
+    def all_windows(model, prepared, windows):
+        return np.ones(len(windows), bool)
+
+    def tags_of(model, windows):
+        tags = np.zeros(windows.shape, np.int64)
+        for row in range(len(windows)):
+            own = np.arange(row * 48, row * 48 + 96)
+            inside = (own >= a) & (own < b)
+            tags[row, inside] = 2
+            if inside.any():
+                tags[row, inside.argmax()] = 1
+        return tags, np.full(windows.shape, 0.95)
+
+    monkeypatch.setattr(pii, "_has_span", all_windows)
+    monkeypatch.setattr(pii, "_window_spans", tags_of)
+    s = pii.Settings()
+    model = pii.fit(np.zeros((1, 4), np.int64), np.zeros((1, 4), np.int64), pii.Settings(epochs=0))
+    return pii.added_spans([text], model, s)[0]
+
+
+@pytest.mark.parametrize(("a", "b"), [(10, 20), (40, 110), (48, 96), (30, 300), (0, 400), (96, 400), (47, 97), (95, 144)])
+def test_spans_are_joined_across_windows(monkeypatch, a, b):
+    assert [x[:3] for x in _planted(monkeypatch, a, b, "x" * 400)] == [(a, b, 0)]
+
+
+def test_the_screen_keeps_every_window_with_a_span(tagger):
+    texts = [" ".join(prose(k, 30)) + f" jane at example dot org {k}4111111111111111 (555) 123-4567 " + " ".join(prose(k + 90, 30)) for k in range(40)]
+    windows = np.concatenate([w for w, _ in pii._windows_of([pii.classes_of(t) for t in texts], 96, 48)])
+    tags, _ = pii._window_spans(tagger, windows)
+    some = (tags > 0).any(axis=1)
+    assert some.any() and not (some & ~pii._has_span(tagger, pii._prepared(tagger), windows)).any()
+
+
 def test_personal_data_on_odd_rows(spark, tagger):
     docs = odd_documents(spark, [*ODD, (9, "mail x@y.org and 10.0.0.1, +1 (555) 123-4567, 4111 1111 1111 1111!", "en", "s", 1)])
     out = {r["doc_id"]: r for r in pii.detect(docs, tagger).collect()}

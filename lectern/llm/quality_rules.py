@@ -8,7 +8,7 @@ Null and empty texts have no words, so the base rule drops them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,11 +26,12 @@ _MARK = np.zeros(256, bool)
 _MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 3
+BINS = 1 << 17
 
 
 @dataclass(frozen=True)
 class Settings:
-    """per_class: most labelled documents of a class used. cost: rejected good documents that one caught bad document may not cost, as shares of their classes. impure: share of bad rows among those the forest grows on, so that it splits on what only they vary in."""
+    """per_class: most labelled documents of a class the forest grows on. cost: rejected good documents that one caught bad document may not cost, as shares of their classes. impure: share of bad rows among those the forest grows on, so that it splits on what only they vary in."""
 
     per_class: int = 2000
     trees: int = 100
@@ -150,20 +151,30 @@ def anomaly(forest: Forest, rows: np.ndarray) -> np.ndarray:
     return 2 ** (-paths / len(forest.split) / forest.norm)
 
 
-def calibrated(forest: Forest, rows: np.ndarray, good: np.ndarray, cost: float) -> Forest:
-    """The threshold that gains most: share of bad rows above it, less cost times that of good rows; none if nothing is gained."""
-    if good.all() or not good.any():
+def calibrated_on(forest: Forest, counts: list[tuple[float, float, int, int]], cost: float) -> Forest:
+    """The threshold that gains most: share of bad rows above it, less cost times that of good rows; none if nothing is gained.
+
+    counts: (least score, end of scores, good rows, bad rows) of ranges of scores that do not overlap.
+    """
+    rows = sorted(counts, reverse=True)
+    good, bad = (np.array([r[k] for r in rows], float) for k in (2, 3))
+    if not good.sum() or not bad.sum():
         return forest
-    scores = anomaly(forest, rows)
-    order = np.argsort(-scores, kind="stable")
-    gain = np.cumsum(np.where(good[order], -cost / good.sum(), 1 / (~good).sum()))
-    last = np.append(scores[order][1:] < scores[order][:-1], True)
-    gain[~last] = -np.inf
+    gain = np.cumsum(bad / bad.sum() - cost * good / good.sum())
     best = int(np.argmax(gain))
     if gain[best] <= 0:
         return forest
-    below = scores[order][best + 1] if best + 1 < len(order) else 0.0
-    return Forest(forest.feature, forest.split, forest.length, forest.depth, forest.norm, float((scores[order][best] + below) / 2))
+    below = rows[best + 1][1] if best + 1 < len(rows) else 0.0
+    return replace(forest, threshold=float((rows[best][0] + below) / 2))
+
+
+def calibrated(forest: Forest, rows: np.ndarray, good: np.ndarray, cost: float) -> Forest:
+    """calibrated_on for rows at hand."""
+    if not len(rows):
+        return forest
+    scores, at = np.unique(anomaly(forest, rows), return_inverse=True)
+    n_good, n = np.bincount(at[good], minlength=len(scores)), np.bincount(at, minlength=len(scores))
+    return calibrated_on(forest, list(zip(scores, scores, n_good, n - n_good, strict=True)), cost)
 
 
 def failed(base: np.ndarray) -> np.ndarray:
@@ -171,13 +182,15 @@ def failed(base: np.ndarray) -> np.ndarray:
 
 
 def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Forest | None:
-    """A forest grown on good labelled rows and a few bad ones, its threshold set on all labelled rows; at most 2 * per_class of them.
+    """A forest grown on good labelled rows and a few bad ones, at most 2 * per_class of them; its threshold is set on all labelled rows.
 
     Rows that the base rule drops take no part. Without good rows there is no forest, and
-    the base rule decides alone.
+    the base rule decides alone. The driver gets counts by ranges of 1 / BINS of the score,
+    so as many as there are ranges at most.
     """
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = labelled_ids(labels, "quality", settings.per_class, learnable=False)
-    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    chosen = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
 
     def make():
         def compute(piece: Piece):
@@ -192,7 +205,19 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     if not good.any():
         return None
     few = rows[~good][: int(np.ceil(settings.impure * good.sum()))]
-    return calibrated(grow(np.concatenate([rows[good], few]), settings), rows, good, settings.cost)
+    forest = grow(np.concatenate([rows[good], few]), settings)
+
+    def score():
+        def compute(piece: Piece):
+            base = base_statistics(piece)
+            return [failed(base), np.floor(anomaly(forest, rule_statistics(piece, base)) * BINS).astype(np.int64)]
+
+        return compute
+
+    every = labelled_ids(labels, "quality", None, learnable=False)
+    scored = with_text_columns(texts.join(every, "doc_id").select("text", "label"), "text", [T.StructField("failed", T.BooleanType()), T.StructField("bin", T.LongType())], score)
+    counts = scored.where(~F.col("failed")).groupBy("bin").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") != 1).alias("bad")).collect()
+    return calibrated_on(forest, [(r["bin"] / BINS, (r["bin"] + 1) / BINS, r["good"], r["bad"]) for r in counts], settings.cost)
 
 
 def judge(documents: DataFrame, forest: Forest | None, text: str = "text") -> DataFrame:

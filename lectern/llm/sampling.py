@@ -16,8 +16,8 @@ def may_learn(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(False))
 
 
-def labelled_ids(labels: DataFrame, label: str, per_class: int, learnable: bool = True) -> DataFrame:
-    """(doc_id, label) of at most per_class ids of each class 0 and 1, the first by a hash of the id.
+def labelled_ids(labels: DataFrame, label: str, per_class: int | None, learnable: bool = True) -> DataFrame:
+    """(doc_id, label) of at most per_class ids of each class 0 and 1, the first by a hash of the id; all ids if per_class is None.
 
     An id with several labels counts as 1 if any is 1; null labels are left out.
     """
@@ -25,5 +25,7 @@ def labelled_ids(labels: DataFrame, label: str, per_class: int, learnable: bool
     if learnable:
         rows = rows.where(may_learn(F.col("doc_id")))
     ids = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+    if per_class is None:
+        return ids
     parts = [ids.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     return parts[0].unionByName(parts[1])

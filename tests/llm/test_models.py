@@ -77,6 +77,20 @@ def test_isolation_forest_finds_what_lies_apart():
     assert odd[~good].all() and odd[good].mean() < 0.01
 
 
+def test_the_threshold_is_set_on_all_labelled_rows(spark, monkeypatch):
+    seen = []
+    whole = quality_rules.calibrated_on
+    monkeypatch.setattr(quality_rules, "calibrated_on", lambda forest, counts, cost: seen.append(counts) or whole(forest, counts, cost))
+    rows = [(k, " ".join(prose(k, 60)) + " #" * (k % 5 if k < 60 else 60)) for k in range(80)]
+    docs = spark.createDataFrame([(k, t) for k, t in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k < 60)) for k, _ in rows], "doc_id long, quality int")
+    kept = [k for k, t in rows if not quality_rules.failed(np.array([brute_base(t)]))[0]]
+    forest = quality_rules.train(docs, marks, quality_rules.Settings(per_class=5))
+    assert [sum(r[j] for r in seen[0]) for j in (2, 3)] == [sum(k < 60 for k in kept), sum(k >= 60 for k in kept)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, forest).collect()}
+    assert sum(not got[k]["kept"] for k in kept if k < 60) <= 60 / 200
+
+
 def test_rules_on_odd_rows(spark):
     docs = odd_documents(spark)
     for frame in (docs, docs.limit(0)):

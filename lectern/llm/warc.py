@@ -7,7 +7,11 @@ content): Spark commits them as a whole, so lost executors leave nothing half-wr
 The reader checks every member (gzip's own sum), version line, header block, length and
 block digest. Where a check fails it looks for the next place at which a member (1f 8b 08)
 or a version line (WARC/1.) begins and goes on there if a record can be read; the bytes
-between are logged as a quarantined gap. Uncompressed archives are read as well.
+between are logged as a quarantined gap. Uncompressed archives are read as well. A member that
+is cut short or damaged gives what it inflates to before its error, but for a record that ends just
+where the inflated bytes do; the bytes of a member are
+salvaged by version lines as those of an archive are, and its gaps, which lie in the inflated
+bytes, are logged with the place of the member.
 
 Payloads: null is empty. Of records with equal payloads the one with the greatest page id is
 the response (every row of that id, if the row is repeated), the others are revisits of it
@@ -54,9 +58,12 @@ class Record:
 
 @dataclass(frozen=True)
 class Gap:
+    """start and end are places in the archive; of a gap inside a member, in its inflated bytes, and member is where that begins."""
+
     start: int
     end: int
     reason: str
+    member: int | None = None
 
 
 def base32_sha1(content: bytes) -> str:
@@ -119,31 +126,60 @@ def parse_record(content: bytes, at: int) -> tuple[Record, int]:
     return Record(headers, bytes(block)), begin + size + 4
 
 
-def _inflated(content: bytes, at: int) -> tuple[bytes, int]:
+def _inflated(content: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at `at` inflates to, where it ends, and its error or an empty string."""
     unpacker, plain, place = zlib.decompressobj(31), [], at
     try:
         while not unpacker.eof and place < len(content):
-            plain.append(unpacker.decompress(content[place : place + FEED]))
+            chunk = content[place : place + FEED]
+            before = unpacker.copy()
+            try:
+                plain.append(unpacker.decompress(chunk))
+            except zlib.error:
+                # a byte at a time, as what a call has inflated is lost with its error
+                for k in range(len(chunk)):
+                    plain.append(before.decompress(chunk[k : k + 1]))
+                raise
             place += FEED
     except zlib.error as e:
-        raise Broken(f"gzip: {e}") from None
+        return b"".join(plain), at, f"gzip: {e}"
     if not unpacker.eof:
-        raise Broken("gzip: the member does not end")
-    return b"".join(plain), min(place, len(content)) - len(unpacker.unused_data)
+        return b"".join(plain), at, "gzip: the member does not end"
+    return b"".join(plain), min(place, len(content)) - len(unpacker.unused_data), ""
 
 
-def _read_at(content: bytes, at: int) -> tuple[list[Record], int]:
+def _salvage_plain(plain: bytes, member_at: int) -> Iterator[Record | Gap]:
+    at, bad_from, reason = 0, None, ""
+    while at < len(plain):
+        try:
+            record, end = parse_record(plain, at)
+        except Broken as e:
+            if bad_from is None:
+                bad_from, reason = at, str(e)
+            at = plain.find(b"WARC/1.", at + 1)
+            at = len(plain) if at < 0 else at
+            continue
+        if bad_from is not None:
+            yield Gap(bad_from, at, reason, member_at)
+            bad_from = None
+        yield record
+        at = end
+    if bad_from is not None:
+        yield Gap(bad_from, len(plain), reason, member_at)
+
+
+def _read_at(content: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
+    """What can be read at `at`, where it ends, and the error that a member ends with, or an empty string."""
     if content.startswith(MAGIC, at):
-        plain, end = _inflated(content, at)
-        records, place = [], 0
-        while place < len(plain):
-            record, place = parse_record(plain, place)
-            records.append(record)
-        if not records:
-            raise Broken("an empty member")
-        return records, end
+        plain, end, error = _inflated(content, at)
+        found = list(_salvage_plain(plain, at))
+        if error and found and isinstance(found[-1], Record):
+            found.pop()
+        if not any(isinstance(x, Record) for x in found):
+            raise Broken(error or (found[0].reason if found else "an empty member"))
+        return found, end, error
     record, end = parse_record(content, at)
-    return [record], end
+    return [record], end, ""
 
 
 def _next_start(content: bytes, at: int) -> int:
@@ -156,7 +192,7 @@ def salvage(content: bytes) -> Iterator[Record | Gap]:
     at, bad_from, reason = 0, None, ""
     while at < len(content):
         try:
-            records, end = _read_at(content, at)
+            found, end, error = _read_at(content, at)
         except Broken as e:
             if bad_from is None:
                 bad_from, reason = at, str(e)
@@ -165,8 +201,12 @@ def salvage(content: bytes) -> Iterator[Record | Gap]:
         if bad_from is not None:
             yield Gap(bad_from, at, reason)
             bad_from = None
-        yield from records
-        at = end
+        yield from found
+        if error:
+            bad_from, reason = at, error
+            at = _next_start(content, at + 1)
+        else:
+            at = end
     if bad_from is not None:
         yield Gap(bad_from, len(content), reason)
 
@@ -229,7 +269,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 for found in salvage(content):
                     row = {"archive": archive}
                     if isinstance(found, Gap):
-                        row |= {"kind": "gap", "gap_start": found.start, "gap_end": found.end, "reason": found.reason}
+                        row |= {"kind": "gap", "gap_start": found.start, "gap_end": found.end, "reason": found.reason if found.member is None else f"in the bytes of the member at {found.member}: {found.reason}"}
                     else:
                         h = found.headers
                         head, _, body = found.block.partition(b"\r\n\r\n")

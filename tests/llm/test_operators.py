@@ -156,6 +156,25 @@ def test_archives_come_back(spark):
     assert warc.write_archives(pages.limit(0)).count() == 0
 
 
+def test_salvage_within_a_member():
+    rng = random.Random(4)
+    records = [warc.page_record(k, "u", bytes(rng.randrange(33, 126) for _ in range(30_000)), None, "d") for k in range(4)]
+
+    def ids(content):
+        return [warc._page_number(x.headers["warc-record-id"]) for x in warc.salvage(content) if isinstance(x, warc.Record)]
+
+    whole = warc.member(b"".join(records))
+    assert ids(whole) == [0, 1, 2, 3]
+    bad = bytearray(records[1])
+    bad[-20] ^= 1
+    found = list(warc.salvage(warc.member(records[0] + bytes(bad) + b"".join(records[2:]))))
+    gaps = [x for x in found if isinstance(x, warc.Gap)]
+    assert len(found) == 4 and [(g.start, g.end, g.member) for g in gaps] == [(len(records[0]), len(records[0] + records[1]), 0)]
+    assert ids(warc.member(b"".join(records[:3]) + records[3][:-9])) == [0, 1, 2]
+    assert ids(whole[: len(whole) * 7 // 8] + warc.member(records[3])) == [0, 1, 2, 3]
+    assert ids(whole[:-4]) == [0, 1, 2]
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage(packed):
     records = [warc.page_record(k, f"http://h/{k}", (b"x%d " % k) * 50, None, "2000-01-01T00:00:00Z") for k in range(12)]

@@ -8,6 +8,7 @@ Null and empty texts have no words, so the base rule drops them.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -51,8 +52,19 @@ class Forest:
     threshold: float
 
 
+def _repeats(text: bytes) -> tuple[int, int]:
+    """n_dup_lines and n_repeat_words of one text, without hashes."""
+    words = text.split()  # of bytes, at ASCII white space
+    lines = [x for x in text.split(b"\n") if x.split()]
+    places = defaultdict(list)
+    for k in range(len(words) - WINDOW + 1):
+        places[tuple(words[k : k + WINDOW])].append(k)
+    marked = {k + j for found in places.values() if len(found) > 1 for k in found for j in range(WINDOW)}
+    return len(lines) - len(set(lines)), len(marked)
+
+
 def base_statistics(piece: Piece) -> np.ndarray:
-    """n_docs x 5, as BASE names them."""
+    """n_docs x 5, as BASE names them. What hashes find equal is compared byte by byte."""
     n = piece.n_docs
     starts, ends, first = piece.words
     docs, counts = piece.word_docs, np.diff(first)
@@ -64,9 +76,15 @@ def base_statistics(piece: Piece) -> np.ndarray:
     line_starts, line_ends, line_docs = piece.lines()
     solid = np.concatenate([[0], np.cumsum(piece.solid, dtype=np.int64)])
     wordy = solid[line_ends] > solid[line_starts]
-    keys = mix(piece.span_hashes(line_starts[wordy], line_ends[wordy]) ^ mix(line_docs[wordy].astype(U64), 1), 2)
-    _, at = np.unique(keys, return_index=True)
-    again = np.bincount(line_docs[wordy], minlength=n) - np.bincount(line_docs[wordy][at], minlength=n)
+    line_starts, line_ends, line_docs = line_starts[wordy], line_ends[wordy], line_docs[wordy]
+    keys = mix(piece.span_hashes(line_starts, line_ends) ^ mix(line_docs.astype(U64), 1), 2)
+    _, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    again = np.bincount(line_docs, minlength=n) - np.bincount(line_docs[at], minlength=n)
+    like = at[inverse]
+    later = np.flatnonzero(like != np.arange(len(like)))
+    other = like[later]
+    alike = piece.same_spans(line_starts[later], line_ends[later], line_starts[other], line_ends[other])
+    unlike = [line_docs[later[~alike | (line_docs[later] != line_docs[other])]]]
 
     repeated = np.zeros(n, np.int64)
     m = len(starts) - WINDOW + 1
@@ -75,12 +93,19 @@ def base_statistics(piece: Piece) -> np.ndarray:
         keys = mix(h[:m], 21) + mix(h[1 : m + 1], 22) + mix(h[2:], 23)
         keys = mix(keys ^ mix(docs[:m].astype(U64), 1), 2)
         whole = np.flatnonzero(docs[:m] == docs[WINDOW - 1 :])
-        _, inverse, times = np.unique(keys[whole], return_inverse=True, return_counts=True)
+        _, at, inverse, times = np.unique(keys[whole], return_index=True, return_inverse=True, return_counts=True)
         often = whole[times[inverse] > 1]
+        like = whole[at[inverse[times[inverse] > 1]]]
         marked = np.zeros(len(starts), bool)
+        alike = docs[often] == docs[like]
         for j in range(WINDOW):
             marked[often + j] = True
+            alike &= piece.same_spans(starts[often + j], ends[often + j], starts[like + j], ends[like + j])
         repeated = np.bincount(docs[marked], minlength=n)
+        unlike.append(docs[often[~alike]])
+    # texts in which unequal lines or words have one hash are counted by themselves
+    for d in np.unique(np.concatenate(unlike)):
+        again[d], repeated[d] = _repeats(piece.data[piece.offsets[d] : piece.offsets[d + 1]].tobytes())
     return np.stack([counts, total(piece.solid & ~CONTINUATION[piece.data]), total(_SYMBOL[piece.data]), again, repeated], axis=1)
 
 

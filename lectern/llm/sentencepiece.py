@@ -14,18 +14,28 @@ time:
    merged across their boundary. A position is reached by the edge whose start is reached and
    whose piece is stable behind the piece that reached the start.
 5. The words' tokens are put in the places of the words. A worker keeps the tokens of a
-   bounded number of words, so that later batches index only the words it has not met.
+   bounded number of words, so that later batches index only the words it has not met. Words
+   are told apart by hashes, and every text is decoded and compared; one that differs is encoded
+   again with its words told apart by their bytes.
+
+A word of more than LONG_WORD bytes is matched in stretches that overlap. Where two stretches
+have a boundary in common, with pieces that are stable there, both are on the one path, so they
+are joined there; stretches without such a place are matched as one. A run of marks before
+a word is merged run by run instead of mark by mark. Both take time in proportion to the text.
 
 Characters outside the vocabulary become byte pieces. Decoding joins the pieces, turns marks
 to blanks and drops the first. The round trip is exact but for the mark character itself,
-which, as in the library, decodes to a blank.
+which, as in the library, decodes to a blank; round_trip is false for texts that have it.
 
-Null texts have null ids; an empty text has none. Long texts, repeated rows and ties need no
-rule; extra columns are kept, and one named like an added column gives way to it.
+Defined results: null texts have null ids; an empty text has none; an empty table gives an
+empty one. Very long texts, texts without a blank and long runs of blanks are encoded whole.
+Repeated rows are encoded each by itself; there are no ties, as the path is the only one.
+Extra columns are kept, and one named like an added column gives way to it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -41,7 +51,10 @@ from lectern.llm.textarrays import CONTINUATION, U64, Piece, arrow_type, bounded
 #: Where the public tokenizers' files are; any SentencePiece BPE model with byte pieces will do.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
+_MARKS = re.compile(b"(?:" + MARK + b")*")
 _NONE = -1
+#: A longer word is matched in stretches of STRETCH bytes that overlap by OVERLAP.
+LONG_WORD, STRETCH, OVERLAP = 1024, 512, 128
 
 
 @dataclass(frozen=True)
@@ -81,20 +94,6 @@ class Vocabulary:
         return self.ranks
 
 
-def bpe(text: bytes, rank_of: dict[bytes, tuple[int, int]], symbols: list[bytes] | None = None) -> list[bytes]:
-    """Plain BPE: again and again the neighbouring pair that makes the best piece is merged, the first of equals."""
-    parts = list(symbols) if symbols is not None else [c.encode() for c in text.decode()]
-    while True:
-        best, at = None, -1
-        for k in range(len(parts) - 1):
-            found = rank_of.get(parts[k] + parts[k + 1])
-            if found is not None and (best is None or found[0] < best):
-                best, at = found[0], k
-        if best is None:
-            return parts
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-
 def _last_merge(text: bytes, rank_of: dict[bytes, tuple[int, int]]) -> tuple[bytes, bytes] | None:
     """The two parts from which plain BPE makes the whole of text in the end, if it does."""
     parts = [c.encode() for c in text.decode()]
@@ -264,12 +263,12 @@ class Matcher:
 class KnownWords:
     """Tokens of words met before, by the words' 64-bit hashes, in a table of one slot for each hash's top bits.
 
-    The first words to come stay, up to a bound; those beyond it, or in a slot that is
-    taken, are kept for the piece at hand only.
+    The first words to come stay, up to a bound of words and of tokens; those beyond it, or
+    in a slot that is taken, are kept for the piece at hand only.
     """
 
-    def __init__(self, bits: int = 20, words: int = 300_000) -> None:
-        self.shift, self.words = U64(64 - bits), words
+    def __init__(self, bits: int = 20, words: int = 300_000, most_tokens: int = 2_000_000) -> None:
+        self.shift, self.words, self.most_tokens = U64(64 - bits), words, most_tokens
         self.keys, self.entry = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int64)
         self.tokens, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.fixed = 0
@@ -283,7 +282,7 @@ class KnownWords:
         self.begin = np.append(self.begin, len(self.tokens) + first[:-1])
         self.size = np.append(self.size, np.diff(first))
         self.tokens = np.append(self.tokens, tokens)
-        if len(self.size) <= self.words:
+        if len(self.size) <= self.words and len(self.tokens) <= self.most_tokens:
             slot = (hashes >> self.shift).astype(np.int64)
             free = self.entry[slot] < 0
             self.keys[slot[free]], self.entry[slot[free]] = hashes[free], number[free]
@@ -301,7 +300,8 @@ class Encoder:
         self.vocabulary = vocabulary
         self.known = KnownWords()
         self.matcher = Matcher(vocabulary)
-        self.mark_run: dict[int, list[int]] = {}
+        self.sizes = np.array([len(p) for p in vocabulary.pieces], np.int64)
+        self.mark = vocabulary.singles.get(MARK, _NONE)
 
     def words_of(self, piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The marked bytes of a piece's documents, the starts of all words in them, and each document's first word.
@@ -420,62 +420,151 @@ class Encoder:
         tokens[bytes_] = self.vocabulary.byte_ids[values]
         return tokens, np.searchsorted(word[spread], np.arange(n + 1))
 
-    def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents back to back, and where each document's begin."""
+    def encode(self, piece: Piece, by_bytes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents back to back, and where each document's begin. by_bytes: words are not told apart by hashes."""
         text, starts, first = self.words_of(piece)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(piece.n_docs + 1, np.int64)
         ends = np.append(starts[1:], len(text))
-        hashes = Piece(0, text, np.array([0, len(text)])).span_hashes(starts, ends)
-        entry = self.known.find(hashes)
-        new = np.flatnonzero(entry < 0)
-        if len(new):
-            _, at, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
-            at = new[at]
-            tokens, token_first = self._distinct(text, starts[at], ends[at])
-            entry[new] = self.known.add(hashes[at], tokens, token_first)[inverse]
-        pool, begin, size = self.known.tokens, self.known.begin[entry], self.known.size[entry]
+        if by_bytes:
+            number: dict[bytes, int] = {}
+            entry = np.array([number.setdefault(text[a:b].tobytes(), len(number)) for a, b in zip(starts, ends, strict=True)])
+            _, at = np.unique(entry, return_index=True)
+            pool, begins = self._distinct(text, starts[at], ends[at])
+            begin, size = begins[entry], np.diff(begins)[entry]
+        else:
+            hashes = Piece(0, text, np.array([0, len(text)])).span_hashes(starts, ends)
+            entry = self.known.find(hashes)
+            new = np.flatnonzero(entry < 0)
+            if len(new):
+                _, at, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+                at = new[at]
+                tokens, token_first = self._distinct(text, starts[at], ends[at])
+                entry[new] = self.known.add(hashes[at], tokens, token_first)[inverse]
+            pool, begin, size = self.known.tokens, self.known.begin[entry], self.known.size[entry]
         total = np.append(0, np.cumsum(size))
         out = pool[np.repeat(begin - total[:-1], size) + np.arange(int(total[-1]))]
         self.known.trim()
         return out, total[first]
 
     def _distinct(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words of one mark at most are matched; the few that begin with more are merged one by one."""
-        many = np.zeros(len(starts), bool)
-        long = np.flatnonzero(ends - starts >= 6)
-        many[long] = (text[starts[long]] == MARK[0]) & (text[starts[long] + 3] == MARK[0]) & (text[starts[long] + 1] == MARK[1]) & (text[starts[long] + 4] == MARK[1]) & (text[starts[long] + 2] == MARK[2]) & (text[starts[long] + 5] == MARK[2])
-        plain = np.flatnonzero(~many)
-        tokens, first = self.encode_words(text, starts[plain], ends[plain])
-        if not many.any():
+        """Tokens of words back to back, and where each word's begin. A run of marks before a word's last one is merged by itself."""
+        marks = self._marks(text, starts, ends)
+        own = starts + 3 * np.maximum(marks - 1, 0)
+        long = np.flatnonzero(ends - own > LONG_WORD)
+        short = np.flatnonzero(ends - own <= LONG_WORD)
+        tokens, first = self.encode_words(text, own[short], ends[short])
+        if not len(long) and not (marks > 1).any():
             return tokens, first
         parts: list[np.ndarray] = [np.zeros(0, np.int32)] * len(starts)
-        for row, word in enumerate(plain):
+        for row, word in enumerate(short):
             parts[word] = tokens[first[row] : first[row + 1]]
-        for word in np.flatnonzero(many):
-            parts[word] = self._one_by_one(text[starts[word] : ends[word]].tobytes())
+        for word in long:
+            parts[word] = self._in_stretches(text, int(own[word]), int(ends[word]))
+        for word in np.flatnonzero(marks > 1):
+            # what follows the last mark takes that mark or leaves it to the run before
+            rest, n = parts[word], int(marks[word]) - 1
+            if len(rest) and rest[0] == self.mark:
+                rest, n = rest[1:], n + 1
+            parts[word] = np.concatenate([self.mark_run(n), rest])
         return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
 
-    def _one_by_one(self, word: bytes) -> np.ndarray:
-        v = self.vocabulary
-        marks = 0
-        while word.startswith(MARK, 3 * marks):
-            marks += 1
-        # what follows the last mark takes that mark or leaves it to the run before
-        rest = bpe(word[3 * (marks - 1) :], v.scored)
-        if rest[0] == MARK:
-            marks, rest = marks + 1, rest[1:]
-        if marks - 1 not in self.mark_run:
-            self.mark_run[marks - 1] = [v.scored[p][1] if p in v.scored else v.singles[p] for p in bpe(MARK * (marks - 1), v.scored)]
-        out = list(self.mark_run[marks - 1])
-        for p in rest:
-            if p in v.scored:
-                out.append(v.scored[p][1])
-            elif p in v.singles:
-                out.append(v.singles[p])
+    @staticmethod
+    def _marks(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """How many marks each word begins with; counted beyond the first only where there are two."""
+
+        def mark_at(at: np.ndarray) -> np.ndarray:
+            inside = np.minimum(at[:, None] + np.arange(3), len(text) - 1)
+            return (text[inside] == np.frombuffer(MARK, np.uint8)).all(axis=1)
+
+        marks = np.zeros(len(starts), np.int64)
+        wide = np.flatnonzero(ends - starts >= 3)
+        wide = wide[mark_at(starts[wide])]
+        marks[wide] = 1
+        wide = wide[ends[wide] - starts[wide] >= 6]
+        for word in wide[mark_at(starts[wide] + 3)]:
+            lead = _MARKS.match(text[starts[word] : ends[word]].tobytes())
+            marks[word] = lead.end() // 3
+        return marks
+
+    def mark_run(self, n: int) -> np.ndarray:
+        """BPE of n marks, with runs of equal pieces as (piece, times).
+
+        The best merge is done for a whole run at once if none that it makes possible is as
+        good, and once, at the leftmost place, if one is.
+        """
+        v, size = self.vocabulary, len(self.vocabulary.pieces)
+        pairs, ranks = v.merges
+        runs = [(self.mark, n)] if n else []
+
+        def rank(a: int, b: int) -> int | None:
+            at = int(np.searchsorted(pairs, a * size + b))
+            return int(ranks[at]) if at < len(pairs) and pairs[at] == a * size + b else None
+
+        while True:
+            found = [(r, k, 0) for k, (p, times) in enumerate(runs) if times > 1 and (r := rank(p, p)) is not None]
+            found += [(r, k, 1) for k in range(len(runs) - 1) if (r := rank(runs[k][0], runs[k + 1][0])) is not None]
+            if not found:
+                break
+            best, k, across = min(found)
+            p, times = runs[k]
+            if across:
+                made = v.scored[v.pieces[p] + v.pieces[runs[k + 1][0]]][1]
+                new = [(p, times - 1), (made, 1), (runs[k + 1][0], runs[k + 1][1] - 1)]
+                runs[k : k + 2] = new
             else:
-                out += [int(v.byte_ids[b]) for b in p]
-        return np.array(out, np.int32)
+                made = v.scored[v.pieces[p] * 2][1]
+                before = [runs[k - 1][0]] if k else []
+                opened = [rank(made, p), rank(made, made), *(rank(b, made) for b in before)]
+                many = times // 2 if all(r is None or r > best for r in opened) else 1
+                runs[k : k + 1] = [(made, many), (p, times - 2 * many)]
+            joined: list[tuple[int, int]] = []
+            for p, times in runs:
+                if times and joined and joined[-1][0] == p:
+                    joined[-1] = (p, joined[-1][1] + times)
+                elif times:
+                    joined.append((p, times))
+            runs = joined
+        return np.repeat([p for p, _ in runs], [t for _, t in runs]).astype(np.int32)
+
+    def _in_stretches(self, text: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Tokens of one long word, matched in stretches."""
+        heads = start + np.flatnonzero(~CONTINUATION[text[start:end]])
+        cut = np.unique(heads[np.searchsorted(heads, np.arange(start, end, STRETCH))[: -1 if end - start > STRETCH else None]])
+        upto = np.append(heads, end)[np.searchsorted(heads, np.minimum(np.append(cut[1:], end) + OVERLAP, end))]
+        out, at = [], start
+        tail: np.ndarray | None = None
+        for begin in range(0, len(cut), 256):
+            own = slice(begin, begin + 256)
+            tokens, first = self.encode_words(text, cut[own], upto[own])
+            for k in range(len(first) - 1):
+                here, a = tokens[first[k] : first[k + 1]], int(cut[begin + k])
+                if tail is None:
+                    tail, at = here, a
+                    continue
+                joint = self._joint(tail, at, here, a)
+                if joint is None:
+                    tail, _ = self.encode_words(text, np.array([at]), np.array([int(upto[begin + k])]))
+                    continue
+                n, m = joint
+                out.append(tail[:n])
+                at += int(self.sizes[tail[:n]].sum())
+                tail = here[m:]
+        return np.concatenate([*out, tail]) if tail is not None else np.zeros(0, np.int32)
+
+    def _joint(self, left: np.ndarray, left_at: int, right: np.ndarray, right_at: int) -> tuple[int, int] | None:
+        """How many tokens of left to keep and of right to drop, so that the two meet at a stable boundary."""
+        ends = left_at + np.cumsum(self.sizes[left])
+        begins = right_at + np.append(0, np.cumsum(self.sizes[right])[:-1])
+        _, i, j = np.intersect1d(ends, begins, return_indices=True)
+        if not len(i):
+            return None
+        a, b = left[i].astype(np.int64), right[j].astype(np.int64)
+        plain = self.vocabulary.usable[a] & self.vocabulary.usable[b]
+        good = np.ones(len(a), bool)
+        good[plain] = stable(self.vocabulary, a[plain], b[plain])
+        met = np.flatnonzero(good)
+        return (int(i[met[0]]) + 1, int(j[met[0]])) if len(met) else None
 
 
 class Decoder:
@@ -498,6 +587,25 @@ class Decoder:
         return out[keep], begins - np.searchsorted(drop, begins)
 
 
+def _same(decoder: Decoder, ids: np.ndarray, first: np.ndarray, piece: Piece) -> np.ndarray:
+    """Whether each document's ids decode to its bytes."""
+    data, at = decoder.decode(ids, first)
+    if len(data) == len(piece.data) and (np.diff(at) == np.diff(piece.offsets)).all():
+        wrong = np.append(0, np.cumsum(data != piece.data))
+        return wrong[piece.offsets[1:]] == wrong[piece.offsets[:-1]]
+    return np.array([data[at[d] : at[d + 1]].tobytes() == piece.data[piece.offsets[d] : piece.offsets[d + 1]].tobytes() for d in range(piece.n_docs)])
+
+
+def _verified(encoder: Encoder, decoder: Decoder, piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, where each document's begin, and whether they decode to the text; if some do not, words may have shared a hash, and bytes decide."""
+    ids, first = encoder.encode(piece)
+    same = _same(decoder, ids, first, piece)
+    if not same.all():
+        ids, first = encoder.encode(piece, by_bytes=True)
+        same = _same(decoder, ids, first, piece)
+    return ids, first, same
+
+
 def _worker_encoder(vocabulary: Vocabulary) -> Encoder:
     """One encoder for a worker process, which lives on from task to task."""
     return kept_by_worker("encoder", lambda: Encoder(vocabulary), lambda e: e.vocabulary is vocabulary)
@@ -517,19 +625,13 @@ def encoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", ch
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             for piece in text_pieces(pc.replace_substring(texts, MARK.decode(), " ")):
-                ids, first = encoder.encode(piece)
+                ids, first, same = _verified(encoder, decoder, piece)
                 missing = np.asarray(texts.slice(piece.first, piece.n_docs).is_null())
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32(), mask=np.append(missing, False)), pa.array(ids)).cast(kind)
                 columns = [batch.column(batch.schema.get_field_index(n)).slice(piece.first, piece.n_docs) for n in names] + [lists]
                 if check:
-                    data, at = decoder.decode(ids, first)
-                    same = np.diff(at) == np.diff(piece.offsets)
-                    if len(data) == len(piece.data) and same.all():
-                        wrong = np.append(0, np.cumsum(data != piece.data))
-                        same = wrong[piece.offsets[1:]] == wrong[piece.offsets[:-1]]
-                    else:
-                        same = np.array([data[at[d] : at[d + 1]].tobytes() == piece.data[piece.offsets[d] : piece.offsets[d + 1]].tobytes() for d in range(piece.n_docs)])
-                    columns.append(pa.array(same, pa.bool_(), mask=missing))
+                    marked = np.asarray(pc.fill_null(pc.match_substring(texts.slice(piece.first, piece.n_docs), MARK.decode()), False).cast(pa.uint8())).astype(bool)
+                    columns.append(pa.array(same & ~marked, pa.bool_(), mask=missing))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
             release("encoder")
 

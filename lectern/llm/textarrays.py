@@ -9,6 +9,7 @@ UTF-8 never cuts a code point.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -24,7 +25,6 @@ BATCH_BYTES = 8 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -40,25 +40,14 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE_CODE = mix(np.arange(256, dtype=U64), 77)
-_powers = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=U64)
-    return _powers[0], _powers[1]
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Spans of more bytes are hashed and compared one by one.
+LONG_SPAN = 512
 
 
 def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of values[first[k]:first[k + 1]]."""
-    sums = np.zeros(len(values) + 1)
-    np.cumsum(values, out=sums[1:])
-    return sums[first[1:]] - sums[first[:-1]]
+    """Sums of values[first[k]:first[k + 1]], each by itself."""
+    return np.add.reduceat(np.append(values, 0.0), np.minimum(first[:-1], len(values))) * (np.diff(first) > 0)
 
 
 @dataclass
@@ -74,16 +63,47 @@ class Piece:
         return len(self.offsets) - 1
 
     @cached_property
-    def _prefix(self) -> np.ndarray:
-        up, _ = _powers_to(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, U64)
-        np.cumsum(_BYTE_CODE[self.data] * up[: len(self.data)], out=sums[1:])
-        return sums
+    def _windows(self) -> np.ndarray:
+        """The eight bytes from each place on, as one number; zeros beyond the end."""
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[:-8] = self.data
+        return np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+
+    def _blocks(self, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return self._windows[starts] & _MASKS[np.minimum(left, 8)]
 
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the byte strings [start, end)."""
-        _, down = _powers_to(len(self.data) + 1)
-        return mix((self._prefix[ends] - self._prefix[starts]) * down[starts] + (ends - starts).astype(U64))
+        """64-bit hashes of the byte strings [start, end): eight bytes at a time are scrambled into the state.
+
+        Equal hashes do not prove equal strings; same_spans() does.
+        """
+        left = ends - starts
+        state = mix(left.astype(U64), 99)
+        live = np.flatnonzero((left > 0) & (left <= LONG_SPAN))
+        at, left_of = starts[live], left[live]
+        while len(live):
+            state[live] = mix(state[live] ^ self._blocks(at, left_of), 77)
+            more = left_of > 8
+            live, at, left_of = live[more], at[more] + 8, left_of[more] - 8
+        for k in np.flatnonzero(left > LONG_SPAN):
+            digest = hashlib.blake2b(self.data[starts[k] : ends[k]].tobytes(), digest_size=8).digest()
+            state[k] = int.from_bytes(digest, "little")
+        return state
+
+    def same_spans(self, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+        """Whether the byte strings [start, end) and [other, other_end) are equal, pair by pair."""
+        left = ends - starts
+        same = left == other_ends - others
+        live = np.flatnonzero(same & (left > 0) & (left <= LONG_SPAN))
+        at, other, left_of = starts[live], others[live], left[live]
+        while len(live):
+            equal = self._blocks(at, left_of) == self._blocks(other, left_of)
+            same[live[~equal]] = False
+            more = equal & (left_of > 8)
+            live, at, other, left_of = live[more], at[more] + 8, other[more] + 8, left_of[more] - 8
+        for k in np.flatnonzero(same & (left > LONG_SPAN)):
+            same[k] = np.array_equal(self.data[starts[k] : ends[k]], self.data[others[k] : other_ends[k]])
+        return same
 
     @cached_property
     def solid(self) -> np.ndarray:
@@ -185,11 +205,7 @@ def kept_by_worker(key: str, make: Callable[[], object], fresh: Callable[[object
 
 
 def release(key: str = "") -> None:
-    """Gives memory back to the system; a worker that waits for its next task should not hold it.
-
-    Tables of powers go, and what is kept for other keys.
-    """
-    _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
+    """Gives memory back to the system, and what is kept for other keys; a worker that waits for its next task should not hold it."""
     for other in [k for k in _kept if k != key]:
         del _kept[other]
     pa.default_memory_pool().release_unused()
@@ -226,13 +242,13 @@ def with_text_columns(
     """The rows of frame with columns computed from whole texts, a piece at a time.
 
     make() is called once in each task and gives the function from a piece to one list or
-    array for each added column. A column of frame that has an added column's name gives
-    way to it.
+    array for each added column. A column of frame that has an added column's name, in
+    whatever case, gives way to it.
     """
-    names = {f.name for f in added}
-    kept = [f for f in frame.schema.fields if f.name not in names or f.name == text]
+    names = {f.name.lower() for f in added}
+    kept = [f for f in frame.schema.fields if f.name.lower() not in names or f.name == text]
     source = frame.select(*[f"`{f.name}`" for f in kept])
-    out_fields = [f for f in kept if f.name not in names]
+    out_fields = [f for f in kept if f.name.lower() not in names]
     schema = T.StructType(out_fields + added)
     out_names, types = [f.name for f in out_fields], [f.dataType for f in added]
 

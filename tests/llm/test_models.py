@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import language_id, pii, quality_classifier, quality_rules
 from lectern.llm.queries import QUERIES, table
-from lectern.llm.textarrays import text_pieces
+from lectern.llm.textarrays import Piece, mix, text_pieces
 from tests.llm.tables import LONG, ODD, labels, odd_documents, prose
 
 FOLDER = "/root/testdata/sf0.01"
@@ -68,6 +68,30 @@ def test_base_statistics():
     assert got.tolist() == [brute_base(t) for t in texts]
 
 
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_tell_thue_morse_words_apart():
+    for n in (3, 8, 10, 12):
+        a, b = thue_morse(n)
+        (p,) = pieces([f"{a}\n{b}\n{a}"], 1 << 20)
+        starts, ends, _ = p.words
+        assert len(set(p.word_hashes.tolist())) == 2
+        assert p.same_spans(starts[[0, 0]], ends[[0, 0]], starts[[1, 2]], ends[[1, 2]]).tolist() == [False, True]
+        assert quality_rules.base_statistics(p).tolist() == [brute_base(f"{a}\n{b}\n{a}")]
+
+
+def test_base_statistics_do_not_rest_on_hashes(monkeypatch):
+    texts = some_texts()
+    monkeypatch.setattr(Piece, "span_hashes", lambda self, starts, ends: mix((ends - starts).astype(np.uint64)))
+    got = np.concatenate([quality_rules.base_statistics(p) for p in pieces(texts, 300)])
+    assert got.tolist() == [brute_base(t) for t in texts]
+
+
 def test_isolation_forest_finds_what_lies_apart():
     rng = np.random.default_rng(1)
     rows = np.concatenate([rng.normal(0, 0.05, (400, 3)), rng.normal(1, 0.05, (12, 3))])

@@ -5,11 +5,17 @@ Level 1 is a Bloom filter of the listed keys; level 2 one of the universe's othe
 pass level 1; level 3 one of the listed keys that pass level 2, and so on, until nothing
 passes by mistake. A key is listed if the number of levels that it passes before it is
 turned away is odd. No key is stored, and no join is needed to ask: the levels' bits enter
-the plan as scalar subqueries, whose size is checked before.
+the plan as scalar subqueries. A level is cut into segments of at most `segment_bits` by a hash
+of the key, so that no task gathers more than one segment and no value of the plan is larger,
+however long the list is. All segments together take about 1.5 bytes for a listed key, and each
+executor holds them. Every level hashes anew, so what passes one by mistake is a sixteenth of
+what came, and the levels end by themselves.
 
 Everything here is DataFrame functions. Defined results: a null url, and one without
-``://``, has empty host and path, fits no rule and is not listed. Null keys are ignored;
-repeated keys count once; an empty list turns every key away.
+``://``, has empty host and path, fits no rule and is not listed; very long urls are read whole.
+Null keys are ignored; repeated keys count once; an empty list turns every key away; an empty
+table gives an empty one. Of equally long rules that fit the first one counts. Repeated rows are
+judged each by itself. A column named like an added one, in whatever case, gives way to it.
 """
 
 from __future__ import annotations
@@ -35,16 +41,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Settings:
-    """hashes: positions for each key, so that 2**-hashes of other keys pass a level. max_bits: of all levels together."""
+    """hashes: positions for each key, so that 2**-hashes of other keys pass a level. segment_bits: most bits of one segment of a level."""
 
     hashes: int = 4
-    max_bits: int = 1 << 26
-    max_levels: int = 40
+    segment_bits: int = 1 << 26
 
 
 @dataclass(frozen=True)
 class Level:
-    bits: DataFrame
+    """segments: the bits of each segment as one row with an array of words. size: bits of a segment."""
+
+    segments: list[DataFrame]
     size: int
 
 
@@ -75,23 +82,35 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
 
 
 def _positions(key: Column, level: int, size: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(size)) for i in range(hashes)]
+    # the level comes first, so that two keys whose hashes agree in one level do not in the next
+    return [F.pmod(F.xxhash64(F.lit(level), F.lit(i), key), F.lit(size)) for i in range(hashes)]
+
+
+def _segment(key: Column, level: int, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(level), F.lit(-1), key), F.lit(n)).cast("int") if n > 1 else F.lit(0)
 
 
-def _level(keys: DataFrame, count: int, level: int, settings: Settings) -> Level:
-    words = max(1, math.ceil(count * settings.hashes / math.log(2) / 64))
+def _level(keys: DataFrame, count: int, number: int, settings: Settings, scratch: Scratch) -> Level:
+    bits = count * settings.hashes / math.log(2)
+    n = max(1, math.ceil(bits / settings.segment_bits))
+    words = max(1, math.ceil(bits / n / 64))
     size = words * 64
-    spots = keys.select(F.explode(F.array(*_positions(F.col("key"), level, size, settings.hashes))).alias("at"))
-    ones = spots.select(F.floor(F.col("at") / 64).cast("long").alias("word"), F.expr("shiftleft(1L, CAST(at % 64 AS INT))").alias("bits"))
-    # a zero word at every place, so that the array is dense
-    zeros = keys.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-    full = ones.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    row = full.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
-    return Level(row.select(F.transform("words", lambda w: w["bits"]).alias("bits")), size)
+    spots = keys.select(_segment(F.col("key"), number, n).alias("segment"), F.explode(F.array(*_positions(F.col("key"), number, size, settings.hashes))).alias("at"))
+    ones = spots.select("segment", F.floor(F.col("at") / 64).cast("long").alias("word"), F.expr("shiftleft(1L, CAST(at % 64 AS INT))").alias("bits"))
+    # a zero word at every place, so that the arrays are dense
+    zeros = keys.sparkSession.range(n * words).select(F.floor(F.col("id") / words).cast("int").alias("segment"), (F.col("id") % words).alias("word"), F.lit(0).cast("long").alias("bits"))
+    full = ones.unionByName(zeros).groupBy("segment", "word").agg(F.bit_or("bits").alias("bits"))
+    rows = full.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    kept = scratch.keep(rows.select("segment", F.transform("words", lambda w: w["bits"]).alias("bits")), "level")
+    return Level([kept.where(F.col("segment") == k).select("bits") for k in range(n)], size)
 
 
 def _passes(key: Column, number: int, level: Level, hashes: int) -> Column:
-    bits = level.bits.scalar()
+    own, bits = _segment(key, number, len(level.segments)), None
+    for k, segment in enumerate(level.segments[:-1]):
+        bits = F.when(own == k, segment.scalar()) if bits is None else bits.when(own == k, segment.scalar())
+    last = level.segments[-1].scalar()
+    bits = last if bits is None else bits.otherwise(last)
     found = None
     for at in _positions(key, number, level.size, hashes):
         word = F.element_at(bits, (F.floor(at / 64) + 1).cast("int"))
@@ -113,22 +132,18 @@ class Cascade:
         return F.coalesce(key.isNotNull() & verdict, F.lit(False))
 
 
-def build(listed: DataFrame, universe: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> Cascade | None:
-    """The cascade that tells the listed keys within the universe; both have the column key. None if it would be too large."""
-    keys = universe.select(F.col("key").cast("string").alias("key")).where("key IS NOT NULL").distinct()
-    marked = keys.join(listed.select(F.col("key").cast("string").alias("key"), F.lit(True).alias("is_listed")).distinct(), "key", "left")
-    marked = scratch.keep(marked.select("key", F.coalesce("is_listed", F.lit(False)).alias("is_listed")), "keys")
+def build(listed: DataFrame, universe: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> Cascade:
+    """The cascade that tells the listed keys within the universe; both have the column key."""
+    named = [f.select(F.col("key").cast("string").alias("key"), F.lit(k).alias("is_listed")) for f, k in ((universe, False), (listed, True))]
+    marks = named[0].unionByName(named[1]).where("key IS NOT NULL").groupBy("key").agg(F.bool_or(~F.col("is_listed")).alias("known"), F.bool_or("is_listed").alias("is_listed"))
+    marked = scratch.keep(marks.where("known").select("key", "is_listed"), "keys")
     inside, outside = marked.where("is_listed").select("key"), marked.where("NOT is_listed").select("key")
     levels: list[Level] = []
-    spent, count = 0, inside.count()
+    count = inside.count()
     while count:
         number = len(levels) + 1
-        if number > settings.max_levels or spent + count * settings.hashes * 2 > settings.max_bits:
-            return None
-        level = _level(inside, count, number, settings)
-        level = Level(scratch.keep(level.bits, "level"), level.size)
+        level = _level(inside, count, number, settings, scratch)
         levels.append(level)
-        spent += level.size
         wrong = scratch.keep(outside.where(_passes(F.col("key"), number, level, settings.hashes)), "wrong")
         inside, outside, count = wrong, inside, wrong.count()
     return Cascade(levels, settings.hashes)
@@ -138,19 +153,13 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]] = RU
     """pages with host, path, rule, listed and verdict.
 
     The verdict is the longest fitting rule's; where none fits, block if the host or its
-    domain is listed, else allow. A list beyond settings.max_bits is joined instead.
+    domain is listed, else allow.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     out = pages.drop("host", "path", "rule", "listed", "verdict").withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     hosts = out.select("host").distinct()
     universe = hosts.select(F.explode(F.array(F.col("host"), domain_of(F.col("host")))).alias("key"))
     cascade = build(listed, universe, scratch, settings)
-    if cascade is not None:
-        out = out.withColumn("listed", cascade.holds(F.col("host")) | cascade.holds(domain_of(F.col("host"))))
-    else:
-        names = listed.select(F.col("key").alias("__key"), F.lit(True).alias("__in")).distinct()
-        out = out.join(names.withColumnsRenamed({"__key": "host", "__in": "__a"}), "host", "left").withColumn("__domain", domain_of(F.col("host")))
-        out = out.join(names.withColumnsRenamed({"__key": "__domain", "__in": "__b"}), "__domain", "left")
-        out = out.withColumn("listed", F.col("__a").isNotNull() | F.col("__b").isNotNull()).drop("__a", "__b", "__domain")
+    out = out.withColumn("listed", cascade.holds(F.col("host")) | cascade.holds(domain_of(F.col("host"))))
     rule, action = rule_columns(F.col("host"), F.col("path"), rules)
     return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(action, F.when(F.col("listed"), "block").otherwise("allow")))

@@ -8,7 +8,10 @@ row of class scores for each bucket. A temperature and the probability under whi
 prediction is rejected are set on rows kept out of the descent.
 
 Null texts, and texts without any letter, are ``und`` with score 0, as is every text when
-there was nothing to learn from. A letter is what ``\\p{L}`` matches.
+there was nothing to learn from. A letter is what ``\\p{L}`` matches. Of languages with one
+probability the first in order counts. Very long texts are read whole; repeated rows are
+predicted each by itself; an empty table gives an empty one, and nothing is learned from it.
+Extra columns are kept, and one named like an added column gives way to it.
 """
 
 from __future__ import annotations
@@ -36,7 +39,6 @@ class Settings:
     bits: int = 16
     dimensions: int = 16
     per_language: int = 400
-    max_languages: int = 200
     epochs: int = 6
     rate: float = 1.0
     short_sample: int = 24
@@ -154,16 +156,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], settings: Settings) -> M
 def train(documents: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Learns from at most per_language documents of each non-null language, the first by a hash of the id.
 
-    Rows whose crc32 remainder by 5 is 0 are left out. Of more than max_languages languages
-    the most frequent are learned. The driver gets bucket counts, at most 2**bits for a text.
+    Rows whose crc32 remainder by 5 is 0 are left out. Every language is learned; each takes
+    2**bits numbers of the model. The driver gets bucket counts, at most 2**bits for a text.
     """
     bits = settings.bits
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & may_learn(F.col("doc_id")))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages)
+    common = rows.groupBy("lang").count()
     place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # of a language's ids only a share that should hold four times the wanted ones goes on to be ranked
     share = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.col("count") < 4 * settings.per_language + 100
-    ids = rows.join(F.broadcast(common), "lang").where(share).withColumn("place", F.row_number().over(place)).where(F.col("place") <= settings.per_language).select("doc_id", F.col("lang").alias("language")).distinct()
+    ids = rows.join(common, "lang").where(share).withColumn("place", F.row_number().over(place)).where(F.col("place") <= settings.per_language).select("doc_id", F.col("lang").alias("language")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     chosen = texts.join(F.broadcast(ids), "doc_id").where(F.col("lang") == F.col("language"))
 

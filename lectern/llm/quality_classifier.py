@@ -7,7 +7,9 @@ dot product that does not depend on length. A token followed by itself is one co
 feature, whatever the token.
 
 Null and empty texts have the bias alone. Ties, repeated rows and very long texts need no
-rule: every row is scored by itself, in memory that follows the longest text.
+rule: every row is scored by itself, in memory that follows the longest text. An empty table
+gives an empty one; of repeated labels of one id 1 counts. Extra columns are kept, and one
+named like the added one, in whatever case, gives way to it.
 """
 
 from __future__ import annotations

@@ -9,13 +9,15 @@ contains an item agrees with it on no coordinate with a chance of at most `miss`
 coordinate is a part of the hash range, as in one-permutation MinHash, and its minimum the
 least hash of the set in that part; so a document is hashed once for each class of items,
 however many coordinates there are. Agreeing pairs are candidates, and each is checked on
-the whole sets.
+the whole sets of hashes; what passes is checked once more on the runs of words themselves.
 
-The items are taken in blocks of bounded size, each against all documents. Items of fewer
+The items are taken in blocks of bounded size, each against all documents. A block leaves
+the driver's memory as soon as it is broadcast, so the driver holds one at a time. Items of fewer
 than five words are one run of all their words, looked for among the documents' runs of
-that many words. Null and empty items or documents match nothing; repeated rows and items
-match each by itself; extra columns are kept, and a column named like the added one gives
-way to it.
+that many words. Null and empty items or documents match nothing; empty tables match nothing;
+repeated rows and items match each by itself; an item is found at just `containment` too. Very
+long documents are searched whole. Extra columns are kept, and a column named like the added
+one, in whatever case, gives way to it.
 """
 
 from __future__ import annotations
@@ -38,12 +40,15 @@ _TABLE_BITS = 20
 
 @dataclass(frozen=True)
 class Settings:
-    """block_words: a block of items has about so many words at most (and one item at least)."""
+    """block_words: a block of items has about so many words at most (and one item at least), of some 20 bytes each."""
 
     words: int = 5
     containment: float = 0.8
     miss: float = 1e-4
-    block_words: int = 400_000
+    block_words: int = 1_000_000
+
+
+Item = tuple[int | None, int, np.ndarray, bytes]
 
 
 HITS = T.StructField(
@@ -69,7 +74,7 @@ class ItemClass:
     run: int
     size_class: int
     per_coordinate: float
-    items: list[tuple[int | None, np.ndarray]]
+    items: list[tuple[int | None, np.ndarray, bytes]]
     _sketches: dict[int, tuple] = field(default_factory=dict)
 
     def coordinates(self, document_class: int) -> int:
@@ -84,7 +89,7 @@ class ItemClass:
         if document_class not in self._sketches:
             k = self.coordinates(document_class)
             minima, owners = [], []
-            for number, (_, hashes) in enumerate(self.items):
+            for number, (_, hashes, _) in enumerate(self.items):
                 values = self.values(hashes)
                 if k:
                     order = np.lexsort((values, values % U64(k)))
@@ -100,15 +105,21 @@ class ItemClass:
         return self._sketches[document_class]
 
 
-def classes_of(items: list[tuple[int | None, int, np.ndarray]], settings: Settings) -> list[ItemClass]:
-    """items: id, run length and distinct hashes."""
+def classes_of(items: list[Item], settings: Settings) -> list[ItemClass]:
+    """items: id, run length, distinct hashes and lower-cased text."""
     groups = defaultdict(list)
-    for item_id, run, hashes in items:
+    for item_id, run, hashes, text in items:
         if len(hashes):
-            groups[run, len(hashes).bit_length() - 1].append((item_id, hashes))
+            groups[run, len(hashes).bit_length() - 1].append((item_id, hashes, text))
     return [ItemClass(run, size, load(math.ceil(settings.containment * 2**size - 1e-9), settings.miss), own) for (run, size), own in sorted(groups.items(), key=lambda x: x[0])]
 
 
+def word_runs(text: bytes, run: int) -> set[bytes]:
+    """All runs of so many words, as their words with single blanks."""
+    words = text.split()  # of bytes, at ASCII white space
+    return {b" ".join(words[k : k + run]) for k in range(len(words) - run + 1)}
+
+
 def candidates(hashes: np.ndarray, docs: np.ndarray, n_docs: int, kind: ItemClass) -> set[tuple[int, int]]:
     """(document, item) pairs that agree on a coordinate."""
     found: set[tuple[int, int]] = set()
@@ -140,12 +151,19 @@ def search(piece: Piece, kinds: list[ItemClass], settings: Settings) -> list[lis
     for run in sorted({k.run for k in kinds}):
         hashes, docs = piece.shingles(run)
         first = np.searchsorted(docs, np.arange(piece.n_docs + 1))
+        runs_of: dict[int, set[bytes]] = {}
         for kind in (k for k in kinds if k.run == run):
             for d, number in sorted(candidates(hashes, docs, piece.n_docs, kind)):
-                item_id, wanted = kind.items[number]
+                item_id, wanted, text = kind.items[number]
                 shared = int(np.isin(wanted, hashes[first[d] : first[d + 1]]).sum())
-                if shared >= settings.containment * len(wanted) - 1e-9:
-                    hits[d].append({"item_id": item_id, "n_shared": shared, "n_item": len(wanted)})
+                if shared < settings.containment * len(wanted) - 1e-9:
+                    continue
+                if d not in runs_of:
+                    runs_of = {d: word_runs(piece.data[piece.offsets[d] : piece.offsets[d + 1]].tobytes(), run)}
+                own = word_runs(text, run)
+                shared = len(own & runs_of[d])
+                if shared >= settings.containment * len(own) - 1e-9:
+                    hits[d].append({"item_id": item_id, "n_shared": shared, "n_item": len(own)})
     return hits
 
 
@@ -153,7 +171,7 @@ def _lowered(frame: DataFrame, text: str) -> DataFrame:
     return frame.withColumn("__lowered", F.lower(F.col(text).cast("string")))
 
 
-def _item_sets(items: DataFrame, settings: Settings, text: str, item_id: str) -> list[tuple[int | None, int, np.ndarray]]:
+def _item_sets(items: DataFrame, settings: Settings, text: str, item_id: str) -> list[Item]:
     def run(batches):
         for batch in batches:
             runs, sets = [], []
@@ -163,11 +181,11 @@ def _item_sets(items: DataFrame, settings: Settings, text: str, item_id: str) ->
                 for d in range(piece.n_docs):
                     runs.append(int(min(counts[d], settings.words)))
                     sets.append(np.unique(hashes[docs == d]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.int32()), pa.array(sets, pa.binary())], names=["item_id", "run", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.int32()), pa.array(sets, pa.binary()), batch.column(1)], names=["item_id", "run", "hashes", "text"])
 
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.lower(F.col(text).cast("string")).alias("text"))
-    got = rows.mapInArrow(run, "item_id long, run int, hashes binary").collect()
-    return [(r["item_id"], r["run"], np.frombuffer(r["hashes"], U64)) for r in got]
+    got = rows.mapInArrow(run, "item_id long, run int, hashes binary, text string").collect()
+    return [(r["item_id"], r["run"], np.frombuffer(r["hashes"], U64), (r["text"] or "").encode()) for r in got]
 
 
 def find(documents: DataFrame, items: DataFrame, settings: Settings = Settings(), text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
@@ -177,10 +195,10 @@ def find(documents: DataFrame, items: DataFrame, settings: Settings = Settings()
     block = F.pmod(F.xxhash64(item_text), F.lit(n_blocks))
     out = documents.drop("hits").withColumn("hits", F.lit(None).cast(HITS.dataType))
     for k in range(n_blocks):
-        sets = _item_sets(items.where(F.coalesce(block, F.lit(0)) == k), settings, item_text, item_id)
+        sets = documents.sparkSession.sparkContext.broadcast(_item_sets(items.where(F.coalesce(block, F.lit(0)) == k), settings, item_text, item_id))
 
         def make(sets=sets):
-            kinds = classes_of(sets, settings)
+            kinds = classes_of(sets.value, settings)
             return lambda piece: [search(piece, kinds, settings)]
 
         out = with_text_columns(_lowered(out.withColumnRenamed("hits", "__before"), text), "__lowered", [HITS], make)

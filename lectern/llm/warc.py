@@ -16,7 +16,12 @@ bytes, are logged with the place of the member.
 Payloads: null is empty. Of records with equal payloads the one with the greatest page id is
 the response (every row of that id, if the row is repeated), the others are revisits of it
 without a body. Rows without a page id are responses. Payloads below `revisit_from` bytes
-are always responses.
+are always responses. Very long payloads are one record each, whose archive closes behind it.
+An empty table gives no archive. Extra columns are not read, whatever their names.
+
+Only payloads that occur more than once are looked up: their digests are counted first, so a
+page is written where it is read. Beyond `broadcast_rows` such payloads the pages are joined with
+them by digest, and adaptive execution splits a digest that many pages have.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lectern.llm.scratch import Scratch
 from lectern.llm.textarrays import bounded_batches
 
 VERSION = b"WARC/1.1"
@@ -42,8 +48,12 @@ FEED = 1 << 14
 
 @dataclass(frozen=True)
 class Settings:
-    """archive_bytes: an archive is closed when it has so many. revisit_from: least payload that may be a revisit."""
+    """archive_bytes: an archive is closed when it has so many. revisit_from: least payload that may be a revisit.
+
+    broadcast_rows: at most so many repeated payloads are broadcast, about 60 bytes each.
+    """
 
+    broadcast_rows: int = 500_000
     archive_bytes: int = 1 << 20
     revisit_from: int = 0
     level: int = 6
@@ -214,10 +224,12 @@ def salvage(content: bytes) -> Iterator[Record | Gap]:
 def planned(pages: DataFrame, settings: Settings) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is null for responses."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keyed = rows.withColumns({"size": F.octet_length("html"), "digest": F.sha1(F.encode("html", "UTF-8"))})
-    last = keyed.groupBy("digest", "size").agg(F.max("page_id").alias("last"))
+    keyed = rows.withColumns({"size": F.octet_length("html"), "digest": F.unhex(F.sha1(F.encode("html", "UTF-8")))})
+    times = keyed.select("page_id", "digest", "size").groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("times"))
+    repeated = Scratch(pages.sparkSession, "payloads").keep(times.where("times > 1").select("digest", "size", "last"), "repeated")
+    few = repeated.limit(settings.broadcast_rows + 1).count() <= settings.broadcast_rows
     refers = F.when((F.col("size") >= settings.revisit_from) & (F.col("page_id") < F.col("last")), F.col("last"))
-    return keyed.join(last, ["digest", "size"]).select("page_id", "url", "html", refers.alias("refers_to"))
+    return keyed.join(F.broadcast(repeated) if few else repeated, ["digest", "size"], "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -6,23 +6,31 @@ by hashing alone, so equal elements get equal darts in every document. The earli
 each coordinate among those that fall below an element's weight is the document's minimum
 there, and two documents agree on a coordinate with their weighted Jaccard similarity.
 
-1. Documents of equal sets are one: the least id stands for them (`rep`).
+1. Documents of equal sets are one: the least id stands for them (`rep`). Signatures go no
+   further than the representative; the other copies are looked up as narrow rows, salted.
 2. Representatives that agree on all rows of a band share a bucket. Each member of a bucket
-   is paired with the bucket's least id, and pairs are checked on the whole sets.
+   is paired with the bucket's least id, and pairs are checked on the whole sets. These are
+   written once, for the members of buckets of two or more, and serve every later step. A
+   centre's pairs are checked in a stream behind the centre's set, in groups by a salt, so that
+   no row carries a copy of it and a centre with many members is many groups.
 3. Members of buckets that still hold several components are joined exactly by the prefix
    filter: the elements of each set are ordered by how many of these sets have them, rarest
    first, and two sets can only be similar enough if they share an element of the prefix
    that is as heavy as the similarity leaves open, and if enough weight lies ahead of it in
-   both. Members of different components that do are checked. So all pairs of a bucket are decided: by a check, by the filter, or because
-   they are connected already. Sets that differ from all others in many elements, as edited
+   both. Members of different components that do are checked. So all pairs of a bucket are
+   decided: by a check, by the filter, or because they are connected already. Sets that differ from all others in many elements, as edited
    copies in a large group do, have prefixes of elements that no other has.
 
 The chance that a pair of similarity s shares no bucket is (1 - s^rows)^bands; with the
 defaults 1e-4 at 0.8 and 1e-10 at 0.9.
 
+Elements are 64-bit hashes of the runs of words, of which two different ones are equal with a
+chance of 2**-64; similarities are those of the whole sets of hashes.
+
 Defined results: documents without words (null, empty, white space) are each their own
-class. Rows of one id are one document. A null id gets the class of its copies, else null.
-Extra columns are not read.
+class; a pair at just the similarity is one; an empty table gives an empty one. Rows of one id
+are one document. A null id gets the class of its copies, else null. Very long texts are
+taken whole. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,8 +47,8 @@ from lectern.llm.components import components
 from lectern.llm.scratch import Scratch
 from lectern.llm.textarrays import U64, Piece, bounded_batches, mix, release, text_pieces
 
-HASH_BITS = 40
-_LOW = U64((1 << HASH_BITS) - 1)
+#: Groups that the copies of one set are looked up in, and that the pairs of one centre are checked in.
+COPY_SALTS, STAR_SALTS = 16, 64
 
 
 @dataclass(frozen=True)
@@ -59,11 +67,15 @@ class Settings:
 
 
 def weighted_sets(piece: Piece, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles as 40-bit hashes in ascending order by document, their counts, and where each document's begin."""
+    """Distinct shingles' hashes in ascending order by document, their counts, and where each document's begin."""
     hashes, docs = piece.shingles(words)
-    keys, counts = np.unique((docs.astype(U64) << U64(HASH_BITS)) | (hashes >> U64(64 - HASH_BITS)), return_counts=True)
-    first = np.searchsorted(keys, np.arange(piece.n_docs + 1).astype(U64) << U64(HASH_BITS))
-    return keys & _LOW, counts, first
+    bounds = np.searchsorted(docs, np.arange(piece.n_docs + 1))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        hashes[a:b].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
+    at = np.flatnonzero(new)
+    return hashes[at], np.diff(np.append(at, len(hashes))), np.searchsorted(docs[at], np.arange(piece.n_docs + 1))
 
 
 def dart_minima(elements: np.ndarray, weights: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
@@ -158,17 +170,6 @@ def signatures(documents: DataFrame, settings: Settings, text: str = "text", doc
     return bounded_batches(rows).mapInArrow(run, "id long, n long, set_a long, set_b long, bands array<long>")
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """40-bit values as five bytes each."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
-
-
 def packed_sets(texts: DataFrame, settings: Settings) -> DataFrame:
     """(id, elements, counts) of (id, text) rows, the text lower-cased already."""
 
@@ -179,7 +180,7 @@ def packed_sets(texts: DataFrame, settings: Settings) -> DataFrame:
                 if settings.weights != "count":
                     counts = counts[:0]
                 spans = list(zip(first[:-1], first[1:], strict=True))
-                columns = [batch.column(0).slice(piece.first, piece.n_docs), pa.array([_pack(elements[a:b]) for a, b in spans], pa.binary()), pa.array([counts[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary())]
+                columns = [batch.column(0).slice(piece.first, piece.n_docs), pa.array([elements[a:b].astype("<u8").tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "elements", "counts"])
             release()
 
@@ -188,7 +189,7 @@ def packed_sets(texts: DataFrame, settings: Settings) -> DataFrame:
 
 def set_similarity(a: bytes, b: bytes, counts_a: bytes = b"", counts_b: bytes = b"") -> float:
     """Weighted Jaccard similarity of two packed sets."""
-    x, y = _unpack(a), _unpack(b)
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
     w = np.frombuffer(counts_a, "<u4").astype(float) if counts_a else np.ones(len(x))
     v = np.frombuffer(counts_b, "<u4").astype(float) if counts_b else np.ones(len(y))
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
@@ -202,41 +203,47 @@ def _narrow(ids: DataFrame, settings: Settings) -> DataFrame:
     return F.broadcast(ids) if ids.limit(settings.broadcast_rows + 1).count() <= settings.broadcast_rows else ids
 
 
-def similar_pairs(pairs: DataFrame, documents: DataFrame, settings: Settings, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets are similar enough."""
-    ids = scratch.keep(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.lower(F.col(text).cast("string")).alias("text"))
-    sets = packed_sets(texts.join(_narrow(ids, settings), "id", "left_semi"), settings)
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"), F.col("counts").alias("ca")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"), F.col("counts").alias("cb")), "b")
+def similar_pairs(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) of ids whose whole sets are similar enough. sets: (id, elements, counts)."""
+    salted = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(STAR_SALTS)).cast("int").alias("salt"), "b")
+    members = salted.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "elements", "counts")
+    centres = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "elements", "counts")
+    rows = members.unionByName(centres).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, own = None, []
         for batch in batches:
-            ea, eb, ca, cb = (batch.column(k) for k in range(2, 6))
-            keep = [k for k in range(batch.num_rows) if set_similarity(ea[k].as_py(), eb[k].as_py(), ca[k].as_py(), cb[k].as_py()) >= settings.similarity]
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    return both.select("a", "b", "ea", "eb", "ca", "cb").mapInArrow(run, "a long, b long")
-
-
-def prefix_pairs(rooted: DataFrame, documents: DataFrame, settings: Settings, scratch: Scratch, text: str, doc_id: str) -> DataFrame:
+            left, salts, right, elements, counts = (batch.column(k) for k in range(5))
+            out: tuple[list, list] = ([], [])
+            for k in range(batch.num_rows):
+                a, b, packed, times = left[k].as_py(), right[k].as_py(), elements[k].as_py(), counts[k].as_py()
+                if centre != (a, salts[k].as_py()):
+                    centre, own = (a, salts[k].as_py()), []
+                if b is None:
+                    own.append((packed, times))
+                elif any(set_similarity(x, packed, y, times) >= settings.similarity for x, y in own):
+                    out[0].append(a)
+                    out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+
+    return bounded_batches(rows).mapInArrow(run, "a long, b long")
+
+
+def prefix_pairs(rooted: DataFrame, sets: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of ids with different roots whose sets share an element of both prefixes. rooted: (id, root)."""
-    texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.lower(F.col(text).cast("string")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for piece in text_pieces(batch.column(1)):
-                elements, counts, first = weighted_sets(piece, settings.words)
-                weights = _weights(counts, settings.weights)
-                sizes = np.diff(first)
-                whole = np.add.reduceat(np.append(weights, 0.0), np.minimum(first[:-1], len(weights))) * (sizes > 0)
-                owner = np.repeat(np.arange(piece.n_docs), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[piece.first + owner]), pa.array(elements.astype(np.int64)), pa.array(weights), pa.array(whole[owner])], names=["id", "element", "weight", "whole"])
-            release()
-
-    rows = texts.join(_narrow(rooted.select("id"), settings), "id", "left_semi").mapInArrow(run, "id long, element long, weight double, whole double")
-    rows = scratch.keep(rows.dropDuplicates(["id", "element"]), "elements")
+            for begin in range(0, batch.num_rows, 64):
+                part = batch.slice(begin, 64)
+                elements = [np.frombuffer(x.as_py(), "<i8") for x in part.column(1)]
+                weights = [np.frombuffer(x.as_py(), "<u4").astype(float) if len(x.as_py()) else np.ones(len(e)) for x, e in zip(part.column(2), elements, strict=True)]
+                n, whole = [len(e) for e in elements], [w.sum() for w in weights]
+                columns = [np.repeat(np.asarray(part.column(0)), n), np.concatenate(elements), np.concatenate(weights), np.repeat(whole, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "element", "weight", "whole"])
+
+    own = bounded_batches(sets.join(_narrow(rooted.select("id"), settings), "id", "left_semi")).select("id", "elements", "counts")
+    rows = scratch.keep(own.mapInArrow(run, "id long, element long, weight double, whole double"), "elements")
     spread = rows.groupBy("element").agg(F.count("*").alias("spread")).where("spread > 1")
     common = rows.join(spread, "element")
     own = Window.partitionBy("id")
@@ -259,28 +266,38 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings(), text:
     scratch = Scratch(documents.sparkSession, "near")
     signed = scratch.keep(signatures(documents, settings, text, doc_id), "signed")
     sized = signed.where("n > 0")
-    least = sized.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
-    members = sized.join(least, ["set_a", "set_b"]).select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands"))
-    members = scratch.keep(members.unionByName(signed.where("n = 0").select("id", F.col("id").alias("rep"), F.lit(None).cast("array<long>").alias("bands"))), "members")
+    reps = scratch.keep(sized.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("times")), "reps")
+    alone = reps.where("times = 1").select(F.col("rep").alias("id"), "rep")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1)))
+    copied = reps.where("times > 1").select("set_a", "set_b", "rep", salts.alias("salt"))
+    copies = sized.select("id", "set_a", "set_b", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int").alias("salt")).join(copied, ["set_a", "set_b", "salt"]).select("id", "rep")
+    blank = signed.where("n = 0").select("id", F.col("id").alias("rep"))
+    members = scratch.keep(alone.unionByName(copies).unionByName(blank), "members")
     scratch.drop(signed)
 
-    entries = members.where("bands IS NOT NULL").select("id", F.explode("bands").alias("key"))
+    entries = reps.where("rep IS NOT NULL").select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     shared = scratch.keep(entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"), "shared")
     placed = scratch.keep(entries.join(_narrow(shared, settings), "key").select("key", "id", "lo"), "placed")
+    scratch.drop(reps)
+    ids = scratch.keep(placed.select("id").distinct(), "ids")
+    texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.lower(F.col(text).cast("string")).alias("text"))
+    sets = scratch.keep(packed_sets(texts.join(_narrow(ids, settings), "id", "left_semi"), settings), "sets", compression="none")
     stars = scratch.keep(placed.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = scratch.keep(similar_pairs(stars, documents, settings, scratch, text, doc_id), "links")
+    links = scratch.keep(similar_pairs(stars, sets, settings), "links")
     roots = scratch.keep(components(links, scratch), "roots")
 
     # members of buckets that hold more than one component
     rooted = placed.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     loose = scratch.keep(rooted.join(mixed, "key", "left_semi").select("id", "root").distinct(), "loose")
-    crossing = prefix_pairs(loose, documents, settings, scratch, text, doc_id).join(stars, ["a", "b"], "left_anti")
+    crossing = prefix_pairs(loose, sets, settings, scratch).join(stars, ["a", "b"], "left_anti")
     crossing = scratch.keep(crossing, "crossing")
     if not crossing.isEmpty():
-        links = scratch.keep(links.unionByName(similar_pairs(crossing, documents, settings, scratch, text, doc_id)), "links")
-        roots = components(links, scratch)
-    classes = members.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
+        links = scratch.keep(links.unionByName(similar_pairs(crossing, sets, settings)), "links")
+        roots = scratch.keep(components(links, scratch), "roots")
+    scratch.drop(sets)
+    members = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int"))
+    classes = members.join(roots.select(F.col("id").alias("rep"), "root", salts.alias("salt")), ["rep", "salt"], "left")
     return classes.select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))
 
 

@@ -5,17 +5,20 @@ the first at which they differ. It is rendered once; the turns from there on are
 and the rejected completion. Each rendered turn is a row of two strings: `masked`, which
 takes no part in the loss, and `target`, which does. Only what an assistant says in a
 completion is a target; headers, other roles and the prompt are masked. A part's rendering is
-the concatenation of masked and target in the order of turns.
+the concatenation of masked and target in the order of turns, and prompt and completion
+together are the rendering of the whole conversation.
 
-Turns stay rows from end to end. No conversation is gathered into one value, so one with a
-third of all turns is only many rows; a pair's first difference is a minimum, which is
-aggregated before the shuffle.
+Turns stay rows from end to end, and what both sides have is one row. No conversation is
+gathered into one value, so one with a third of all turns is only many rows: equal rows meet
+in an aggregate over (pair, turn, role, text), a pair's first difference is a minimum of one
+number for each turn, and the texts are joined on (pair, turn), which spreads a long conversation.
 
 Defined results: rows without a conversation or turn number are left out; repeated rows
 count once; rows of one turn are compared as a set and rendered in the order of role and
 text; null roles and texts are empty; a conversation that is a prefix of the other has no
-completion; a pair of which one conversation is missing gives nothing. `<|` in a text
-becomes `< |`, so that no text can end its turn. Extra columns are not read.
+completion; two equal conversations are a prompt alone; a pair of which one conversation is
+missing gives nothing; an empty table gives an empty one. Very long texts stay whole. `<|` in
+a text becomes `< |`, so that no text can end its turn. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,37 +27,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+REPLY = "assistant"
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """(pair_id, chosen_id, rejected_id): conversations 2k and 2k + 1, where no preference is given."""
-    ids = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).where("conv_id IS NOT NULL").distinct()
-    halves = ids.groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"))
-    sides = halves.agg(F.min(F.when(F.pmod("conv_id", F.lit(2)) == 0, F.col("conv_id"))).alias("chosen_id"), F.min(F.when(F.pmod("conv_id", F.lit(2)) == 1, F.col("conv_id"))).alias("rejected_id"))
-    return sides.where("chosen_id IS NOT NULL AND rejected_id IS NOT NULL")
-
-
-def preference_segments(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair_id, chosen_id, rejected_id, part, turn, role, masked, target), a row for each rendered turn.
-
-    pairs has pair_id, chosen_id and rejected_id; a conversation may be in many pairs.
-    """
-    turns = conversations.select(
+def _turns(conversations: DataFrame) -> DataFrame:
+    return conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    side = F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit("rejected").alias("side"), F.col("rejected_id").alias("conv_id")))
-    sides = pairs.select("pair_id", "chosen_id", "rejected_id", F.explode(side).alias("s")).select("pair_id", "chosen_id", "rejected_id", "s.side", "s.conv_id")
-    keys = ["pair_id", "chosen_id", "rejected_id"]
-    said = turns.join(sides, "conv_id").groupBy(*keys, "turn", "role", "text").agg(F.bool_or(F.col("side") == "chosen").alias("in_chosen"), F.bool_or(F.col("side") == "rejected").alias("in_rejected"))
-    differ = said.groupBy("pair_id").agg(F.min(F.when(~(F.col("in_chosen") & F.col("in_rejected")), F.col("turn"))).alias("first"), F.bool_or("in_chosen").alias("has_chosen"), F.bool_or("in_rejected").alias("has_rejected"))
-    placed = said.join(differ.where("has_chosen AND has_rejected"), "pair_id")
-    common = F.coalesce(F.col("turn") < F.col("first"), F.lit(True))
-    parts = F.when(common, F.array(F.lit("prompt"))).otherwise(F.filter(F.array(F.when(F.col("in_chosen"), "chosen"), F.when(F.col("in_rejected"), "rejected")), lambda p: p.isNotNull()))
-    rows = placed.select(*keys, F.explode(parts).alias("part"), "turn", "role", "text")
+
+
+def paired_turns(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, turn, role, text, in_chosen, in_rejected) of pairs (pair_id, chosen_id, rejected_id) of conversations; one may be in many pairs."""
+    side = F.array(F.struct(F.lit(True).alias("chosen"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit(False).alias("chosen"), F.col("rejected_id").alias("conv_id")))
+    sides = pairs.select("pair_id", F.explode(side).alias("s")).select("pair_id", "s.chosen", "s.conv_id")
+    return _turns(conversations).join(sides, "conv_id").select("pair_id", "turn", "role", "text", F.col("chosen").alias("in_chosen"), (~F.col("chosen")).alias("in_rejected"))
+
+
+def swapped_replies(conversations: DataFrame) -> DataFrame:
+    """paired_turns where no preference is stated: each conversation is preferred to itself with another's last reply.
+
+    The pair has the conversation's id. The rejected side has all of its turns, but in the place
+    of its last reply (the assistant's last turn) that of its neighbour: 2k and 2k + 1 are
+    neighbours. Without a reply of both there is nothing to swap, and the two sides are equal.
+    """
+    turns = _turns(conversations)
+    last = turns.where(F.col("role") == REPLY).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("reply"))
+    own = last.select(F.col("conv_id").alias("pair_id"), F.col("reply.turn").alias("turn"), F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"))
+    swapped = own.join(last, "conv_id").select("pair_id", "turn", F.lit(REPLY).alias("role"), F.col("reply.text").alias("text"))
+    places = swapped.select("pair_id", "turn", F.lit(True).alias("swapped"))
+    said = turns.withColumnRenamed("conv_id", "pair_id").join(places, ["pair_id", "turn"], "left")
+    kept = F.col("swapped").isNull() | (F.col("role") != REPLY)
+    rows = said.select("pair_id", "turn", "role", "text", F.lit(True).alias("in_chosen"), kept.alias("in_rejected"))
+    return rows.unionByName(swapped.withColumns({"in_chosen": F.lit(False), "in_rejected": F.lit(True)}))
+
+
+def preference_segments(paired: DataFrame) -> DataFrame:
+    """(pair_id, part, turn, role, masked, target) of paired_turns, a row for each rendered turn."""
+    said = paired.groupBy("pair_id", "turn", "role", "text").agg(F.bool_or("in_chosen").alias("in_chosen"), F.bool_or("in_rejected").alias("in_rejected"))
+    both = F.col("in_chosen") & F.col("in_rejected")
+    turns = said.groupBy("pair_id", "turn").agg(F.bool_and(both).alias("same"), F.bool_or("in_chosen").alias("in_chosen"), F.bool_or("in_rejected").alias("in_rejected"))
+    differ = turns.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.col("turn"))).alias("first"), F.bool_or("in_chosen").alias("has_chosen"), F.bool_or("in_rejected").alias("has_rejected"))
+    common = F.coalesce(F.col("turn") < F.col("first"), F.lit(True)).alias("common")
+    placed = turns.select("pair_id", "turn").join(differ.where("has_chosen AND has_rejected"), "pair_id").select("pair_id", "turn", common)
+    sides = F.filter(F.array(F.when(F.col("in_chosen"), "chosen"), F.when(F.col("in_rejected"), "rejected")), lambda p: p.isNotNull())
+    rows = said.join(placed, ["pair_id", "turn"]).select("pair_id", F.explode(F.when(F.col("common"), F.array(F.lit("prompt"))).otherwise(sides)).alias("part"), "turn", "role", "text")
     safe_role, safe_text = (F.replace(F.col(c), F.lit("<|"), F.lit("< |")) for c in ("role", "text"))
     header, body = F.concat(F.lit(OPEN), safe_role, F.lit("\n")), F.concat(safe_text, F.lit(CLOSE))
-    learned = (F.col("part") != "prompt") & (F.col("role") == "assistant")
-    return rows.select(*keys, "part", "turn", "role", F.when(learned, header).otherwise(F.concat(header, body)).alias("masked"), F.when(learned, body).otherwise("").alias("target"))
+    learned = (F.col("part") != "prompt") & (F.col("role") == REPLY)
+    return rows.select("pair_id", "part", "turn", "role", F.when(learned, header).otherwise(F.concat(header, body)).alias("masked"), F.when(learned, body).otherwise("").alias("target"))

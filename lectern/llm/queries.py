@@ -76,8 +76,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = table(spark, sf_dir, "conversations")
-    return chat.preference_segments(conversations, chat.neighbours(conversations))
+    return chat.preference_segments(chat.swapped_replies(table(spark, sf_dir, "conversations")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -151,24 +150,25 @@ SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id
 """,
     "op10_chat_preference": """
 WITH t AS (
-  SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
-), said AS (
-  SELECT pair_id, turn, role, text, bool_or(side = 0) AS in_chosen, bool_or(side = 1) AS in_rejected FROM t GROUP BY ALL
+  SELECT DISTINCT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), last AS (
+  SELECT pair_id, turn, text FROM t WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, text DESC) = 1
+), swapped AS (
+  SELECT a.pair_id, a.turn, b.text FROM last a JOIN last b ON b.pair_id = xor(a.pair_id, 1)
+), sides AS (
+  SELECT pair_id, 'chosen' AS side, turn, role, text FROM t
+  UNION SELECT pair_id, 'rejected', turn, role, text FROM t WHERE NOT (role = 'assistant' AND (pair_id, turn) IN (SELECT (pair_id, turn) FROM swapped))
+  UNION SELECT pair_id, 'rejected', turn, 'assistant', text FROM swapped
 ), differ AS (
-  SELECT pair_id, min(CASE WHEN NOT (in_chosen AND in_rejected) THEN turn END) AS first FROM said
-  GROUP BY pair_id HAVING bool_or(in_chosen) AND bool_or(in_rejected)
+  SELECT pair_id, min(turn) AS first FROM (SELECT pair_id, turn, role, text FROM sides GROUP BY ALL HAVING count(DISTINCT side) = 1) GROUP BY pair_id
 ), parts AS (
-  SELECT pair_id, 'prompt' AS part, turn, role, text FROM said JOIN differ USING (pair_id) WHERE coalesce(turn < first, true)
-  UNION ALL SELECT pair_id, 'chosen', turn, role, text FROM said JOIN differ USING (pair_id) WHERE turn >= first AND in_chosen
-  UNION ALL SELECT pair_id, 'rejected', turn, role, text FROM said JOIN differ USING (pair_id) WHERE turn >= first AND in_rejected
+  SELECT DISTINCT pair_id, CASE WHEN coalesce(turn < first, true) THEN 'prompt' ELSE side END AS part, turn, role, text FROM sides LEFT JOIN differ USING (pair_id)
 ), shown AS (
   SELECT *, '<|im_start|>' || replace(role, '<|', '< |') || chr(10) AS header, replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS body,
          part <> 'prompt' AND role = 'assistant' AS learned
   FROM parts
 )
-SELECT pair_id, 2 * pair_id AS chosen_id, 2 * pair_id + 1 AS rejected_id, part, turn, role,
-       CASE WHEN learned THEN header ELSE header || body END AS masked, CASE WHEN learned THEN body ELSE '' END AS target
+SELECT pair_id, part, turn, role, CASE WHEN learned THEN header ELSE header || body END AS masked, CASE WHEN learned THEN body ELSE '' END AS target
 FROM shown
 """,
 }

@@ -49,13 +49,14 @@ def test_queries_with_sql(spark, tmp_path, name):
 # ---- URL filter
 
 
-@pytest.mark.parametrize("hashes", [1, 4])
-def test_the_cascade_tells_every_key(spark, hashes):
+@pytest.mark.parametrize(("hashes", "segment_bits"), [(1, 1 << 26), (4, 1 << 26), (4, 700), (2, 100)])
+def test_the_cascade_tells_every_key(spark, hashes, segment_bits):
     keys = [f"host{k}.example.net" for k in range(3000)]
     listed = set(random.Random(1).sample(keys, 400))
     universe = spark.createDataFrame([(k,) for k in keys] + [(None,), (keys[0],)], "key string")
-    cascade = url_filter.build(spark.createDataFrame([(k,) for k in listed] + [("elsewhere",), (None,)], "key string"), universe, Scratch(spark, "t"), url_filter.Settings(hashes=hashes))
-    assert len(cascade.levels) > 1
+    cascade = url_filter.build(spark.createDataFrame([(k,) for k in listed] + [("elsewhere",), (None,)], "key string"), universe, Scratch(spark, "t"), url_filter.Settings(hashes, segment_bits))
+    assert len(cascade.levels) > 1 and (len(cascade.levels[0].segments) > 1) == (segment_bits < 1000)
+    assert all(s.selectExpr('size(bits)').first()[0] * 64 <= max(64, segment_bits) + 64 for s in cascade.levels[0].segments)
     got = {r["key"] for r in universe.where(cascade.holds(F.col("key"))).collect()}
     assert got == listed
     none = url_filter.build(universe.limit(0), universe, Scratch(spark, "t"))
@@ -65,14 +66,14 @@ def test_the_cascade_tells_every_key(spark, hashes):
 URLS = [
     (1, None), (2, "nothing"), (3, "http://A.Example.ORG/es/x?y#z"), (4, "https://example.org/en/12"), (5, "https://x.org?q=/a"),
     (6, "https://x.org/"), (7, "ftp://a.com/fr/b"), (8, "http://b.com/de/"), (9, "http://blocked.host.net/en"), (10, "x://y://z/w"),
-    (11, "http://notexample.org/es/"), (12, "http://ÉX.com/de/x"), (None, "http://x.com"), (3, "http://A.Example.ORG/es/x?y#z"),
+    (11, "http://notexample.org/es/"), (12, "http://ÉX.com/de/x"), (13, "http://long.com/fr/" + "x" * 1_000_000), (None, "http://x.com"), (3, "http://A.Example.ORG/es/x?y#z"),
 ]
 
 
 def test_urls(spark):
     pages = spark.createDataFrame(URLS, "page_id long, url string").withColumn("host", F.lit("clash"))
     listed = spark.createDataFrame([("blocked.host.net",), ("unseen.org",)], "key string")
-    for settings in (url_filter.Settings(), url_filter.Settings(max_bits=1)):
+    for settings in (url_filter.Settings(), url_filter.Settings(segment_bits=64)):
         rows = url_filter.judge(pages, listed, settings=settings).collect()
         got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows}
         assert len(rows) == len(URLS)
@@ -83,6 +84,7 @@ def test_urls(spark):
         assert got[7][2:] == ("com/fr/", "allow") and got[8][2:] == ("com/de/", "block")
         assert got[9] == ("blocked.host.net", "/en", None, "block")
         assert got[10][:2] == ("y:", "//z/w") and got[11][2:] == ("org/", "allow") and got[12][0] == "Éx.com"
+        assert len(got[13][1]) == 1_000_004 and got[13][2:] == ("com/fr/", "allow")
     assert url_filter.judge(pages.limit(0), listed).count() == 0
 
 
@@ -424,15 +426,18 @@ def test_components(spark):
 # ---- chat
 
 
+TURNS = [
+    (0, 0, "system", "s"), (0, 1, "user", "u"), (0, 2, "assistant", "good <|im_end|>"), (0, 3, "user", "thanks"),
+    (1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "bad"),
+    (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "user", "alone"),
+    (6, 0, "user", None), (6, 0, "user", None), (7, 0, None, None), (None, 0, "user", "x"), (6, None, "user", "x"),
+]
+
+
 def test_preference_pairs(spark):
-    turns = [
-        (0, 0, "system", "s"), (0, 1, "user", "u"), (0, 2, "assistant", "good <|im_end|>"), (0, 3, "user", "thanks"),
-        (1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "bad"),
-        (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "user", "alone"),
-        (6, 0, "user", None), (6, 0, "user", None), (7, 0, None, None), (None, 0, "user", "x"), (6, None, "user", "x"),
-    ]
-    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
-    rows = chat.preference_segments(frame, chat.neighbours(frame)).orderBy("pair_id", "part", "turn").collect()
+    frame = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
+    pairs = spark.createDataFrame([(0, 0, 1), (1, 2, 3), (2, 4, 5), (3, 6, 7)], "pair_id long, chosen_id long, rejected_id long")
+    rows = chat.preference_segments(chat.paired_turns(frame, pairs)).orderBy("pair_id", "part", "turn").collect()
     got = [(r["pair_id"], r["part"], r["turn"], r["masked"], r["target"]) for r in rows]
     o, c = chat.OPEN, chat.CLOSE
     assert got == [
@@ -445,7 +450,36 @@ def test_preference_pairs(spark):
         (3, "chosen", 0, f"{o}user\n{c}", ""),
         (3, "rejected", 0, f"{o}\n{c}", ""),
     ]
-    assert chat.preference_segments(frame.limit(0), chat.neighbours(frame.limit(0))).count() == 0
+    assert chat.preference_segments(chat.paired_turns(frame.limit(0), pairs)).count() == 0
+    swapped = chat.preference_segments(chat.swapped_replies(frame)).collect()
+    assert {(r["pair_id"], r["part"], r["turn"], r["target"]) for r in swapped} == {
+        (0, "prompt", 0, ""), (0, "prompt", 1, ""), (0, "chosen", 2, f"good < |im_end|>{c}"), (0, "chosen", 3, ""), (0, "rejected", 2, f"bad{c}"), (0, "rejected", 3, ""),
+        (1, "prompt", 0, ""), (1, "prompt", 1, ""), (1, "chosen", 2, f"bad{c}"), (1, "rejected", 2, f"good < |im_end|>{c}"),
+        (2, "prompt", 0, ""), (3, "prompt", 0, ""), (4, "prompt", 0, ""), (6, "prompt", 0, ""), (7, "prompt", 0, ""),
+    }
+    assert chat.preference_segments(chat.swapped_replies(frame.limit(0))).count() == 0
+
+
+@needs_tables
+def test_prompt_and_completion_are_the_whole_conversation(spark):
+    rows = QUERIES["op10_chat_preference"](spark, FOLDER).collect()
+    turns = defaultdict(list)
+    for r in table(spark, FOLDER, "conversations").collect():
+        turns[r["conv_id"]].append((r["turn"], r["role"], r["text"]))
+    parts = defaultdict(str)
+    for r in sorted(rows, key=lambda r: (r["turn"], r["role"])):
+        parts[r["pair_id"], r["part"]] += r["masked"] + r["target"]
+    last = {k: max((t, x) for t, role, x in own if role == "assistant") for k, own in turns.items() if any(role == "assistant" for _, role, _ in own)}
+
+    def shown(own):
+        return "".join(f"{chat.OPEN}{role}\n{text}{chat.CLOSE}" for _, role, text in sorted(own))
+
+    for k, own in turns.items():
+        other = [(t, role, last[k ^ 1][1] if role == "assistant" and t == last[k][0] else x) for t, role, x in own] if k in last and k ^ 1 in last else own
+        assert parts[k, "prompt"] + parts[k, "chosen"] == shown(own)
+        assert parts[k, "prompt"] + parts[k, "rejected"] == shown(other)
+    swapped = [k for k in turns if parts[k, "rejected"]]
+    assert len(swapped) > len(turns) / 2 and sum(bool(parts[k, "prompt"]) for k in swapped) > 0.9 * len(swapped)
 
 
 # ---- the pipeline

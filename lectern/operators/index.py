@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.lemmas import Lemmatizer, LowerCase
+from lectern.scratch import Scratch
 
 # Zones, the threshold under which a term carries nothing, and terms that never do.
 ZONES = ("titre", "texte")
@@ -112,22 +113,27 @@ def best_lemmas(forms: DataFrame) -> DataFrame:
     return forms.groupBy("surface").agg(F.min_by("lemma", F.struct(-F.col("freq"), F.col("lemma"))).alias("lemma"))
 
 
-def dense_ids(frame: DataFrame, order: str, name: str = "doc_id") -> DataFrame:
-    """frame with ids 1, 2, 3, ... in the order of a column of distinct values.
+def dense_ids(frame: DataFrame, *order: str | Column, name: str = "doc_id") -> DataFrame:
+    """frame with ids 1, 2, 3, ... in an order that is the same for no two rows.
 
-    Rows are sorted by ranges and numbered within their partition; a partition's offset is
-    the count of those before it, so no task sees more than its range.
+    Rows are sorted by ranges and written once with their range and their place in it, so that
+    every later step reads the same numbers. A range's offset is the count of those before it;
+    the driver gets one number for each range.
     """
-    placed = frame.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    counts = sorted((r["__part"], r["count"]) for r in placed.groupBy("__part").count().collect())
+    at = F.monotonically_increasing_id()  # the range in the upper bits, the place in it below
+    placed = frame.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = Scratch(frame.sparkSession, "dense").keep(placed.withColumn("__at", at), "placed")
+    part = F.shiftright("__at", 33)
+    counts = sorted((r["part"], r["n"]) for r in kept.groupBy(part.alias("part")).agg((F.max(F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))) + 1).alias("n")).collect())
     offsets, total = [], 0
-    for part, count in counts:
-        offsets.append((part, total))
+    for number, count in counts:
+        offsets.append((number, total))
         total += count
-    table = frame.sparkSession.createDataFrame(offsets or [(0, 0)], "__part int, __offset long")
-    row = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    out = placed.join(F.broadcast(table), "__part").withColumn(name, (row + F.col("__offset")).cast("long"))
-    return out.select(name, *[c for c in frame.columns if c != name])
+    table = frame.sparkSession.createDataFrame(offsets or [(0, 0)], "__part long, __offset long")
+    out = kept.withColumn("__part", part).join(F.broadcast(table), "__part", "left")
+    offset = F.coalesce("__offset", F.raise_error(F.lit("a range without an offset")).cast("long"))
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + offset + 1
+    return out.select(place.cast("long").alias(name), *[c for c in frame.columns if c.lower() != name.lower()])
 
 
 @dataclass(frozen=True)

@@ -271,7 +271,7 @@ def all_doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids without gaps in the order of a name."""
     named = table(spark, sf_dir, "pages").select("page_id", F.concat_ws("\u0001", "url", F.lpad("page_id", 20, "0")).alias("name"))
-    return I.dense_ids(named, "name", "id").select("id", "page_id")
+    return I.dense_ids(named, "name", name="id").select("id", "page_id")
 
 
 # ---- filters

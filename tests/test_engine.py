@@ -65,6 +65,29 @@ def test_dense_ids(spark):
     assert got == {n: k + 1 for k, n in enumerate(names)}
 
 
+def test_dense_ids_of_many_wide_rows(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        rows = spark.range(40_000).select(F.md5(F.col("id").cast("string")).alias("name"), F.repeat(F.lit("x"), 2000).alias("text"))
+        out = I.dense_ids(rows, "name")
+        numbered = out.groupBy().agg(F.count("*"), F.countDistinct("doc_id"), F.min("doc_id"), F.max("doc_id"), F.sum(F.length("text"))).first()
+        assert tuple(numbered) == (40_000, 40_000, 1, 40_000, 80_000_000)
+        names = [r["name"] for r in out.where("doc_id <= 500").orderBy("doc_id").collect()]
+        assert names == [r["name"] for r in rows.orderBy("name").limit(500).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_dense_ids_by_several_columns(spark):
+    rows = spark.createDataFrame([(1, None), (2, 5), (3, 5), (4, 9)], "id long, d int")
+    got = {r["id"]: r["place"] for r in I.dense_ids(rows, F.desc_nulls_last("d"), F.col("id"), name="place").collect()}
+    assert got == {4: 1, 2: 2, 3: 3, 1: 4}
+    assert I.dense_ids(rows.limit(0), "id").isEmpty()
+
+
 def brute(query: ParsedQuery) -> dict[int, float]:
     import re
 

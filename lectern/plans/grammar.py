@@ -37,9 +37,9 @@ THEME = (
     r"|possèd[e]?(?:nt)?|possédant|impliqu(?:e|ent|ant|er)|comport(?:e|ent|ant|er))\b\s*(?P<theme>.+)"
 )
 ARTICLE_WORD = r"\barticles?\b"
-LEADING_WORDS = r"^(?:les?\s+mots?\b|les?\s+termes?\b)\s*"
-LEADING_ARTICLE = r"^(des|du|de la|de l[']|d[']|de|les|la|le|l['])\s*"
-INNER_WORDS = r"\bles?\s+mots?\s+|\bles?\s+termes?\s+"
+# A theme may be led by "le mot", "les termes" and the like, and by one of these, of which the first that fits counts.
+NAMING = (("le", "les"), ("mot", "mots", "terme", "termes"))
+LEADING_ARTICLES = ("des", "du", "de la", "de l'", "d'", "de", "les", "la", "le", "l'")
 LEADING_NOT = r"^(?:non\s+pas|pas)\s+"
 OF_SOMETHING = r"\b(?:des|de l[']|de la|de|du|d['])\s*(.+)$"
 LEADING_OPERATOR = r"^(?:et|ou)\s+"
@@ -58,14 +58,16 @@ DATE_KINDS = (
 )
 # Words of queries that are never corrected.
 CONTROL_WORDS = (
-    "rubrique rubriques titre titres article articles contient contiennent contenant evoque evoquant parle parlent parlant parler "
-    "traite traitent traitant traiter mentionne mentionnent mentionnant mentionner concerne concernent porte portent portant "
-    "implique impliquent impliquant impliquer mot mots terme termes entre et ou sans non pas mais dont qui que des du de la le les "
-    "un une il ils elle elles se son sa ses image images avec sur dans pour par veux voudrais vouloir afficher liste donner trouver "
-    "chercher obtenir recuperer presenter datant publie publies publiee publiees paru parus annee annees mois jour jours an ans "
-    "janvier fevrier mars avril mai juin juillet aout septembre octobre novembre decembre depuis apres avant partir date dates ce "
-    "cette ces tout tous toute toutes comme ainsi deux trois premier premiere auteur auteurs redacteur redacteurs redactrice"
-).split()
+    "rubrique", "rubriques", "titre", "titres", "article", "articles", "contient", "contiennent", "contenant", "evoque", "evoquant", "parle",
+    "parlent", "parlant", "parler", "traite", "traitent", "traitant", "traiter", "mentionne", "mentionnent", "mentionnant", "mentionner", "concerne",
+    "concernent", "porte", "portent", "portant", "implique", "impliquent", "impliquant", "impliquer", "mot", "mots", "terme", "termes", "entre", "et",
+    "ou", "sans", "non", "pas", "mais", "dont", "qui", "que", "des", "du", "de", "la", "le", "les", "un", "une", "il", "ils", "elle", "elles", "se",
+    "son", "sa", "ses", "image", "images", "avec", "sur", "dans", "pour", "par", "veux", "voudrais", "vouloir", "afficher", "liste", "donner",
+    "trouver", "chercher", "obtenir", "recuperer", "presenter", "datant", "publie", "publies", "publiee", "publiees", "paru", "parus", "annee",
+    "annees", "mois", "jour", "jours", "an", "ans", "janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout", "septembre", "octobre",
+    "novembre", "decembre", "depuis", "apres", "avant", "partir", "date", "dates", "ce", "cette", "ces", "tout", "tous", "toute", "toutes", "comme",
+    "ainsi", "deux", "trois", "premier", "premiere", "auteur", "auteurs", "redacteur", "redacteurs", "redactrice",
+)
 
 
 def pattern(text: str) -> re.Pattern[str]:

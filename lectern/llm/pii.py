@@ -2,19 +2,23 @@
 
 The patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers; what
 they find always stays. The tagger is trained in numpy from labelled spans: those of the
-patterns in sampled documents, and written variants that the patterns miss (numbers without
-a plus sign, addresses with "at" and "dot", and so on) set into sampled text, among look-alikes
-that are no personal data. It adds the spans that it is sure of.
-
-Every text is tagged whole, in windows of `width` characters at every `width / 2`. Each window is
-decoded by itself. A span that an inner border cuts is left to the neighbouring window if that sees
+patterns' shapes in sampled documents, and written variants that the patterns miss (numbers
+without a plus sign, addresses with "at" and "dot", and so on) set into sampled text, among
+look-alikes that are no personal data. It adds the spans that it is sure of and that have what
+their kind cannot do without; so it learns the shape of a card number, whatever its check digit,
+and a card that it finds must pass Luhn's check.
+
+Every text is tagged whole, in windows of `width` characters that overlap by `overlap`. Each
+window is decoded by itself. A span that an inner border cuts is left to the neighbouring window if that sees
 it whole; a longer one is joined from its parts, if the windows on both sides of the border have it.
 The spans of all windows of a text are then reconciled at once: of those that overlap, the choice
 with the greatest sum of confidences stays. Decimal digits of all scripts are one class, and
 full-width forms are as their ASCII forms.
 
-Defined results: null is as empty. Positions are code points, the end exclusive. Extra
-columns are kept; one named like an added column gives way to it.
+Defined results: null is as empty; an empty table gives an empty one, and a model may be
+trained on it. Positions are code points, the end exclusive. A very long text is tagged window
+by window. Of sets of spans with equal sums the one that ends first stays. Repeated rows are
+tagged each by itself. Extra columns are kept; one named like an added column gives way to it.
 """
 
 from __future__ import annotations
@@ -30,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.textarrays import Piece, with_text_columns
+from lectern.llm.textarrays import Piece, one_blas_thread, with_text_columns
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 N_TAGS = len(TAGS)
+WIDTH_STEP = 64
+#: Texts are tagged in pieces of so many bytes, so that windows of each width are many.
+PIECE_BYTES = 1 << 22
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -88,6 +95,13 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     }
 
 
+def shapes(text: str) -> list[tuple[int, int, str]]:
+    """What the tagger learns of a sampled text: the patterns' spans, and card numbers whatever their check digit."""
+    spans = [(a, b, k) for k, own in base_spans(text).items() for a, b in own if k != "card"]
+    spans += [(*m.span(), "card") for m in _CARD.finditer(text) if 16 <= sum("0" <= c <= "9" for c in m[0]) <= 19]
+    return sorted(spans)
+
+
 def joined(spans: dict[str, list[Span]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in sorted(spans.get(k, [])))
 
@@ -108,16 +122,26 @@ N_CLASSES = len(_PLAIN) + 6  # 0 is beyond the text
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: most documents that are labelled. sure: least confidence of a span that is added."""
+    """width, overlap: of the windows that texts are tagged in; a span of up to overlap characters is whole in one.
 
-    width: int = 96
-    hidden: int = 20
-    embedding: int = 10
+    sample: most documents that are labelled. around, around_chars: most pieces of a sampled
+    document about its digits and at signs, and their characters. centres: most training windows of a
+    piece. train_width: characters of a training window. sure: least confidence of a span that is added.
+    """
+
+    width: int = 256
+    overlap: int = 48
+    train_width: int = 96
+    hidden: int = 12
+    embedding: int = 8
     sample: int = 300
+    around: int = 20
+    around_chars: int = 400
+    centres: int = 12
     windows: int = 1600
-    epochs: int = 10
+    epochs: int = 16
     batch: int = 40
-    rate: float = 0.02
+    rate: float = 0.03
     sure: float = 0.9
     seed: int = 23
 
@@ -269,6 +293,12 @@ def _digits(rng, n: int) -> str:
     return "".join(str(d) for d in rng.integers(0, 10, n))
 
 
+def _card(rng) -> str:
+    """Sixteen digits that pass Luhn's check."""
+    number = _digits(rng, 15)
+    return next(number + c for c in "0123456789" if luhn(number + c))
+
+
 def _word(rng, words: list[str]) -> str:
     w = re.sub(r"[^A-Za-z]", "", words[int(rng.integers(len(words)))]).lower()
     return w or "name"
@@ -287,9 +317,10 @@ def variant(rng, words: list[str]) -> tuple[str, str | None]:
     if pick == 3:
         return ".".join(str(int(rng.integers(256))) for _ in range(4)), "ip"
     if pick == 4:
-        return _digits(rng, 16), "card"
+        return _card(rng), "card"
     if pick == 5:
-        return str(rng.choice([" ", "-", "."])).join(_digits(rng, 4) for _ in range(4)), "card"
+        number = _card(rng)
+        return str(rng.choice([" ", "-", "."])).join(number[k : k + 4] for k in range(0, 16, 4)), "card"
     if pick == 6:
         return f"+{_digits(rng, 1)} ({_digits(rng, 3)}) {_digits(rng, 3)}-{_digits(rng, 4)}", "phone"
     if pick == 7:
@@ -310,39 +341,41 @@ def _tagged(length: int, spans: list[tuple[str, int, int]]) -> np.ndarray:
 
 def training_windows(texts: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Windows and tags: the patterns' spans in the texts, and variants set into them."""
-    rng = np.random.default_rng(settings.seed)
+    rng, width = np.random.default_rng(settings.seed), settings.train_width
     texts = [t for t in texts if t.strip()] or ["the text and the words of the line"]
     rows: list[tuple[str, np.ndarray]] = []
     for text in texts:
-        spans = base_spans(text)
-        flat = sorted((a, b, k) for k, own in spans.items() for a, b in own)
+        flat = shapes(text)
         tags = np.zeros(len(text), np.int64)
         for a, b, k in flat:
             if not tags[a:b].any():
                 tags[a:b] = _tagged(b - a, [(k, 0, b - a)])
-        centres = [a for a, _, _ in flat] + [m.start() for m in re.finditer(r"[0-9@]+", text)][:8] + [int(rng.integers(len(text)))]
-        for centre in centres[:12]:
-            a = max(0, centre - int(rng.integers(0, settings.width)))
-            rows.append((text[a : a + settings.width], tags[a : a + settings.width]))
+        centres = [a for a, _, _ in flat] + [m.start() for m in re.finditer(r"[0-9@]+", text)] + [int(rng.integers(len(text)))]
+        for centre in centres[: settings.centres]:
+            a = max(0, centre - int(rng.integers(0, width)))
+            rows.append((text[a : a + width], tags[a : a + width]))
     rows = [rows[k] for k in rng.permutation(len(rows))[: settings.windows // 4]]
     while len(rows) < settings.windows:
         text = texts[int(rng.integers(len(texts)))]
         a = int(rng.integers(len(text)))
-        carrier = re.sub(r"[0-9@]", "", text[a : a + 3 * settings.width])
+        carrier = re.sub(r"[0-9@]", "", text[a : a + 3 * width])
         words = text[a : a + 400].split() or ["name"]
         out, tags = "", np.zeros(0, np.int64)
         for part in re.split(r"(?<=\s)", carrier):
             if rng.random() < 0.2:
-                shown, kind = variant(rng, words)
-                tail = str(rng.choice([" ", " ", ", ", ". ", "\n"]))
-                tags = np.concatenate([tags, _tagged(len(shown), [(kind, 0, len(shown))] if kind else []), np.zeros(len(tail), np.int64)])
-                out += shown + tail
+                parts = [variant(rng, words)]
+                if parts[0][1] == "card" and rng.random() < 0.3:
+                    parts.append((_card(rng), "card"))  # two side by side, which the pattern takes for one
+                for shown, kind in parts:
+                    tail = " " if len(parts) > 1 else str(rng.choice([" ", " ", ", ", ". ", "\n"]))
+                    tags = np.concatenate([tags, _tagged(len(shown), [(kind, 0, len(shown))] if kind else []), np.zeros(len(tail), np.int64)])
+                    out += shown + tail
             out += part
             tags = np.concatenate([tags, np.zeros(len(part), np.int64)])
-        begin = int(rng.integers(max(1, len(out) - settings.width)))
-        rows.append((out[begin : begin + settings.width], tags[begin : begin + settings.width]))
-    windows = np.zeros((len(rows), settings.width), np.int64)
-    tags = np.zeros((len(rows), settings.width), np.int64)
+        begin = int(rng.integers(max(1, len(out) - width)))
+        rows.append((out[begin : begin + width], tags[begin : begin + width]))
+    windows = np.zeros((len(rows), width), np.int64)
+    tags = np.zeros((len(rows), width), np.int64)
     for k, (text, own) in enumerate(rows):
         windows[k, : len(text)] = classes_of(text)
         tags[k, : len(text)] = own
@@ -355,8 +388,8 @@ def training_windows(texts: list[str], settings: Settings) -> tuple[np.ndarray,
 def train(documents: DataFrame, settings: Settings = Settings()) -> Model:
     """Learns from the pieces of at most `sample` documents that lie around digits and at signs, and some without.
 
-    The documents are the first by a hash of the text; the driver gets at most 20 pieces
-    of 400 characters of each.
+    The documents are the first by a hash of the text; the driver gets at most settings.around
+    pieces of settings.around_chars characters of each.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digit = text.rlike("[0-9@]")
@@ -368,8 +401,9 @@ def train(documents: DataFrame, settings: Settings = Settings()) -> Model:
         few = (F.col("h") / F.lit(2.0**64) + 0.5) * n < 64 * number + 1000
         chosen = rows.select("text", F.xxhash64("text").alias("h")).where(few).where(which)
         keys = chosen.select("h").distinct().orderBy("h").limit(number)
-        around = F.slice(F.regexp_extract_all("text", F.lit(r"(?s).{0,200}[0-9@].{0,200}"), 0), 1, 20)
-        pieces = F.when(which, around).otherwise(F.array(F.substring("text", 1, 400)))
+        half = settings.around_chars // 2
+        around = F.slice(F.regexp_extract_all("text", F.lit(rf"(?s).{{0,{half}}}[0-9@].{{0,{half}}}"), 0), 1, settings.around)
+        pieces = F.when(which, around).otherwise(F.array(F.substring("text", 1, settings.around_chars)))
         parts.append(chosen.join(F.broadcast(keys), "h").groupBy("h").agg(F.min(pieces).alias("pieces")))
     got = sorted((r["h"], r["pieces"]) for r in parts[0].unionByName(parts[1]).collect())
     return fit(*training_windows([p for _, own in got for p in own], settings), settings)
@@ -424,53 +458,76 @@ def reconciled(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
 
 
 def _prepared(model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each direction the weights of (state, input, 1), such that 1 / (1 + exp) gives the gates, and those of the output."""
+    """For each direction the weights of (twice the state, input, 1), such that tanh gives 2 * gate - 1 and the cell's input, and those of the output."""
     n = model["fh"].shape[0]
-    scale = np.where(np.arange(4 * n) < 3 * n, -1.0, -2.0)
+    scale = np.where(np.arange(4 * n) < 3 * n, 0.5, 1.0)
     out = []
     for wx, wh, b, own in (("fx", "fh", "fb", model["out"][:n]), ("bx", "bh", "bb", model["out"][n:])):
-        weights = np.concatenate([model[wh], model[wx], model[b][None]]) * scale
-        out.append((np.ascontiguousarray(weights.T, np.float32), np.ascontiguousarray(own.T, np.float32)))
+        weights = np.concatenate([model[wh] / 2, model[wx], model[b][None]]) * scale
+        out.append((np.ascontiguousarray(weights.T, np.float32), np.ascontiguousarray(own.T / 2, np.float32)))
     return out
 
 
 def _has_span(model: Model, prepared: list[tuple[np.ndarray, np.ndarray]], windows: np.ndarray) -> np.ndarray:
     """Whether a path that leaves O is the best of its window, or within rounding of it; without the way back.
 
-    These are the sums of _window_spans with the rows last, and the gates by exp, which
-    numpy does several times as fast as tanh.
+    These are the sums of _window_spans with the rows last, and every gate as a tanh. While the
+    backward direction is read, the most that a stretch of other tags may gain over O is summed
+    up: `heads` and `tails` are the gains of stretches from a step on that begin there with B or go
+    on with I. Only moves from one stretch into the next are taken as the best of their like, so
+    windows in which nothing is gained have no such path; the others go on to the exact sums.
     """
     rows, steps = windows.shape
     n, k = model["fh"].shape[0], model["embed"].shape[1]
-    x = np.take(np.ascontiguousarray(model["embed"].T), windows.T, axis=1)
+    embed, columns = np.ascontiguousarray(model["embed"].T), np.ascontiguousarray(windows.T, np.intp)
     e = np.empty((steps, N_TAGS, rows), np.float32)
-    e[:] = model["bias"][:, None]
     z = np.empty((4 * n, rows), np.float32)
-    with np.errstate(over="ignore"):
-        for (weights, own), order in zip(prepared, (range(steps), range(steps - 1, -1, -1)), strict=True):
-            both = np.ones((n + k + 1, rows), np.float32)
-            h, c = both[:n], np.zeros((n, rows), np.float32)
-            h[:] = 0
-            for t in order:
-                both[n : n + k] = x[:, t]
-                np.matmul(weights, both, out=z)
-                np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-                g = z[3 * n :]
-                g *= 2
-                g -= 1
-                z[:n] *= g
-                c *= z[n : 2 * n]
-                c += z[:n]
-                np.multiply(c, -2, out=h)
-                np.exp(h, out=h)
-                h += 1
-                np.divide(2, h, out=h)
-                h -= 1
-                h *= z[2 * n : 3 * n]
-                e[t] += own @ h
-    moves = (model["moves"] + _FORBIDDEN)[:, :, None]
+    moves = model["moves"] + _FORBIDDEN
+    over = moves - moves[0, 0]
+    begin, leave, cross = over[0, 1::2, None], float(over[1:, 0].max()), float(over[1:, 1::2].max())
+    first_on, on = (np.array([over[2 * j + i, 2 * j + 2] for j in range(len(KINDS))], np.float32)[:, None] for i in (1, 2))
+    heads, tails = (np.full((len(KINDS), rows), -1e4, np.float32) for _ in range(2))
+    gain = np.full(rows, -np.inf, np.float32)
+    gates, g, i, f, o = z[: 3 * n], z[3 * n :], z[:n], z[n : 2 * n], z[2 * n : 3 * n]
+    for last, (weights, own), order in zip((False, True), prepared, (range(steps), range(steps - 1, -1, -1)), strict=True):
+        both = np.ones((n + k + 1, rows), np.float32)
+        h, c, seen = both[:n], np.zeros((n, rows), np.float32), both[n : n + k]
+        h[:] = 0
+        for t in order:
+            np.take(embed, columns[t], axis=1, out=seen, mode="clip")
+            np.matmul(weights, both, out=z)
+            np.tanh(z, out=z)
+            gates += 1
+            np.multiply(i, g, out=g)
+            c *= f
+            c += g
+            c *= 0.5
+            np.tanh(c, out=h)
+            h *= o
+            if not last:
+                np.matmul(own, h, out=e[t])
+                continue
+            now = e[t]
+            now += own @ h
+            out = np.maximum(heads.max(axis=0) + cross, leave if t < steps - 1 else 0.0)
+            lead = now[1:] - (now[0] - model["bias"][1:, None] + model["bias"][0])
+            np.maximum(tails + first_on, out, out=heads)
+            heads += lead[::2]
+            tails += on
+            np.maximum(tails, out, out=tails)
+            tails += lead[1::2]
+            np.maximum(gain, (heads + begin if t else heads).max(axis=0), out=gain)
+    able = np.flatnonzero(gain >= -1e-2)
+    found = np.zeros(rows, bool)
+    if len(able):
+        found[able] = _leaves_plain(e[:, :, able] + model["bias"][:, None], moves)
+    return found
+
+
+def _leaves_plain(e: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Of emissions steps x tags x rows, whether the best path with a tag other than O is above the one of O alone, or near it."""
+    steps, _, rows = e.shape
+    moves = moves[:, :, None]
     plain, left = e[0, 0].copy(), e[0] + _NO_START[:, None]
     left[0] = -1e4
     ways = np.empty((N_TAGS, N_TAGS, rows), np.float32)
@@ -484,54 +541,77 @@ def _has_span(model: Model, prepared: list[tuple[np.ndarray, np.ndarray]], windo
     return left.max(axis=0) > plain - 1e-2
 
 
-def _windows_of(all_classes: list[np.ndarray], width: int, stride: int):
-    """Batches of windows that cover all texts, with (text, offset) of each."""
-    where, cuts, size = [], [], 0
+def _windows_of(all_classes: list[np.ndarray], settings: Settings, rows: int = 1024):
+    """Batches of windows of one width that cover all texts, with (text, offset) of each.
+
+    A text's last window is as wide as its rest needs, in steps of WIDTH_STEP; what lies
+    beyond the text is of class 0.
+    """
+    width, stride = settings.width, settings.width - settings.overlap
+    ready: dict[int, tuple[list[np.ndarray], list[tuple[int, int]]]] = {}
     for number, classes in enumerate(all_classes):
-        n = max(1, -(-(len(classes) - width) // stride) + 1) if len(classes) else 0
-        for begin in range(0, n, 512):
-            own = min(512, n - begin)
-            part = np.zeros((own - 1) * stride + width, classes.dtype)
-            piece = classes[begin * stride : begin * stride + len(part)]
-            part[: len(piece)] = piece
-            cuts.append(np.lib.stride_tricks.sliding_window_view(part, width)[::stride])
-            where += [(number, (begin + g) * stride) for g in range(own)]
-            size += own
-            if size >= 512:
-                yield np.concatenate(cuts), where
-                where, cuts, size = [], [], 0
-    if cuts:
-        yield np.concatenate(cuts), where
+        for offset in range(0, max(0, len(classes) - settings.overlap), stride) if len(classes) > width else [0] * (len(classes) > 0):
+            rest = len(classes) - offset
+            own = min(width, -(-rest // WIDTH_STEP) * WIDTH_STEP)
+            window = classes[offset : offset + own]
+            if len(window) < own:
+                window = np.append(window, np.zeros(own - len(window), classes.dtype))
+            cuts, where = ready.setdefault(own, ([], []))
+            cuts.append(window)
+            where.append((number, offset))
+            if len(cuts) == rows:
+                yield np.stack(cuts), where
+                del ready[own]
+    for cuts, where in ready.values():
+        yield np.stack(cuts), where
+
+
+def _tagged_windows(all_classes: list[np.ndarray], model: Model, settings: Settings) -> list[tuple[int, int, int, list[tuple[int, int, int, float]]]]:
+    """(text, offset, width, spans as (start, end, kind, confidence)) of the windows with a span, in order."""
+    prepared = _prepared(model)
+    ready: dict[int, tuple[list[np.ndarray], list[tuple[int, int]]]] = {}
+    out = []
+
+    def tag(cuts: list[np.ndarray], where: list[tuple[int, int]]) -> None:
+        tags, sure = _window_spans(model, np.stack(cuts))
+        width = tags.shape[1]
+        spans: list[list[tuple[int, int, int, float]]] = [[] for _ in where]
+        for row, a in zip(*(tags % 2 == 1).nonzero(), strict=True):
+            kind, b = int(tags[row, a]), int(a) + 1
+            while b < width and tags[row, b] == kind + 1:
+                b += 1
+            spans[row].append((int(a), b, kind, float(sure[row, a:b].min())))
+        out.extend((*place, width, own) for place, own in zip(where, spans, strict=True))
+
+    for windows, where in _windows_of(all_classes, settings):
+        cuts, places = ready.setdefault(windows.shape[1], ([], []))
+        for row in np.flatnonzero(_has_span(model, prepared, windows)):
+            cuts.append(windows[row])
+            places.append(where[row])
+        if len(cuts) >= 256:
+            tag(*ready.pop(windows.shape[1]))
+    for cuts, places in ready.values():
+        if cuts:
+            tag(cuts, places)
+    return sorted(out, key=lambda w: w[:2])
 
 
 def added_spans(texts: list[str], model: Model, settings: Settings) -> list[list[tuple[int, int, int, float]]]:
     """For each text the tagger's spans of enough confidence, reconciled over all windows."""
-    width, stride = settings.width, settings.width // 2
+    stride = settings.width - settings.overlap
     all_classes = [classes_of(t) for t in texts]
-    prepared = _prepared(model)
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     # (text, where the window ends, kind): the start and confidence of a span that the end cuts
     cut: dict[tuple[int, int, int], tuple[int, float]] = {}
-    for windows, where in _windows_of(all_classes, width, stride):
-        some = np.flatnonzero(_has_span(model, prepared, windows))
-        if not len(some):
-            continue
-        windows = windows[some]
-        tags, sure = _window_spans(model, windows)
-        opens = (tags % 2 == 1).nonzero()
-        for row, a in zip(*opens, strict=True):
-            kind = int(tags[row, a])
-            b = int(a) + 1
-            while b < width and tags[row, b] == kind + 1:
-                b += 1
-            number, offset = where[some[row]]
-            length = len(all_classes[number])
+    for number, offset, width, spans in _tagged_windows(all_classes, model, settings):
+        length = len(all_classes[number])
+        for a, b, kind, confidence in spans:
             if offset + b > length:
                 continue
-            start, confidence = offset + int(a), float(sure[row, a:b].min())
+            start = offset + a
             if a == 0 and offset > 0:
-                before = cut.pop((number, offset - stride + width, kind), None)
-                if before is None or b < width - stride:
+                before = cut.pop((number, offset + settings.overlap, kind), None)
+                if before is None or b < settings.overlap:
                     continue
                 start, confidence = before[0], min(before[1], confidence)
             if b == width and offset + width < length:
@@ -542,6 +622,28 @@ def added_spans(texts: list[str], model: Model, settings: Settings) -> list[list
     return [reconciled(f) for f in found]
 
 
+_AT = re.compile(r"[@\uff20]|(?<![^\W_])at(?![^\W_])", re.IGNORECASE)
+_DOT_TOP = re.compile(r"(?:[.\uff0e]|(?<![^\W_])dot(?![^\W_]))\s*[^\W\d_]{2,}$", re.IGNORECASE)
+
+
+def _checked(kind: str, shown: str) -> bool:
+    """Whether what the tagger found has what its kind cannot do without, whatever the digits' script.
+
+    email: an at sign or "at", and a dot or "dot" before letters at its end. ip: four numbers up
+    to 255. card: 16 to 19 digits that pass Luhn's check. phone: 8 to 15 digits.
+    """
+    if kind == "email":
+        at = _AT.search(shown)
+        return at is not None and at.start() > 0 and _DOT_TOP.search(shown, at.end()) is not None
+    plain = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else " " for c in shown)
+    digits = "".join(plain.split())
+    if kind == "ip":
+        return len(plain.split()) == 4 and all(int(x) <= 255 for x in plain.split())
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    return 8 <= len(digits) <= 15
+
+
 def spans_of(texts: list[str], model: Model | None, settings: Settings) -> list[tuple[dict[str, list[Span]], dict[str, list[Span]]]]:
     """For each text the patterns' spans, and all spans: those and the tagger's that overlap none of them."""
     added = added_spans(texts, model, settings) if model else [[] for _ in texts]
@@ -553,7 +655,7 @@ def spans_of(texts: list[str], model: Model | None, settings: Settings) -> list[
         reach = np.maximum.accumulate([b for _, b in taken]) if taken else []
         for a, b, kind, _ in more:
             at = bisect_right(taken, (b - 1, 1 << 62))
-            if not at or reach[at - 1] <= a:
+            if (not at or reach[at - 1] <= a) and _checked(KINDS[kind], text[a:b]):
                 every[KINDS[kind]].append((a, b))
         out.append((base, {k: sorted(v) for k, v in every.items()}))
     return out
@@ -573,6 +675,8 @@ def detect(documents: DataFrame, model: Model | None, settings: Settings = Setti
     nothing = hashlib.sha256(b"").hexdigest()
 
     def make():
+        one_blas_thread()
+
         def compute(piece: Piece):
             counts = np.zeros((len(KINDS), piece.n_docs), np.int64)
             sums, shown = [nothing] * piece.n_docs, [""] * piece.n_docs
@@ -585,7 +689,7 @@ def detect(documents: DataFrame, model: Model | None, settings: Settings = Setti
 
         return compute
 
-    return with_text_columns(documents, text, fields, make)
+    return with_text_columns(documents, text, fields, make, PIECE_BYTES)
 
 
 def masked(text: str, spans: dict[str, list[Span]]) -> str:
@@ -603,6 +707,8 @@ def redact(documents: DataFrame, model: Model | None, settings: Settings = Setti
     name = "__masked"
 
     def make():
+        one_blas_thread()
+
         def compute(piece: Piece):
             out: list[str | None] = [None] * piece.n_docs
             numbers = _filled(piece)
@@ -614,5 +720,5 @@ def redact(documents: DataFrame, model: Model | None, settings: Settings = Setti
 
         return compute
 
-    changed = with_text_columns(documents, text, [T.StructField(name, T.StringType())], make)
+    changed = with_text_columns(documents, text, [T.StructField(name, T.StringType())], make, PIECE_BYTES)
     return changed.withColumn(text, F.coalesce(name, text)).select(*[f"`{c}`" for c in documents.columns])

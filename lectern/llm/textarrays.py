@@ -214,6 +214,20 @@ def release(key: str = "") -> None:
         trim(0)
 
 
+def one_blas_thread() -> None:
+    """A task has one core, so its worker's matrix products should use one thread, where numpy's OpenBLAS can be told so."""
+    try:
+        with open("/proc/self/maps") as maps:
+            libraries = {line.split()[-1] for line in maps if "openblas" in line}
+    except OSError:  # not on this system
+        return
+    for path in libraries:
+        library = ctypes.CDLL(path)
+        for name in ("openblas_set_num_threads", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "scipy_openblas_set_num_threads64_"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def bounded_batches(frame: DataFrame) -> DataFrame:
     """frame, in whose session no Arrow batch is filled beyond BATCH_BYTES from now on.
 
@@ -238,6 +252,7 @@ def with_text_columns(
     text: str,
     added: list[T.StructField],
     make: Callable[[], Callable[[Piece], Iterable]],
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """The rows of frame with columns computed from whole texts, a piece at a time.
 
@@ -257,7 +272,7 @@ def with_text_columns(
         kinds = [arrow_type(t) for t in types]
         for batch in batches:
             parts: list[list[pa.Array]] = [[] for _ in kinds]
-            for piece in text_pieces(batch.column(batch.schema.get_field_index(text))):
+            for piece in text_pieces(batch.column(batch.schema.get_field_index(text)), piece_bytes):
                 for part, values, kind in zip(parts, compute(piece), kinds, strict=True):
                     part.append(values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind))
             new = [pa.concat_arrays(p) if p else pa.array([], k) for p, k in zip(parts, kinds, strict=True)]

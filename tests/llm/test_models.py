@@ -224,7 +224,7 @@ def test_the_greatest_sum_stays():
 
 
 def test_gradients():
-    s = pii.Settings(width=7, hidden=3, embedding=3, epochs=0)
+    s = pii.Settings(hidden=3, embedding=3, epochs=0)
     rng = np.random.default_rng(0)
     windows, tags = rng.integers(0, 20, (4, 7)), np.zeros((4, 7), np.int64)
     tags[:, 2], tags[:, 3] = 1, 2
@@ -260,6 +260,45 @@ def test_the_tagger_adds_what_the_patterns_miss(tagger):
     assert pii.spans_of([mixed], tagger, pii.Settings())[0][1]["email"] == brute_spans(mixed)["email"]
 
 
+def planted_texts(seed, carriers):
+    """Carrier texts with written variants and look-alikes among their words, and the variants' (kind, start, end)."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for carrier in carriers:
+        words, text, spans = carrier.split(), "", []
+        for w in words:
+            if rng.random() < 0.03:
+                shown, kind = pii.variant(rng, words)
+                if kind:
+                    spans.append((kind, len(text), len(text) + len(shown)))
+                text += shown + " "
+            text += w + " "
+        out.append((text, spans))
+    return out
+
+
+def rates(tagger, rows, settings):
+    """For each kind the share of planted spans that are found, and of found spans that are planted."""
+    wanted, got, both = Counter(), Counter(), Counter()
+    for (_, spans), (_, every) in zip(rows, pii.spans_of([t for t, _ in rows], tagger, settings), strict=True):
+        found = {(k, a, b) for k, own in every.items() for a, b in own}
+        for counter, items in ((wanted, spans), (got, found), (both, found & set(spans))):
+            counter.update(k for k, _, _ in items)
+    return {k: (both[k] / max(1, wanted[k]), both[k] / max(1, got[k]), wanted[k]) for k in pii.KINDS}
+
+
+def test_written_variants_are_found_in_texts_not_trained_on(tagger):
+    rows = planted_texts(99, [" ".join(prose(k + 7000, 300)) for k in range(60)])
+    for kind, (recall, precision, n) in rates(tagger, rows, pii.Settings()).items():
+        assert n > 20 and recall >= 0.9 and precision >= 0.9, (kind, recall, precision, n)
+
+
+def test_a_card_must_pass_its_check(tagger):
+    filler = " ".join(prose(5, 40))
+    for shown, is_card in (("4111.1111.1111.1111", True), ("4111.1111.1111.1112", False), ("４１１１１１１１１１１１１１１１", True)):
+        assert bool(pii.spans_of([f"{filler} {shown} {filler}"], tagger, pii.Settings())[0][1]["card"]) == is_card, shown
+
+
 def test_the_tagger_reads_texts_without_a_digit_or_an_at_sign(tagger):
     filler = " ".join(prose(5, 40))
     text = f"{filler} jane at example dot org {filler}"
@@ -289,7 +328,8 @@ def _planted(monkeypatch, a, b, text):
 
     monkeypatch.setattr(pii, "_has_span", all_windows)
     monkeypatch.setattr(pii, "_window_spans", tags_of)
-    s = pii.Settings()
+    monkeypatch.setattr(pii, "WIDTH_STEP", 96)
+    s = pii.Settings(width=96, overlap=48)
     model = pii.fit(np.zeros((1, 4), np.int64), np.zeros((1, 4), np.int64), pii.Settings(epochs=0))
     return pii.added_spans([text], model, s)[0]
 
@@ -301,10 +341,26 @@ def test_spans_are_joined_across_windows(monkeypatch, a, b):
 
 def test_the_screen_keeps_every_window_with_a_span(tagger):
     texts = [" ".join(prose(k, 30)) + f" jane at example dot org {k}4111111111111111 (555) 123-4567 " + " ".join(prose(k + 90, 30)) for k in range(40)]
-    windows = np.concatenate([w for w, _ in pii._windows_of([pii.classes_of(t) for t in texts], 96, 48)])
-    tags, _ = pii._window_spans(tagger, windows)
-    some = (tags > 0).any(axis=1)
-    assert some.any() and not (some & ~pii._has_span(tagger, pii._prepared(tagger), windows)).any()
+    seen = 0
+    for windows, _ in pii._windows_of([pii.classes_of(t) for t in texts], pii.Settings(width=128)):
+        tags, _ = pii._window_spans(tagger, windows)
+        some = (tags > 0).any(axis=1)
+        seen += some.sum()
+        assert not (some & ~pii._has_span(tagger, pii._prepared(tagger), windows)).any()
+    assert seen
+
+
+def test_windows_cover_all_texts():
+    s = pii.Settings(width=128, overlap=32)
+    lengths = [0, 1, 63, 64, 65, 127, 128, 129, 200, 224, 225, 1000, 5000]
+    texts = [np.arange(1, n + 1, dtype=np.int32) for n in lengths]
+    seen = [np.zeros(n, bool) for n in lengths]
+    for windows, where in pii._windows_of(texts, s, rows=3):
+        for window, (number, offset) in zip(windows, where, strict=True):
+            own = window[window > 0]
+            assert (own == np.arange(offset + 1, offset + 1 + len(own))).all()
+            seen[number][offset : offset + len(own)] = True
+    assert all(x.all() for x in seen)
 
 
 def test_personal_data_on_odd_rows(spark, tagger):

@@ -1,62 +1,80 @@
 """Codecs for lists of non-negative integers, as posting lists are: gamma, gaps, variable bytes, Simple-9.
 
-Columns of lists are coded by Pandas UDFs; Parquet's own encodings serve the tables.
+Lists are coded as numpy arrays, not number by number. Columns of lists are coded by Pandas UDFs;
+long posting lists are cut into blocks of documents before (`posting_blocks`), so that no list is
+one unbounded value. Parquet's own encodings serve the tables.
 """
 
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Numbers = Sequence[int] | np.ndarray
+
 
 class PostingCodec(ABC):
+    """encode takes a whole list; array and decode give it back."""
+
     @abstractmethod
-    def encode(self, values: list[int]) -> bytes: ...
+    def encode(self, values: Numbers) -> bytes: ...
 
     @abstractmethod
-    def decode(self, blob: bytes) -> list[int]: ...
+    def array(self, blob: bytes) -> np.ndarray: ...
+
+    def decode(self, blob: bytes) -> list[int]:
+        return self.array(blob).tolist()
 
     def encoded(self, column: Column) -> Column:
-        return self._udf(lambda v: self.encode([int(x) for x in v]), "binary")(column)
+        return self._udf(lambda v: self.encode(np.asarray(v, np.int64)), "binary")(column)
 
     def decoded(self, column: Column) -> Column:
-        return self._udf(lambda b: np.array(self.decode(bytes(b)), np.int64), "array<long>")(column)
+        return self._udf(lambda b: self.array(bytes(b)), "array<long>")(column)
 
     @staticmethod
     def _udf(one: Callable, kind: str) -> Callable[[Column], Column]:
         def run(values: pd.Series) -> pd.Series:
-            return values.map(lambda v: None if v is None else one(v))
+            return pd.Series([None if v is None else one(v) for v in values], dtype=object)
 
         run.__annotations__ = {"values": pd.Series, "return": pd.Series}
         return F.pandas_udf(run, kind)
 
 
+def _lengths(values: np.ndarray, bits: int, most: int) -> np.ndarray:
+    """How many groups of so many bits each number needs, one at least."""
+    return 1 + sum((values >> np.int64(bits * k) > 0).astype(np.int64) for k in range(1, most))
+
+
+def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups laid end to end, each element's group and place in it."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 class VariableByte(PostingCodec):
     """Seven bits a byte, the lowest first; the high bit marks a number's last byte."""
 
-    def encode(self, values: list[int]) -> bytes:
-        out = bytearray()
-        for v in values:
-            while v > 0x7F:
-                out.append(v & 0x7F)
-                v >>= 7
-            out.append(v | 0x80)
-        return bytes(out)
+    def encode(self, values: Numbers) -> bytes:
+        values = np.asarray(values, np.int64)
+        lengths = _lengths(values, 7, 9)
+        owner, nth = _spread(lengths)
+        out = (values[owner] >> (7 * nth)) & 0x7F
+        out[np.cumsum(lengths) - 1] |= 0x80
+        return out.astype(np.uint8).tobytes()
 
-    def decode(self, blob: bytes) -> list[int]:
-        out, value, shift = [], 0, 0
-        for b in blob:
-            value |= (b & 0x7F) << shift
-            shift += 7
-            if b & 0x80:
-                out.append(value)
-                value = shift = 0
-        return out
+    def array(self, blob: bytes) -> np.ndarray:
+        own = np.frombuffer(blob, np.uint8)
+        last = np.flatnonzero(own & 0x80)
+        if not len(last):
+            return np.zeros(0, np.int64)
+        first = np.append(0, last[:-1] + 1)
+        _, nth = _spread(last - first + 1)
+        return np.add.reduceat((own & 0x7F).astype(np.int64) << (7 * nth), first)
 
 
 class Gaps(PostingCodec):
@@ -65,30 +83,39 @@ class Gaps(PostingCodec):
     def __init__(self, inner: PostingCodec | None = None) -> None:
         self.inner = inner or VariableByte()
 
-    def encode(self, values: list[int]) -> bytes:
-        return self.inner.encode([b - a for a, b in zip([0, *values], values, strict=False)])
+    def encode(self, values: Numbers) -> bytes:
+        return self.inner.encode(np.diff(np.asarray(values, np.int64), prepend=0))
 
-    def decode(self, blob: bytes) -> list[int]:
-        return [int(v) for v in np.cumsum(self.inner.decode(blob), dtype=np.int64)]
+    def array(self, blob: bytes) -> np.ndarray:
+        return np.cumsum(self.inner.array(blob), dtype=np.int64)
 
 
 class Gamma(PostingCodec):
     """Elias gamma codes of n + 1, behind the count of numbers in four bytes."""
 
-    def encode(self, values: list[int]) -> bytes:
-        bits = "".join("0" * ((v + 1).bit_length() - 1) + format(v + 1, "b") for v in values)
-        bits += "0" * (-len(bits) % 8)
-        return len(values).to_bytes(4, "big") + bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
-
-    def decode(self, blob: bytes) -> list[int]:
-        bits = "".join(format(b, "08b") for b in blob[4:])
-        out, at = [], 0
-        for _ in range(int.from_bytes(blob[:4], "big")):
-            one = bits.index("1", at)
-            end = 2 * one - at + 1
-            out.append(int(bits[one:end], 2) - 1)
-            at = end
-        return out
+    def encode(self, values: Numbers) -> bytes:
+        wanted = np.asarray(values, np.int64) + 1
+        widths = _lengths(wanted, 1, 63)
+        owner, nth = _spread(2 * widths - 1)
+        back = 2 * widths[owner] - 2 - nth  # the bit's place from the lowest on; zeros stand before the number
+        bits = np.where(back < widths[owner], (wanted[owner] >> np.minimum(back, 62)) & 1, 0)
+        return len(wanted).to_bytes(4, "big") + np.packbits(bits.astype(np.uint8)).tobytes()
+
+    def array(self, blob: bytes) -> np.ndarray:
+        n = int.from_bytes(blob[:4], "big")
+        bits = np.unpackbits(np.frombuffer(blob, np.uint8, offset=4))
+        ones = np.flatnonzero(bits)
+        out, at = np.zeros(n, np.int64), 0
+        starts = np.zeros(n, np.int64)
+        widths = np.zeros(n, np.int64)
+        for k in range(n):
+            one = int(ones[np.searchsorted(ones, at)])
+            starts[k], widths[k] = one, one - at + 1
+            at = one + int(widths[k])
+        owner, nth = _spread(widths)
+        if n:
+            np.add.at(out, owner, bits[starts[owner] + nth].astype(np.int64) << (widths[owner] - 1 - nth))
+        return out - 1
 
 
 class Simple9(PostingCodec):
@@ -97,26 +124,39 @@ class Simple9(PostingCodec):
     # Numbers in a word and the bits of each, by selector.
     LAYOUTS = ((28, 1), (14, 2), (9, 3), (7, 4), (5, 5), (4, 7), (3, 9), (2, 14), (1, 28))
 
-    def encode(self, values: list[int]) -> bytes:
-        out, at = [len(values)], 0
-        while at < len(values):
+    def encode(self, values: Numbers) -> bytes:
+        values = np.asarray(values, np.int64)
+        if len(values) and values.max() >= 1 << 28:
+            raise ValueError("a number needs more than 28 bits")
+        n = len(values)
+        # for each layout the first number from each place on that is too wide for it
+        reach = []
+        for _, width in self.LAYOUTS:
+            wide = np.append(np.flatnonzero(values >= 1 << width), n)
+            reach.append(wide[np.searchsorted(wide, np.arange(n))])
+        out, at = [n], 0
+        while at < n:
             for selector, (count, width) in enumerate(self.LAYOUTS):
-                own = values[at : at + count]
-                if all(v < 1 << width for v in own):
-                    out.append(selector << 28 | sum(v << width * k for k, v in enumerate(own)))
-                    at += len(own)
+                end = min(at + count, n)
+                if reach[selector][at] >= end:
+                    own = values[at:end] << (width * np.arange(end - at))
+                    out.append(selector << 28 | int(own.sum()))
+                    at = end
                     break
-            else:
-                raise ValueError("a number needs more than 28 bits")
         return np.array(out, ">u4").tobytes()
 
-    def decode(self, blob: bytes) -> list[int]:
-        total, *words = (int(w) for w in np.frombuffer(blob, ">u4"))
-        out: list[int] = []
-        for w in words:
-            count, width = self.LAYOUTS[w >> 28]
-            out += [w >> width * k & (1 << width) - 1 for k in range(count)]
-        return out[:total]
+    def array(self, blob: bytes) -> np.ndarray:
+        total, *words = np.frombuffer(blob, ">u4").astype(np.int64)
+        words = np.array(words, np.int64)
+        counts, widths = (np.array(x)[words >> 28] for x in zip(*self.LAYOUTS, strict=True))
+        owner, nth = _spread(counts)
+        return (words[owner] >> (widths[owner] * nth) & ((1 << widths[owner]) - 1))[:total] if len(words) else np.zeros(0, np.int64)
 
 
 CODECS = {"vbyte": VariableByte, "delta": Gaps, "gamma": Gamma, "simple9": Simple9}
+
+
+def posting_blocks(postings: DataFrame, bits: int = 16) -> DataFrame:
+    """(term, block, ids) of (term, doc_id): ascending distinct ids, in blocks of 2**bits ids, so that a list has no more."""
+    keyed = postings.select("term", F.shiftright("doc_id", bits).alias("block"), "doc_id").distinct()
+    return keyed.groupBy("term", "block").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))

@@ -8,11 +8,16 @@ nothing.
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.index import Index
+from lectern.operators.index import Index, dense_ids
 from lectern.plans.ast import ParsedQuery
 
 # Weights of clauses by zone, and the parameters of BM25.
@@ -107,19 +112,49 @@ class EmbeddingScorer(Scorer):
         return rows.select("qid", "doc_id", (self.alpha * F.col("score") + (1 - self.alpha) * near).alias("score"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(qid, doc_id, similarity, place) of the k vectors nearest to each of a bounded set of queries.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int | None = None, block: int = 1024) -> DataFrame:
+    """(qid, doc_id, similarity) of all vectors to each of a stated set of queries; with k the k nearest, and their place.
 
-    The queries are collected into the plan as a constant array, so each vector meets them in
-    its own task; a partition's best k go on to the final ranking.
+    Queries are taken in blocks of about that many, each broadcast as a matrix and multiplied with
+    the vectors where they lie. With k a batch's best k of each query go on, then the best k of
+    those. Null and zero vectors, and those of another length than the queries', are near nothing.
     """
-    rows = queries.select("qid", "vector").collect()
-    if not rows:
-        return vectors.select(F.lit(None).cast("string").alias("qid"), "doc_id", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("place")).limit(0)
-    table = F.broadcast(queries.sparkSession.createDataFrame([(0, [(r["qid"], [float(x) for x in r["vector"]]) for r in rows])], "one int, queries array<struct<qid:string,vector:array<double>>>"))
-    pairs = vectors.select("doc_id", "vector", F.lit(0).alias("one")).join(table, "one").select("doc_id", "vector", F.explode("queries").alias("q"))
-    scored = pairs.select(F.col("q.qid").alias("qid"), "doc_id", cosine(F.col("q.vector"), F.col("vector")).alias("similarity")).where("similarity IS NOT NULL")
-    return ranked(scored, "similarity").where(F.col("place") <= k)
+    context = queries.sparkSession.sparkContext
+    n_blocks = max(1, -(-queries.count() // block))
+    number = F.pmod(F.xxhash64("qid"), F.lit(n_blocks))
+    out = None
+    for b in range(n_blocks):
+        rows = sorted((r["qid"], [float(x) for x in r["vector"]]) for r in queries.where(number == b).where("vector IS NOT NULL").select("qid", "vector").collect())
+        part = _similarities(vectors, context.broadcast([(q, v) for q, v in rows if any(v)]), k)
+        out = part if out is None else out.unionByName(part)
+    return out if k is None else ranked(out, "similarity").where(F.col("place") <= k)
+
+
+def _similarities(vectors: DataFrame, queries: Broadcast, k: int | None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_size: dict[int, list[int]] = {}
+        for at, (_, v) in enumerate(queries.value):
+            by_size.setdefault(len(v), []).append(at)
+        names = pa.array([q for q, _ in queries.value], pa.string())
+        matrices = {size: np.array([queries.value[at][1] for at in own]) for size, own in by_size.items()}
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            for size, own in by_size.items():
+                at = np.flatnonzero(sizes == size)
+                values = np.asarray(pc.list_flatten(lists.take(pa.array(at))).cast(pa.float64())).reshape(len(at), size)
+                norms = np.sqrt((values * values).sum(axis=1))
+                at, values, norms = at[norms > 0], values[norms > 0], norms[norms > 0]
+                wanted = matrices[size]
+                near = wanted @ values.T / np.sqrt((wanted * wanted).sum(axis=1))[:, None] / norms
+                if k is not None and len(at) > k:
+                    least = np.partition(near, len(at) - k, axis=1)[:, len(at) - k]
+                    row, column = np.nonzero(near >= least[:, None])
+                else:
+                    row, column = (x.ravel() for x in np.indices(near.shape))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.array(own)[row])), ids.take(pa.array(at[column])), pa.array(near[row, column])], names=["qid", "doc_id", "similarity"])
+
+    return vectors.select(F.col("doc_id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(run, "qid string, doc_id long, similarity double")
 
 
 def ranked(scores: DataFrame, by: str = "score") -> DataFrame:
@@ -127,8 +162,17 @@ def ranked(scores: DataFrame, by: str = "score") -> DataFrame:
     return scores.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(by), "doc_id")))
 
 
-def ordered(results: DataFrame, mode: str = "classe") -> DataFrame:
-    """booleen: newest first, undated last. classe: best first, then the first character of the date, downwards."""
+def _order(mode: str) -> list[Column]:
+    """booleen: newest first, undated last. classe: best first, then the first character of the date, downwards. Ties by id."""
     if mode == "booleen":
-        return results.orderBy(F.desc_nulls_last("date"), "doc_id")
-    return results.orderBy(F.desc("score"), F.desc(F.ascii(F.coalesce(F.col("date").cast("string"), F.lit("")))), "doc_id")
+        return [F.desc_nulls_last("date"), F.col("doc_id")]
+    return [F.desc("score"), F.desc(F.ascii(F.coalesce(F.col("date").cast("string"), F.lit("")))), F.col("doc_id")]
+
+
+def ordered(results: DataFrame, mode: str = "classe") -> DataFrame:
+    return results.orderBy(*_order(mode))
+
+
+def placed(results: DataFrame, mode: str = "classe") -> DataFrame:
+    """results with their place in that order, numbered by ranges, so that no task sees them all."""
+    return dense_ids(results, *_order(mode), name="place")

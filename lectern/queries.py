@@ -11,7 +11,7 @@ from lectern.functions import text as X
 from lectern.operators import correction as C
 from lectern.operators import index as I
 from lectern.operators import scoring as S
-from lectern.operators.codecs import CODECS
+from lectern.operators.codecs import CODECS, posting_blocks
 from lectern.operators.evaluation import evaluated, macro_mean
 from lectern.operators.filters import date_range, day_in
 from lectern.operators.ngrams import ngram_postings
@@ -91,11 +91,18 @@ def index_of(spark: SparkSession, sf_dir: str) -> I.Index:
 # ---- scalar functions
 
 
-@query(TOKENS_SQL + "SELECT DISTINCT term, replace(lower(strip_accents(term)), 'ß', 'ss') AS normal FROM tok WHERE term !~ '[İŉǰΐΰևẖẗẘẙẚſῼ]'")
+def normal_sql(text: str) -> str:
+    """What normalize() gives for words; DuckDB has no case folding, which differs from lower case for these letters."""
+    out = f"lower(strip_accents({text}))"
+    for letter, folded in (("ß", "ss"), ("ſ", "s"), ("ŉ", "ʼn"), ("ẚ", "aʾ"), ("և", "եւ"), ("ﬁ", "fi"), ("ﬂ", "fl")):
+        out = f"replace({out}, '{letter}', '{folded}')"
+    return out
+
+
+@query(TOKENS_SQL + f"SELECT DISTINCT term, {normal_sql('term')} AS normal FROM tok")
 def normalize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T1, T2 on distinct terms."""
-    terms = tokens_of(spark, sf_dir).select("term").distinct()
-    return terms.where(~F.col("term").rlike("[İŉǰΐΰևẖẗẘẙẚſῼ]")).select("term", X.normalized(F.col("term")).alias("normal"))
+    """T1, T2, T11 on distinct terms."""
+    return tokens_of(spark, sf_dir).select("term").distinct().select("term", X.normalized(F.col("term")).alias("normal"))
 
 
 @query(r"""
@@ -419,18 +426,25 @@ def fallback_all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_batch([("absent", PARSED["absent"])], index_of(spark, sf_dir)).select("qid", "doc_id", "score", "rubrique", "has_image")
 
 
-@query("SELECT o_orderkey AS doc_id, o_totalprice AS score, o_orderdate::DATE AS date FROM orders WHERE o_orderstatus = 'P' ORDER BY score DESC, ascii(date::VARCHAR) DESC, doc_id LIMIT 500")
+SORTED_SQL = "SELECT o_orderkey AS doc_id, o_totalprice AS score, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE END AS date"
+
+
+def results_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as if they were results; the open ones are undated."""
+    dated = F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"), dated.alias("date"))
+
+
+@query(SORTED_SQL + ", row_number() OVER (ORDER BY o_totalprice DESC, coalesce(ascii(CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE::VARCHAR END), 0) DESC, o_orderkey) AS place FROM orders")
 def sort_classe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O2."""
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"), F.to_date("o_orderdate").alias("date"))
-    return S.ordered(rows, "classe").limit(500)
+    """O2: the place of every result."""
+    return S.placed(results_of(spark, sf_dir), "classe")
 
 
-@query("SELECT o_orderkey AS doc_id, o_totalprice AS score, o_orderdate::DATE AS date FROM orders WHERE o_orderstatus = 'P' ORDER BY date DESC NULLS LAST, doc_id LIMIT 500")
+@query(SORTED_SQL + ", row_number() OVER (ORDER BY CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE END DESC NULLS LAST, o_orderkey) AS place FROM orders")
 def sort_booleen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O3."""
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"), F.to_date("o_orderdate").alias("date"))
-    return S.ordered(rows, "booleen").limit(500)
+    """O3: the place of every result."""
+    return S.placed(results_of(spark, sf_dir), "booleen")
 
 
 BM25_NAMES = ["content", "and", "both", "or"]
@@ -463,12 +477,46 @@ FROM q, embeddings
 """)
 def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stated set of query vectors against all."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("qid"), "vector")
-    near = S.nearest(queries, rows.withColumnRenamed("vec_id", "doc_id"), 1 << 30)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    near = S.nearest(rows.where("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("qid"), "vector"), rows)
     return near.select(F.col("qid").cast("long").alias("q_id"), F.col("doc_id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
+NEAREST_SQL = """
+WITH q AS (SELECT vec_id AS q_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT q_id, vec_id, list_dot_product(qe, embedding::DOUBLE[]) / (sqrt(list_dot_product(qe, qe)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS similarity FROM q, embeddings)
+SELECT q_id, vec_id, round(similarity, 6) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, vec_id)::INTEGER AS place FROM s) WHERE place <= 5
+"""
+
+
+@query(NEAREST_SQL)
+def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors nearest to each of the query vectors."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    near = S.nearest(rows.where("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("qid"), "vector"), rows, 5)
+    return near.select(F.col("qid").cast("long").alias("q_id"), F.col("doc_id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "place")
+
+
+HYBRID = ["content", "or"]
+
+
+@query(TF_SQL + clauses_sql(["content", "or"]) + """
+, v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS e FROM embeddings),
+q AS (SELECT * FROM (VALUES ('content', 0), ('or', 1)) x(qid, vec_id)),
+w AS (SELECT qid, e AS qe FROM q JOIN v ON v.doc_id = q.vec_id)
+SELECT s.qid, s.doc_id, round(0.25 * score + 0.75 * coalesce(list_dot_product(qe, e) / (sqrt(list_dot_product(qe, qe)) * sqrt(list_dot_product(e, e))), 0), 6) AS score
+FROM score s JOIN w ON w.qid = s.qid LEFT JOIN v ON v.doc_id = s.doc_id
+""")
+def embedding_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the lexical score and three of the cosine; vectors are the documents' by their ids."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    named = F.when(F.col("doc_id") == 0, "content").when(F.col("doc_id") == 1, "or")
+    queries = vectors.where("doc_id IN (0, 1)").select(named.alias("qid"), "vector")
+    scorer = S.EmbeddingScorer(queries, vectors, alpha=0.25)
+    scores = scorer.score(S.clause_table(spark, [(n, PARSED[n]) for n in HYBRID]), index_of(spark, sf_dir))
+    return scores.withColumn("score", F.round("score", 6))
+
+
 @query(r"""
 SELECT ngram, doc_id, count(*) AS tf FROM (
   SELECT doc_id, unnest(list_transform(range(1, length(w) - 1), lambda k: substr(w, k, 3))) AS ngram
@@ -493,10 +541,11 @@ def word_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- correction
 
-LEXICON_SQL = r"""
-WITH lex AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
+LEXICON_SQL = f"""
+WITH lex AS (SELECT DISTINCT {normal_sql('word')} AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents)),
+known AS (SELECT DISTINCT {normal_sql('w')} AS w FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM benchmark)),
 tok AS (SELECT DISTINCT CASE WHEN length(w) > 4 AND length(w) % 2 = 0 THEN w[:length(w) - 1] || 'x' WHEN length(w) > 4 THEN w[:2] || w[4:] ELSE w END AS token
-        FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) UNION SELECT * FROM (VALUES ('2024-03-15'), ('3.14'), ('zzzzqqqq')))
+        FROM known UNION SELECT * FROM (VALUES ('2024-03-15'), ('3.14'), ('zzzzqqqq')))
 """
 CANDIDATES_SQL = LEXICON_SQL + """
 , pair AS (
@@ -509,14 +558,19 @@ CANDIDATES_SQL = LEXICON_SQL + """
 """
 
 
+def words_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """(word): the distinct words of a table's texts, normalized."""
+    words = table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word")).distinct()
+    return words.select(X.normalized(F.col("word")).alias("word")).distinct()
+
+
 def lexicon_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
-    return words.withColumn("lemma", F.col("word"))
+    return words_of(spark, sf_dir, "documents").withColumn("lemma", F.col("word"))
 
 
 def typos_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the benchmark, the longer ones with a letter replaced or left out."""
-    w = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("w"))
+    w = words_of(spark, sf_dir, "benchmark").withColumnRenamed("word", "w")
     n = F.length("w")
     replaced = F.concat(F.col("w").substr(F.lit(1), n - 1), F.lit("x"))
     dropped = F.concat(F.substring("w", 1, 2), F.col("w").substr(F.lit(4), n))
@@ -550,41 +604,50 @@ def token_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.corrected_tokens(typos_of(spark, sf_dir), lexicon_of(spark, sf_dir)).select("token", "status", "correction")
 
 
-@query(LEXICON_SQL + """
-, v AS (SELECT word, word AS variant FROM lex UNION SELECT word, word[:k - 1] || word[k + 1:] FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM lex)),
-u AS (SELECT token, token AS variant FROM tok UNION SELECT token, token[:k - 1] || token[k + 1:] FROM (SELECT token, unnest(range(1, length(token) + 1)) AS k FROM tok))
-SELECT DISTINCT token, word, levenshtein(token, word)::INTEGER AS distance FROM u JOIN v USING (variant) WHERE levenshtein(token, word) <= 1
-""")
+@query(LEXICON_SQL + "SELECT token, word, levenshtein(token, word)::INTEGER AS distance FROM tok JOIN lex ON length(word) BETWEEN length(token) - 2 AND length(token) + 2 WHERE levenshtein(token, word) <= 2")
 def symspell_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X5."""
-    return C.symspell_candidates(typos_of(spark, sf_dir), lexicon_of(spark, sf_dir).select("word"))
+    return C.symspell_candidates(typos_of(spark, sf_dir), lexicon_of(spark, sf_dir))
 
 
-@query(r"""
-WITH lex AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), l AS (SELECT word, list_distinct(list_transform(range(1, length(word) - 1), lambda k: substr(word, k, 3))) AS g FROM lex WHERE length(word) >= 3),
-t AS (SELECT DISTINCT CASE WHEN length(w) > 4 AND length(w) % 2 = 0 THEN w[:length(w) - 1] || 'x' WHEN length(w) > 4 THEN w[:2] || w[4:] ELSE w END AS token FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) UNION SELECT * FROM (VALUES ('2024-03-15'), ('3.14'), ('zzzzqqqq'))),
-tg AS (SELECT token, list_distinct(list_transform(range(1, length(token) - 1), lambda k: substr(token, k, 3))) AS h FROM t WHERE length(token) >= 3),
+@query(LEXICON_SQL + r"""
+, l AS (SELECT word, list_distinct(list_transform(range(1, length(word) - 1), lambda k: substr(word, k, 3))) AS g FROM lex WHERE length(word) >= 3),
+tg AS (SELECT token, list_distinct(list_transform(range(1, length(token) - 1), lambda k: substr(token, k, 3))) AS h FROM tok WHERE length(token) >= 3),
 a AS (SELECT token, len(h) AS nt, unnest(h) AS gram FROM tg), b AS (SELECT word, len(g) AS nw, unnest(g) AS gram FROM l),
 s AS (SELECT token, word, nt, nw, count(*) AS shared FROM a JOIN b USING (gram) GROUP BY ALL)
 SELECT token, word, shared, round(2 * shared / (nt + nw), 6) AS dice FROM s WHERE round(2 * shared / (nt + nw), 6) >= 0.5
 """)
 def ngram_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X4."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
-    return C.ngram_candidates(typos_of(spark, sf_dir), words)
+    return C.ngram_candidates(typos_of(spark, sf_dir), lexicon_of(spark, sf_dir))
+
+
+@query(LEXICON_SQL + r"""
+, a AS (SELECT token, gram, count(*) AS c FROM (SELECT token, unnest(list_transform(range(1, length(token) + 1), lambda k: substr('^' || token || '$', k, 3))) AS gram FROM tok) GROUP BY ALL),
+b AS (SELECT word, gram, count(*) AS d FROM (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda k: substr('^' || word || '$', k, 3))) AS gram FROM lex) GROUP BY ALL),
+sa AS (SELECT token, sum(c * c) AS s FROM a GROUP BY token), sb AS (SELECT word, sum(d * d) AS s FROM b GROUP BY word),
+dots AS (SELECT token, word, sum(c * d) AS dot FROM a JOIN b USING (gram) GROUP BY ALL)
+SELECT token, word, round(dot::DOUBLE / sqrt((sa.s * sb.s)::DOUBLE), 6) AS cosine FROM dots JOIN sa USING (token) JOIN sb USING (word) WHERE round(dot::DOUBLE / sqrt((sa.s * sb.s)::DOUBLE), 6) >= 0.4
+""")
+def embedding_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X6."""
+    return C.embedding_candidates(typos_of(spark, sf_dir), lexicon_of(spark, sf_dir))
 
 
 # ---- evaluation
 
 
-@query(TF_SQL + clauses_sql(["and", "or", "content", "absent"]) + """
+PRF1_SQL = TF_SQL + clauses_sql(["and", "or", "content", "absent"]) + """
 , rel AS (SELECT q.qid, l.doc_id FROM (VALUES ('and'), ('or'), ('content'), ('absent'), ('none')) q(qid), (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l WHERE qid <> 'none'),
 c AS (SELECT qid, count(s.doc_id) AS nf, count(r.doc_id) AS nw, count(CASE WHEN s.doc_id IS NOT NULL AND r.doc_id IS NOT NULL THEN 1 END) AS nb
       FROM score s FULL JOIN rel r USING (qid, doc_id) GROUP BY qid),
 q AS (SELECT qid, coalesce(nf, 0) AS nf, coalesce(nw, 0) AS nw, coalesce(nb, 0) AS nb FROM (VALUES ('and'), ('or'), ('content'), ('absent'), ('none')) q(qid) LEFT JOIN c USING (qid))
 SELECT qid, round(CASE WHEN nf + nw = 0 THEN 1 WHEN nf = 0 THEN 0 ELSE nb / nf END, 6)::DOUBLE AS precision, round(CASE WHEN nf + nw = 0 THEN 1 WHEN nw = 0 THEN 0 ELSE nb / nw END, 6)::DOUBLE AS recall,
        round(CASE WHEN nf + nw = 0 THEN 1 ELSE 2 * nb / (nf + nw) END, 6)::DOUBLE AS f1 FROM q
-""")
+"""
+
+
+@query(PRF1_SQL)
 def prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14, J10, R8, U7; good documents stand in for relevant ones."""
     names = ["and", "or", "content", "absent"]
@@ -595,10 +658,11 @@ def prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qid", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query()
+@query(f"SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM ({PRF1_SQL})")
 def macro_mean_prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14."""
-    return macro_mean(prf1(spark, sf_dir))
+    mean = macro_mean(prf1(spark, sf_dir))
+    return mean.select(*[F.round(c, 6).alias(c) for c in mean.columns])
 
 
 # ---- sources, sinks and what SQL cannot say
@@ -646,10 +710,19 @@ def parse_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "qid int, question string, clauses array<string>, exclusions array<string>, rubrique string, date_lo date, date_hi date, has_image boolean")
 
 
-@query(TF_SQL + "SELECT term, list_sort(list(DISTINCT doc_id)) AS ids FROM tf WHERE term IN ('the', 'la', 'und', 'th') GROUP BY term")
+@query(TF_SQL + """
+, blocks AS (SELECT term, doc_id >> 16 AS block, list_sort(list(DISTINCT doc_id)) AS ids FROM tf GROUP BY ALL),
+gaps AS (SELECT term, block, ids, list_transform(ids, lambda x, k: x - coalesce(ids[k - 1], 0)) AS g FROM blocks)
+SELECT term, block, ids, array_to_string(list_transform(g, lambda x: CASE
+  WHEN x < 128 THEN format('{:02X}', x + 128)
+  WHEN x < 16384 THEN format('{:02X}{:02X}', x & 127, (x >> 7) + 128)
+  WHEN x < 2097152 THEN format('{:02X}{:02X}{:02X}', x & 127, (x >> 7) & 127, (x >> 14) + 128)
+  ELSE format('{:02X}{:02X}{:02X}{:02X}', x & 127, (x >> 7) & 127, (x >> 14) & 127, (x >> 21) + 128) END), '') AS delta
+FROM gaps
+""")
 def posting_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posting lists through all codecs and back."""
-    lists = counts_of(spark, sf_dir).where(F.col("term").isin("the", "la", "und", "th")).groupBy("term").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    """All posting lists, in blocks, through all codecs and back; and the bytes of their gaps."""
+    lists = posting_blocks(counts_of(spark, sf_dir)).withColumn("delta", F.hex(CODECS["delta"]().encoded(F.col("ids"))))
     for kind in CODECS.values():
         codec = kind()
         lists = lists.withColumn("ids", codec.decoded(codec.encoded(F.col("ids"))))

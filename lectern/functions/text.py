@@ -74,6 +74,16 @@ def token_spans(text: str) -> list[tuple[str, int, int]]:
     return [(m[0], *m.span()) for m in _TOKEN.finditer(text.replace("’", "'"))]
 
 
+def spans(text: Column) -> Column:
+    """Query tokens with where they begin and end, in characters."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"token": w, "start": a, "end": b} for w, a, b in token_spans(t or "")])
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<token:string,start:int,end:int>>")(F.coalesce(text, F.lit("")))
+
+
 def is_entity(token: Column) -> Column:
     return token.rlike(ENTITY)
 

@@ -8,6 +8,7 @@ frequencies is left to adaptive execution, which splits frequent terms.
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,8 +137,28 @@ def dense_ids(frame: DataFrame, *order: str | Column, name: str = "doc_id") -> D
     return out.select(place.cast("long").alias(name), *[c for c in frame.columns if c.lower() != name.lower()])
 
 
+class BaseIndex(ABC):
+    """What search needs of an index."""
+
+    @abstractmethod
+    def get_postings(self, term: str, zone: str) -> DataFrame:
+        """(doc_id, tfidf) of a term in a zone."""
+
+    @abstractmethod
+    def get_idf(self, terms: DataFrame) -> DataFrame:
+        """terms (term) with their idf, 0 for those that the corpus has not."""
+
+    @abstractmethod
+    def all_doc_ids(self) -> DataFrame:
+        """(doc_id) of all documents."""
+
+    @abstractmethod
+    def get_documents(self, ids: DataFrame) -> DataFrame:
+        """The documents of ids (doc_id)."""
+
+
 @dataclass(frozen=True)
-class Index:
+class Index(BaseIndex):
     """documents: doc_id, titre, texte, and any of fichier, article, auteur, rubrique, date, has_image, bulletin."""
 
     documents: DataFrame
@@ -187,7 +208,6 @@ class Index:
         return self.postings.where((F.col("term") == term) & (F.col("zone") == zone)).select("doc_id", "tfidf")
 
     def get_idf(self, terms: DataFrame) -> DataFrame:
-        """terms (term) with their idf, 0 for those that the corpus has not."""
         return terms.join(self.vocabulary.select("term", "idf"), "term", "left").select("term", F.coalesce("idf", F.lit(0.0)).alias("idf"))
 
     def all_doc_ids(self) -> DataFrame:
@@ -201,3 +221,31 @@ class Index:
 
     def doc_count(self) -> DataFrame:
         return self.documents.agg(F.count("*").alias("n"))
+
+    def violations(self) -> DataFrame:
+        """(rule, n): how many rows break each rule that the tables must keep."""
+
+        def one(rule: str, frame: DataFrame) -> DataFrame:
+            return frame.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
+
+        def repeated(frame: DataFrame, *keys: str) -> DataFrame:
+            return frame.groupBy(*keys).count().where("count > 1")
+
+        ids, terms = self.documents.select("doc_id"), self.vocabulary.select("term")
+        found = self.postings.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("found"))
+        parts = [
+            one("a document's id is one document's", repeated(self.documents, "doc_id")),
+            one("a term is one term's", repeated(self.vocabulary, "term")),
+            one("a term, document and zone have one posting", repeated(self.postings, "term", "doc_id", "zone")),
+            one("a posting is of a document", self.postings.join(ids, "doc_id", "left_anti")),
+            one("a posting is of a term", self.postings.join(terms, "term", "left_anti")),
+            one("a posting is of a zone", self.postings.where(~F.col("zone").isin(*ZONES))),
+            one("a posting counts one at least", self.postings.where("tf < 1")),
+            one("a term's df is its documents", self.vocabulary.join(found, "term", "left").where("df <> coalesce(found, 0)")),
+            one("a length is of a document", self.lengths.join(ids, "doc_id", "left_anti")),
+            one("a surface is not empty", self.surfaces.where("surface = '' OR lemma = ''")),
+        ]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out

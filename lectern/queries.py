@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -12,14 +13,16 @@ from lectern.operators import correction as C
 from lectern.operators import index as I
 from lectern.operators import scoring as S
 from lectern.operators.codecs import CODECS, posting_blocks
-from lectern.operators.evaluation import evaluated, macro_mean
+from lectern.operators.evaluation import evaluated, latency_ms, macro_mean, run_evaluation
 from lectern.operators.filters import date_range, day_in
 from lectern.operators.ngrams import ngram_postings
 from lectern.plans.ast import DateFilter, FilterSet, KeywordGroup, ParsedQuery
-from lectern.plans.parser import FrenchQueryParser
-from lectern.plans.search import run_batch
-from lectern.sources.html import pages_text
-from lectern.sources.tables import table, text_documents, write_xml
+from lectern.plans.parser import FrenchQueryParser, is_temporal, theme_itself
+from lectern.plans.search import SearchService, run_batch
+from lectern.scratch import Scratch
+from lectern.sources.html import bulletins, html_files, pages_text
+from lectern.sources.tables import read_terms, read_xml, table, text_documents, write_terms, write_xml
+from lectern.streaming.ingest import StreamingIndexer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +41,22 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 # ---- what most queries start from
 
+
+def literal(value: object) -> str:
+    """A value as DuckDB writes it."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, list):
+        return f"[{', '.join(map(literal, value))}]::VARCHAR[]"
+    return f"'{str(value).replace(chr(39), chr(39) * 2)}'" if isinstance(value, str) else str(value)
+
+
+def values_sql(rows: list[tuple], columns: str) -> str:
+    return f"(VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) x({columns})"
+
+
 TOKENS_SQL = r"""
 WITH d AS (
   SELECT doc_id, source AS rubrique, split_part(coalesce(text, ''), chr(10), 1) AS titre,
@@ -116,6 +135,21 @@ def tokenize_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "token").agg(F.count("*").alias("n")).withColumn("entity", X.is_entity(F.col("token")))
 
 
+TOKEN_SQL = r"\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d+(?:[.,]\d+)?|[A-Za-zÀ-ÖØ-öø-ÿ]+(?:-[A-Za-zÀ-ÖØ-öø-ÿ]+)*"
+
+
+@query(f"""
+WITH t AS (SELECT item_id, replace(coalesce(text, ''), '’', chr(39)) AS t FROM benchmark),
+p AS (SELECT item_id, regexp_extract_all(t, '{TOKEN_SQL}') AS w, string_split_regex(t, '{TOKEN_SQL}') AS g FROM t),
+x AS (SELECT item_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS token, unnest(g[:len(w)]) AS gap FROM p),
+y AS (SELECT item_id, token, length(token) AS n, sum(length(gap) + length(token)) OVER (PARTITION BY item_id ORDER BY k) AS e FROM x)
+SELECT item_id, token, (e - n)::INTEGER AS first, e::INTEGER AS past FROM y
+""")
+def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.spans(F.col("text"))).alias("s")).select("item_id", "s.token", F.col("s.start").alias("first"), F.col("s.end").alias("past"))
+
+
 WORD_PAIRS_SQL = r"""
 WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark),
 p AS (SELECT word AS a, lead(word) OVER (ORDER BY word) AS b FROM w)
@@ -281,6 +315,61 @@ def dense_document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.dense_ids(named, "name", name="id").select("id", "page_id")
 
 
+@query(TF_SQL + ", t AS (SELECT count(*) AS n FROM (SELECT DISTINCT term FROM tf)) SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'postings', count(*) FROM tf UNION ALL SELECT 'vocabulary', n FROM t UNION ALL SELECT 'lengths', count(*) FROM documents UNION ALL SELECT 'statistics', 1 UNION ALL SELECT 'surfaces', count(*) FROM (SELECT DISTINCT surface, term FROM tok WHERE regexp_full_match(surface, '\\p{L}+')) UNION ALL SELECT 'noise', " + str(len(I.SEED_NOISE)))
+def index_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index saved and loaded again, and the rows of its tables."""
+    index = index_of(spark, sf_dir).save(f"{Scratch(spark, 'index').folder}")
+    out = None
+    for name in I.Index.TABLES:
+        part = getattr(index, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(TOKENS_SQL + "SELECT DISTINCT term FROM tok")
+def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms written as lines of text and read again."""
+    folder = Scratch(spark, "words").folder
+    write_terms(vocabulary_of(spark, sf_dir), folder)
+    return read_terms(spark, folder)
+
+
+BROKEN = [
+    ("a document's id is one document's", 1), ("a term is one term's", 0), ("a term, document and zone have one posting", 1), ("a posting is of a document", 2), ("a posting is of a term", 2),
+    ("a posting is of a zone", 1), ("a posting counts one at least", 1), ("a term's df is its documents", 1), ("a length is of a document", 1), ("a surface is not empty", 1),
+]
+
+
+@query(f"SELECT 'whole' AS tables, rule, 0 AS n FROM {values_sql(BROKEN, 'rule, n')} UNION ALL SELECT 'broken', rule, n FROM {values_sql(BROKEN, 'rule, n')}")
+def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that the index's tables keep, and the same with rows that break them."""
+    index = index_of(spark, sf_dir)
+    bad = [("nosuchterm", -1, "resume", 0, 0.0), ("nosuchterm", -1, "titre", 1, 0.0)]
+    twice = index.postings.orderBy("term", "doc_id", "zone").limit(1)
+    broken = replace(
+        index,
+        documents=index.documents.unionByName(index.documents.orderBy("doc_id").limit(1)),
+        postings=index.postings.unionByName(twice).unionByName(spark.createDataFrame(bad, index.postings.schema)),
+        vocabulary=index.vocabulary.unionByName(spark.createDataFrame([("unseen", 7, 0.0)], index.vocabulary.schema)),
+        lengths=index.lengths.unionByName(spark.createDataFrame([(-1, 0, 0)], index.lengths.schema)),
+        surfaces=index.surfaces.unionByName(spark.createDataFrame([("", "x", 1)], index.surfaces.schema)),
+    )
+    parts = [t.violations().select(F.lit(n).alias("tables"), "rule", F.col("n").cast("int").alias("n")) for n, t in (("whole", index), ("broken", broken))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(TF_SQL + "SELECT doc_id, zone, term, tf FROM tf")
+def streaming_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive as a stream, each first with another text; the last one counts."""
+    folder = Scratch(spark, "stream").folder
+    documents = documents_of(spark, sf_dir).select("doc_id", "titre", "texte")
+    indexer = StreamingIndexer(spark, f"{folder}/index")
+    for version in (documents.withColumn("texte", F.lit("a first version")), documents):
+        version.write.mode("append").parquet(f"{folder}/arriving")
+        indexer.start(spark.readStream.schema(documents.schema).parquet(f"{folder}/arriving")).awaitTermination()
+    return indexer.index().postings.select("doc_id", "zone", "term", "tf")
+
+
 # ---- filters
 
 
@@ -402,9 +491,6 @@ WHERE (f_rubrique IS NULL OR lower(rubrique) = lower(f_rubrique)) AND (f_image I
 
 
 def search_sql(names: list[str]) -> str:
-    def literal(v) -> str:
-        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'"
-
     filters = ", ".join(f"('{n}', {literal(PARSED[n].filters.rubrique)}, {literal(PARSED[n].filters.has_image)})" for n in names)
     gone = ", ".join(f"('{n}', '{t}')" for n in names for t in PARSED[n].exclusions) or "('', '')"
     return SEARCH_SQL.format(filters=filters, excluded=gone)
@@ -426,6 +512,25 @@ def fallback_all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_batch([("absent", PARSED["absent"])], index_of(spark, sf_dir)).select("qid", "doc_id", "score", "rubrique", "has_image")
 
 
+#: Raw questions, and what they must be read as.
+ASKED = {
+    "titled": ("articles dont le titre contient the", ParsedQuery([KeywordGroup(title=["the"])])),
+    "several": ("articles qui parlent de the et ing et tion", ParsedQuery([KeywordGroup(content=["the", "ing", "tion"])])),
+    "either": ("articles qui parlent de ing ou de und", ParsedQuery([KeywordGroup(content=["ing"]), KeywordGroup(content=["und"])])),
+    "without": ("articles qui parlent de the mais pas de ing", ParsedQuery([KeywordGroup(content=["the"])], ["ing"])),
+    "filtered": ("articles qui parlent de the avec des images de la rubrique src0", ParsedQuery([KeywordGroup(content=["the"])], [], FilterSet(rubrique="src0", has_image=True))),
+    "bare": ("articles de la rubrique src0", ParsedQuery([], [], FilterSet(rubrique="src0"))),
+}
+PARSED |= {name: parsed for name, (_, parsed) in ASKED.items()}
+
+
+@query(TF_SQL + clauses_sql(list(ASKED)) + search_sql(list(ASKED)))
+def search_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw questions, corrected with the corpus' own words, read, scored, filtered and excluded."""
+    service = SearchService(index_of(spark, sf_dir))
+    return service.run_many({name: question for name, (question, _) in ASKED.items()}).select("qid", "doc_id", "score", "rubrique", "has_image")
+
+
 SORTED_SQL = "SELECT o_orderkey AS doc_id, o_totalprice AS score, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE END AS date"
 
 
@@ -634,6 +739,18 @@ def embedding_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.embedding_candidates(typos_of(spark, sf_dir), lexicon_of(spark, sf_dir))
 
 
+@query(FORMS_SQL + f"""
+, entry AS (
+  SELECT surface, lemma, 0 AS kind FROM forms
+  UNION ALL SELECT term, term, 1 FROM (SELECT DISTINCT term FROM tok) WHERE term NOT IN (SELECT surface FROM forms)
+)
+SELECT word, lemma FROM (SELECT {normal_sql('surface')} AS word, lemma, kind, surface FROM entry) WHERE word <> '' QUALIFY row_number() OVER (PARTITION BY word ORDER BY kind DESC, surface DESC) = 1
+""")
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that questions are corrected with, from an index."""
+    return spark.createDataFrame(list(C.SurfaceLexicon.from_index(index_of(spark, sf_dir)).items()), "word string, lemma string")
+
+
 # ---- evaluation
 
 
@@ -665,51 +782,197 @@ def macro_mean_prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.select(*[F.round(c, 6).alias(c) for c in mean.columns])
 
 
+GOLDEN = {"several": "src3", "either": "src5", "titled": "src7"}
+
+
+@query(TF_SQL + clauses_sql(list(GOLDEN)) + f"""
+, golden(qid, rubrique) AS (SELECT * FROM {values_sql(list(GOLDEN.items()), 'qid, rubrique')}),
+question(qid, query) AS (SELECT * FROM {values_sql([(n, ASKED[n][0]) for n in GOLDEN], 'qid, query')}),
+found AS (SELECT qid, list_sort(list(doc_id::VARCHAR)) AS retrieved FROM score GROUP BY qid),
+wanted AS (SELECT qid, list_sort(list(doc_id::VARCHAR)) AS relevant FROM golden JOIN documents ON source = rubrique GROUP BY qid),
+n AS (SELECT qid, query, retrieved, relevant, len(list_intersect(retrieved, relevant)) AS nb, len(retrieved) AS nf, len(relevant) AS nw FROM question JOIN found USING (qid) JOIN wanted USING (qid))
+SELECT qid, query, round(nb / nf, 6) AS precision, round(nb / nw, 6) AS recall, round(2 * nb / (nf + nw), 6) AS f1, retrieved, relevant FROM n
+""")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden questions through the service, and the report as it is read from JSON."""
+    index = index_of(spark, sf_dir)
+    index = replace(index, documents=index.documents.withColumn("article", F.col("doc_id").cast("string")))
+    articles = index.documents.where(F.col("rubrique").isin(*GOLDEN.values())).select("rubrique", "article").collect()
+    golden = [(n, ASKED[n][0], {r["article"] for r in articles if r["rubrique"] == source}) for n, source in GOLDEN.items()]
+    folder = Scratch(spark, "report").folder
+    run_evaluation(SearchService(index, corrector=None), golden, report=folder)
+    report = spark.read.schema("qid string, query string, precision double, recall double, f1 double, ms double, retrieved array<string>, relevant array<string>").json(folder)
+    return report.select("qid", "query", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "retrieved", "relevant")
+
+
+@query("SELECT 'count' AS called, 3 AS calls, true AS measured")
+def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call is run once to warm up and then timed."""
+    calls: list[int] = []
+    ms = latency_ms(lambda: calls.append(table(spark, sf_dir, "region").count()), 2)
+    return spark.createDataFrame([("count", len(calls), ms > 0)], "called string, calls int, measured boolean")
+
+
 # ---- sources, sinks and what SQL cannot say
 
 
-@query()
+def unescaped_sql(text: str) -> str:
+    """The entities that the pages have; the last may lack its semicolon."""
+    for name, letter in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·")):
+        text = f"replace({text}, '{name}', '{letter}')"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
+def plain_sql(html: str) -> str:
+    return f"trim(regexp_replace({unescaped_sql(f"regexp_replace({html}, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+SELECT page_id, url, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, {plain_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
+       {plain_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS heading,
+       array_to_string(list_filter(list_transform(string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:], lambda p: {plain_sql("split_part(p, '</p>', 1)")}), lambda p: p <> ''), chr(10)) AS texte,
+       len(regexp_extract_all(html, '<a href="'))::BIGINT AS n_links
+FROM pages
+""")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3, on common web pages."""
     return pages_text(table(spark, sf_dir, "pages"))
 
 
-@query()
-def xml_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as XML and read again."""
-    from uuid import uuid4
+def bulletin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a bulletin page for each item of the benchmark, some without date, people or images."""
+    safe = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    n = F.col("item_id").cast("string")
+    label = '<table><tr><td><p class="style28"><span class="style28">%s</span></p></td><td><p>%s</p></td></tr></table>'
+
+    def unless(k: int, *parts: Column) -> Column:
+        return F.when(F.col("item_id") % k == 0, "").otherwise(F.concat(*parts))
+
+    html = F.concat(
+        F.lit("<html><head><title>BE France "), n, F.lit(' - news</title></head><body><span class="style15">'),
+        unless(7, F.date_format(F.date_add(F.lit("2012-02-25").cast("date"), F.col("item_id").cast("int")), "d/M/yyyy")),
+        F.lit('</span><span class="style42">1/2/2003</span><span class="style42"> Rubrique '), (F.col("item_id") % 3).cast("string"),
+        F.lit(' </span><p><span class="style17">\n'), F.substring_index(safe, " ", 4), F.lit("</span></p>"),
+        F.lit('<p class="style96"><span class="style95">'), safe, F.lit("</span>\n<span>not of the text</span><b>nor this</b></p>"),
+        unless(4, F.lit('<div><img style="margin-bottom:5px" src="img/'), n, F.lit('.jpg"><img src="other.gif"></div>')),
+        unless(5, F.lit(label.split("%s")[0] + "Rédacteur" + label.split("%s")[1] + "ADIT - Nom "), n, F.lit(" - email : x@example.org" + label.split("%s")[2])),
+        F.lit(label.split("%s")[0] + "Pour en savoir plus, contacts :" + label.split("%s")[1]), F.lit("<b>Lab</b> "), n, F.lit(label.split("%s")[2] + "</body></html>"),
+    )
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("pages/"), n, F.lit(".HTM")).alias("path"), F.encode(html, "UTF-8").alias("content"))
+
+
+BULLETIN_SQL = r"""
+SELECT item_id || '.HTM' AS fichier, item_id::VARCHAR AS article, regexp_replace(array_to_string(string_split(coalesce(text, ''), ' ')[:4], ' '), '^\s+|\s+$', '', 'g') AS titre,
+       CASE WHEN item_id % 7 <> 0 THEN DATE '2012-02-25' + item_id::INTEGER END AS date, CASE WHEN item_id % 5 <> 0 THEN 'Nom ' || item_id ELSE '' END AS auteur, 'Rubrique ' || item_id % 3 AS rubrique,
+       regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS texte, 'Lab ' || item_id AS contact, item_id::VARCHAR AS bulletin, item_id % 4 <> 0 AS has_image,
+       CASE WHEN item_id % 4 <> 0 THEN ['img/' || item_id || '.jpg'] ELSE []::VARCHAR[] END AS images
+FROM benchmark
+"""
 
-    from lectern.sources.tables import read_xml
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/lectern"
-    path = f"{folder.rstrip('/')}/xml-{uuid4().hex}"
-    printable = F.regexp_replace("titre", r"[^\x20-퟿]", " ")
-    write_xml(documents_of(spark, sf_dir).select("doc_id", "rubrique", printable.alias("titre")), path)
-    return read_xml(spark, path, "doc_id long, rubrique string, titre string")
+@query(BULLETIN_SQL)
+def bulletin_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulletin pages to documents."""
+    return bulletins(bulletin_pages(spark, sf_dir))
 
 
-QUESTIONS = (
-    "Afficher la liste des articles qui parlent de Airbus",
-    "Je voudrais les articles qui parlent d airbus ou du projet Taxibot",
-    "Je veux les articles de la rubrique Focus",
-    "Quels sont les articles parus entre le 3 mars 2013 et le 4 mai 2013",
-    "Je veux les articles impliquant le CNRS",
-    "articles qui ne parlent pas de pollution et qui parlent de l'énergie avec des images",
-)
+@query(f"SELECT titre, date, auteur, rubrique, texte, contact, bulletin, has_image, images FROM ({BULLETIN_SQL})")
+def bulletin_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bulletin_fields, from files below a folder; Spark chooses their names."""
+    folder = Scratch(spark, "pages").folder
+    pages = bulletin_pages(spark, sf_dir).select(F.decode("content", "UTF-8").alias("page"))
+    lines = pages.select(F.replace("page", F.lit("\r"), F.lit("&#13;")))
+    lines.write.options(maxRecordsPerFile=1, extension="htm", quote="", sep="\u0001", escape="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    return bulletins(html_files(spark, folder)).drop("fichier", "article")
 
 
-@query()
+@query(r"""
+SELECT doc_id, source AS rubrique, regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '[^\x09\x0A\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]', ' ', 'g') AS titre,
+       regexp_replace(CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END, '[^\x09\x0A\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]', ' ', 'g') AS texte
+FROM documents
+""")
+def xml_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents written as XML and read again."""
+    path = Scratch(spark, "xml").folder
+    write_xml(documents_of(spark, sf_dir), path)
+    read = read_xml(spark, path, "doc_id long, rubrique string, titre string, texte string")
+    return read.fillna("", ["titre", "texte"])
+
+
+#: Questions, and what the query language makes of them: clauses (group, kind, term), exclusions, rubrique, date bounds, image.
+QUESTIONS = [
+    ("Afficher la liste des articles qui parlent de Airbus", ["0:content:airbus"], [], None, None, None, None),
+    ("Je voudrais les articles qui parlent d airbus ou du projet Taxibot", ["0:content:airbus", "1:content:projet", "1:content:taxibot"], [], None, None, None, None),
+    ("Je veux les articles de la rubrique Focus", [], [], "Focus", None, None, None),
+    ("Quels sont les articles parus entre le 3 mars 2013 et le 4 mai 2013", [], [], None, "2013-03-03", "2013-05-04", None),
+    ("Je veux les articles impliquant le CNRS", ["0:content:cnrs"], [], None, None, None, None),
+    ("articles qui ne parlent pas de pollution et qui parlent de l'énergie avec des images", ["0:content:énergie"], ["pollution"], None, None, None, True),
+    ("articles dont le titre contient le mot chimie", ["0:title:chimie"], [], None, None, None, None),
+    ("articles sur la chimie mais pas sur la pollution", ["0:content:chimie"], ["pollution"], None, None, None, None),
+    ("articles sur la chimie sans image ?", ["0:content:chimie"], [], None, None, None, False),
+    ("articles de la rubrique horizons enseignement et qui parlent de chimie", ["0:content:chimie"], [], "Horizons Enseignement", None, None, None),
+    ("articles de la rubrique inconnue", [], [], "inconnue", None, None, None),
+    ("articles de 2014", [], [], None, "2014-01-01", "2014-12-31", None),
+    ("articles de mars 2014", [], [], None, "2014-03-01", "2014-03-31", None),
+    ("articles publiés le 12/3/2013", [], [], None, "2013-03-12", "2013-03-12", None),
+    ("articles entre 2011 et 2013", [], [], None, "2011-01-01", "2013-12-31", None),
+    ("articles entre mars 2011 et avril 2012", [], [], None, "2011-03-01", "2012-04-30", None),
+    ("articles parus le 31/02/2013", [], [], None, None, None, None),
+    ("articles qui parlent de robots et biologie", ["0:content:robots", "0:content:biologie"], [], None, None, None, None),
+    ("articles qui parlent du CNRS ou de la chimie", ["0:content:cnrs", "1:content:chimie", "1:content:cnrs"], [], None, None, None, None),
+    ("articles dont le titre contient biocarburant ou le contenu parle des bioénergies", ["0:title:biocarburant", "1:content:bioénergies"], [], None, None, None, None),
+    ("articles qui parlent de chimie sans pollution", ["0:content:chimie"], ["pollution"], None, None, None, None),
+    ("articles qui mentionnent les mots robot autonome", ["0:content:robot", "0:content:autonome"], [], None, None, None, None),
+    ("intelligence artificielle", [], [], None, None, None, None),
+    ("", [], [], None, None, None, None),
+]
+
+
+@query(f"SELECT qid, question, clauses, exclusions, rubrique, date_lo::DATE AS date_lo, date_hi::DATE AS date_hi, has_image FROM {values_sql([(k, *r) for k, r in enumerate(QUESTIONS)], 'qid, question, clauses, exclusions, rubrique, date_lo, date_hi, has_image')}")
 def parse_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1-Q15: questions and the clauses, exclusions and filters read from them."""
-    parser = FrenchQueryParser(I.SEED_NOISE, ["Focus"])
+    parser = FrenchQueryParser(I.SEED_NOISE, ["Focus", "Horizons Enseignement"])
     rows = []
-    for k, q in enumerate(QUESTIONS):
-        p = parser.parse(q)
-        bounds = date_range(p.filters.date) if p.filters.date else None
-        rows.append((k, q, [f"{g}:{kind}:{t}" for g, _, kind, t, _ in p.clauses()], p.exclusions, p.filters.rubrique, bounds[0] if bounds else None, bounds[1] if bounds else None, p.filters.has_image))
+    for k, (question, *_) in enumerate(QUESTIONS):
+        p = parser.parse(question)
+        lo, hi = (date_range(p.filters.date) if p.filters.date else None) or (None, None)
+        rows.append((k, question, [f"{g}:{kind}:{t}" for g, _, kind, t, _ in p.clauses()], p.exclusions, p.filters.rubrique, lo, hi, p.filters.has_image))
     return spark.createDataFrame(rows, "qid int, question string, clauses array<string>, exclusions array<string>, rubrique string, date_lo date, date_hi date, has_image boolean")
 
 
+#: Fragments, themes without what leads them, and whether the fragments are of time.
+FRAGMENTS = [
+    (" les mots robot autonome, ", "robot autonome", False), ("de la chimie", "chimie", False), ("l'énergie", "énergie", False), ("d'airbus", "airbus", False), ("du projet", "projet", False),
+    ("le 3 mars 2013", "3 mars 2013", True), ("entre 2011 et 2012", "entre 2011 et 2012", True), ("date 2012", "date 2012", True), ("en 2012", "en 2012", False), ("chimie  verte", "chimie verte", False),
+]
+
+
+@query(f"SELECT * FROM {values_sql(FRAGMENTS, 'fragment, theme, temporal')}")
+def question_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T12, T14, Q11."""
+    return spark.createDataFrame([(f, theme_itself(f), is_temporal(f)) for f, *_ in FRAGMENTS], "fragment string, theme string, temporal boolean")
+
+
+#: A small lexicon; questions, their corrections and the status of each token.
+SURFACES = [("airbus", "airbus"), ("avions", "avion"), ("avion", "avion"), ("enseignement", "enseignement"), ("Café", "café"), ("taxi", "taxi")]
+CORRECTED = [
+    ("articles sur airbis", "articles sur airbus", "articles sur airbus", ["introuvable", "introuvable", "corrige-candidat-unique"]),
+    ("l'enseignment des AVIONS", "l'enseignement des AVIONS", "l'enseignement des avion", ["introuvable", "corrige-candidat-unique", "introuvable", "valide"]),
+    ("cafe le 2024-03-15, 3.14", "cafe le 2024-03-15, 3.14", "café le 2024-03-15, 3.14", ["valide", "introuvable", "entite", "entite"]),
+    ("avian", "avion", "avion", ["corrige-levenshtein"]),
+    ("xyzqq taxi", "xyzqq taxi", "xyzqq taxi", ["introuvable", "valide"]),
+    ("", "", "", []),
+]
+
+
+@query(f"SELECT * FROM {values_sql(CORRECTED, 'question, corrected, lemmas, statuses')}")
+def correct_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole questions on the driver."""
+    corrector = C.LevenshteinCorrector(C.SurfaceLexicon(dict(SURFACES)))
+    done = [(q, corrector.correct(q)) for q, *_ in CORRECTED]
+    return spark.createDataFrame([(q, r.corrected_query, r.lemmatized_query, [t.status for t in r.tokens]) for q, r in done], "question string, corrected string, lemmas string, statuses array<string>")
+
+
 @query(TF_SQL + """
 , blocks AS (SELECT term, doc_id >> 16 AS block, list_sort(list(DISTINCT doc_id)) AS ids FROM tf GROUP BY ALL),
 gaps AS (SELECT term, block, ids, list_transform(ids, lambda x, k: x - coalesce(ids[k - 1], 0)) AS g FROM blocks)

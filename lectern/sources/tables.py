@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import text as X
 
@@ -18,10 +19,19 @@ def text_documents(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", X.first_line(text).alias("titre"), X.other_lines(text).alias("texte"), F.col("source").alias("rubrique"))
 
 
+#: The characters that XML 1.0 forbids, and carriage returns, which its readers turn into line feeds.
+NOT_XML = r"[^\x09\x0A\x20-\uD7FF\uE000-\uFFFD\x{10000}-\x{10FFFF}]"
+
+
+def printable(text: Column) -> Column:
+    """text with a blank for each character that XML cannot give back."""
+    return F.regexp_replace(text, NOT_XML, " ")
+
+
 def write_xml(documents: DataFrame, folder: str) -> None:
-    """A folder of XML files, a `document` element for each row below a `corpus` root."""
+    """A folder of XML files, a `document` element for each row below a `corpus` root. Characters that XML cannot give back are blanks."""
     columns = [c for c in ("fichier", "bulletin", "date", "rubrique", "titre", "auteur", "texte", "images", "contact", "has_image", "doc_id") if c in documents.columns]
-    shown = documents.select(*columns)
+    shown = documents.select(*[printable(F.col(c)).alias(c) if documents.schema[c].dataType == T.StringType() else F.col(c) for c in columns])
     if "images" in columns:
         shown = shown.withColumn("images", F.struct(F.col("images").alias("image")))
     if "has_image" in columns:
@@ -30,7 +40,7 @@ def write_xml(documents: DataFrame, folder: str) -> None:
 
 
 def read_xml(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", "document").schema(schema).load(folder)
+    return spark.read.format("xml").option("rowTag", "document").option("ignoreSurroundingSpaces", "false").schema(schema).load(folder)
 
 
 def write_terms(terms: DataFrame, folder: str) -> None:

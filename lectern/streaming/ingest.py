@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lectern.functions import text as X
 from lectern.functions.lemmas import Lemmatizer
 from lectern.operators import index as I
 
@@ -17,7 +18,8 @@ class StreamingIndexer:
     """Writes each micro-batch's documents, term counts and surface forms below a folder.
 
     A batch's files are overwritten if it runs again, so every document counts once however
-    often a batch is tried. Documents must be new ones: an id that comes twice counts twice.
+    often a batch is tried. A document that comes again takes the place of the one before: of an
+    id only its last batch counts, and of its rows within a batch the greatest.
     """
 
     spark: SparkSession
@@ -25,23 +27,29 @@ class StreamingIndexer:
     lemmatizer: Lemmatizer | None = None
 
     def _write(self, batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        tokens = I.tokens_of(batch, self.lemmatizer)
-        for name, frame in (("documents", batch), ("counts", I.term_counts(tokens)), ("surfaces", I.surface_forms(tokens))):
+        rows = batch.groupBy("doc_id").agg(F.max(F.struct(*[c for c in batch.columns if c != "doc_id"])).alias("row")).select("doc_id", "row.*").persist()
+        tokens = I.tokens_of(rows, self.lemmatizer)
+        forms = tokens.where(X.is_alphabetic(F.col("surface"))).groupBy("doc_id", "surface", F.col("term").alias("lemma")).agg(F.count("*").alias("freq"))
+        for name, frame in (("documents", rows), ("counts", I.term_counts(tokens)), ("surfaces", forms)):
             frame.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={number}")
-        batch.unpersist()
+        rows.unpersist()
 
     def start(self, documents: DataFrame, **trigger) -> StreamingQuery:
         """documents: a streaming DataFrame with doc_id, titre and texte."""
         return documents.writeStream.foreachBatch(self._write).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
+    def _current(self, name: str) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.folder}/{name}").withColumn("batch", F.col("batch").cast("long"))
+        last = self.spark.read.parquet(f"{self.folder}/documents").groupBy("doc_id").agg(F.max("batch").cast("long").alias("batch"))
+        return rows.join(last, ["doc_id", "batch"], "left_semi").drop("batch")
+
     def index(self) -> I.Index:
-        documents, counts = (self.spark.read.parquet(f"{self.folder}/{n}").drop("batch") for n in ("documents", "counts"))
-        forms = self.spark.read.parquet(f"{self.folder}/surfaces").drop("batch")
+        documents, counts, forms = (self._current(n) for n in ("documents", "counts", "surfaces"))
         lengths = I.document_lengths(documents, counts)
         vocabulary = I.with_idf(I.document_frequencies(counts), documents.agg(F.count("*")).scalar())
         postings = I.postings_of(counts, vocabulary)
-        return I.Index(documents, postings, vocabulary, lengths, I.corpus_statistics(lengths), I.merged_surface_forms(forms, forms.limit(0)), I.noise_terms(I.greatest_weights(postings)))
+        surfaces = forms.groupBy("surface", "lemma").agg(F.sum("freq").alias("freq"))
+        return I.Index(documents, postings, vocabulary, lengths, I.corpus_statistics(lengths), surfaces, I.noise_terms(I.greatest_weights(postings)))
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.correction import CorrectionResult, Corrector, LevenshteinCorrector, SurfaceLexicon
+from lectern.operators.correction import CorrectionResult, Corrector, LevenshteinCorrector, SurfaceLexicon, TableCorrector, lexicon_table
 from lectern.operators.filters import FILTER_SCHEMA, excluded, filter_table, passes_filters
 from lectern.operators.index import Index
 from lectern.operators.scoring import FrequencyScorer, Scorer, clause_table, ordered
 from lectern.plans.ast import ParsedQuery
 from lectern.plans.parser import FrenchQueryParser, QueryParser
+from lectern.scratch import Scratch
 
 _DEFAULT = object()
 
@@ -26,6 +27,8 @@ def run_batch(queries: list[tuple[str, ParsedQuery]], index: Index, scorer: Scor
     """
     spark = index.documents.sparkSession
     scores = (scorer or FrequencyScorer()).score(clause_table(spark, queries), index)
+    if fallback == "all":  # read twice below
+        scores = Scratch(spark, "search").keep(scores, "scores")
     filters = spark.createDataFrame(filter_table([(qid, q.filters) for qid, q in queries]), FILTER_SCHEMA)
     found = scores.join(index.documents, "doc_id").join(F.broadcast(filters), "qid")
     if fallback == "all":
@@ -43,18 +46,27 @@ def run_batch(queries: list[tuple[str, ParsedQuery]], index: Index, scorer: Scor
 
 @dataclass
 class SearchService:
-    """corrector: None reads questions as they are; by default one is built from the index when first needed."""
+    """corrector: None reads questions as they are; by default one is built from the index when first needed.
+
+    A lexicon of more than driver_words words stays a table, and questions are joined with it.
+    """
 
     index: Index
     scorer: Scorer = field(default_factory=FrequencyScorer)
-    corrector: Corrector | None | object = _DEFAULT
+    corrector: Corrector | TableCorrector | None | object = _DEFAULT
     parser: QueryParser | None = None
     lenient: bool = False
+    driver_words: int = 2_000_000
     last_correction: CorrectionResult | None = None
 
-    def _corrector(self) -> Corrector | None:
+    def _corrector(self) -> Corrector | TableCorrector | None:
         if self.corrector is _DEFAULT:
-            self.corrector = LevenshteinCorrector(SurfaceLexicon.from_index(self.index, metadata=True))
+            words = max(t.select(c).distinct().limit(self.driver_words + 1).count() for t, c in ((self.index.surfaces, "surface"), (self.index.vocabulary, "term")))
+            if words > self.driver_words:
+                spark = self.index.documents.sparkSession
+                self.corrector = TableCorrector(Scratch(spark, "lexicon").keep(lexicon_table(self.index, metadata=True), "words"))
+            else:
+                self.corrector = LevenshteinCorrector(SurfaceLexicon.from_index(self.index, metadata=True, most=self.driver_words))
         return self.corrector
 
     def _parser(self) -> QueryParser:

@@ -1,9 +1,12 @@
+import math
 import random
+from collections import Counter
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions.text import edit_distance
 from lectern.operators import index as I
 from lectern.operators.codecs import CODECS
 from lectern.operators.correction import (
@@ -12,7 +15,12 @@ from lectern.operators.correction import (
     NgramCorrector,
     SurfaceLexicon,
     SymSpellCorrector,
+    TableCorrector,
     corrected_tokens,
+    embedding_candidates,
+    lexicon_table,
+    ngram_candidates,
+    symspell_candidates,
 )
 from lectern.operators.evaluation import evaluated, precision_recall_f1, run_evaluation
 from lectern.operators.scoring import BM25Scorer, EmbeddingScorer, FrequencyScorer, clause_table, nearest
@@ -186,6 +194,60 @@ def test_the_join_corrects_as_the_driver_does(spark):
         assert got[t] == (a.status, a.correction, a.lemma), t
 
 
+def test_a_lexicon_table_is_that_of_the_driver(index):
+    for metadata in (False, True):
+        got = {r["word"]: r["lemma"] for r in lexicon_table(index, metadata).collect()}
+        assert got == dict(SurfaceLexicon.from_index(index, metadata).items())
+
+
+def test_a_service_with_a_lexicon_too_large_for_the_driver(index):
+    small, large = SearchService(index), SearchService(index, driver_words=3)
+    assert isinstance(large._corrector(), TableCorrector)
+    for question in ("articles qui parlent de airbis", "l'AVION de taxibut, 3.14", "xyzqq", ""):
+        a, b = (s._corrector().correct(question) for s in (small, large))
+        assert (a.corrected_query, a.lemmatized_query, [t.status for t in a.tokens]) == (b.corrected_query, b.lemmatized_query, [t.status for t in b.tokens])
+    assert {r["doc_id"] for r in large.run("articles qui parlent de airbis").collect()} == {1}
+
+
+def test_violations(spark, index):
+    assert {r["n"] for r in index.violations().collect()} == {0}
+
+
+def test_nearest_ignores_zero_and_other_vectors(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0]), (5, [1.0, 0.0, 0.0])], "doc_id long, vector array<double>")
+    queries = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [0.0, 2.0])], "qid string, vector array<double>")
+    for block in (1, 100):
+        got = {(r["qid"], r["doc_id"]): round(r["similarity"], 6) for r in nearest(queries, vectors, block=block).collect()}
+        assert got == {("a", 1): 1.0, ("a", 4): 0.707107, ("d", 1): 0.0, ("d", 4): 0.707107}
+        assert [(r["qid"], r["doc_id"]) for r in nearest(queries, vectors, 1, block).orderBy("qid").collect()] == [("a", 1), ("d", 4)]
+
+
+@pytest.mark.parametrize("find", [symspell_candidates, ngram_candidates, embedding_candidates])
+def test_candidates_are_those_of_brute_force(spark, find):
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 14))) for _ in range(300)})
+    tokens = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 14))) for _ in range(60)} | {words[0]})
+
+    def grams(w, padded):
+        w = f"^{w}$" if padded else w
+        return Counter(w[k : k + 3] for k in range(len(w) - 2))
+
+    def near(t, w):
+        if find is symspell_candidates:
+            return edit_distance(t, w) if edit_distance(t, w) <= 2 else None
+        a, b = grams(t, find is embedding_candidates), grams(w, find is embedding_candidates)
+        if find is ngram_candidates:
+            a, b = Counter(set(a)), Counter(set(b))
+            value = round(2 * sum((a & b).values()) / max(1, a.total() + b.total()), 6)
+            return value if value >= 0.5 else None
+        value = round(sum(a[g] * b[g] for g in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())), 6)
+        return value if value >= 0.4 else None
+
+    wanted = {(t, w): near(t, w) for t in tokens for w in words if near(t, w) is not None}
+    rows = find(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(w,) for w in words], "word string")).collect()
+    assert {(r["token"], r["word"]): r[-1] for r in rows} == pytest.approx(wanted, abs=2e-6) and len(rows) == len(wanted)
+
+
 def test_precision_recall(spark):
     assert precision_recall_f1(set(), set()) == (1.0, 1.0, 1.0)
     assert precision_recall_f1({1}, set()) == precision_recall_f1(set(), {1}) == (0.0, 0.0, 0.0)

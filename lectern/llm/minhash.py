@@ -49,6 +49,8 @@ from lectern.llm.textarrays import U64, Piece, bounded_batches, mix, release, te
 
 #: Groups that the copies of one set are looked up in, and that the pairs of one centre are checked in.
 COPY_SALTS, STAR_SALTS = 16, 64
+#: An element of so many sets or more is not shuffled by its value.
+HOT_SPREAD = 256
 
 
 @dataclass(frozen=True)
@@ -244,8 +246,12 @@ def prefix_pairs(rooted: DataFrame, sets: DataFrame, settings: Settings, scratch
 
     own = bounded_batches(sets.join(_narrow(rooted.select("id"), settings), "id", "left_semi")).select("id", "elements", "counts")
     rows = scratch.keep(own.mapInArrow(run, "id long, element long, weight double, whole double"), "elements")
-    spread = rows.groupBy("element").agg(F.count("*").alias("spread")).where("spread > 1")
-    common = rows.join(spread, "element")
+    spread = scratch.keep(rows.groupBy("element").agg(F.count("*").alias("spread")).where("spread > 1"), "spread")
+    # what many sets have is looked up where it lies; no more than one in HOT_SPREAD rows names such an element
+    often = _narrow(spread.where(F.col("spread") >= HOT_SPREAD), settings)
+    known = rows.join(often.withColumnRenamed("spread", "often"), "element", "left")
+    rare = known.where("often IS NULL").drop("often").join(spread.where(F.col("spread") < HOT_SPREAD), "element")
+    common = rare.unionByName(known.where("often IS NOT NULL").withColumnRenamed("often", "spread"))
     own = Window.partitionBy("id")
     upto = own.orderBy("spread", "element").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # what no other set has comes first, so the suffix from an element on is made of common ones

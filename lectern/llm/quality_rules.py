@@ -1,9 +1,20 @@
-"""Quality rules: rule statistics of whole texts, and an isolation forest over them.
+"""Quality rules: rule statistics of whole texts, and isolation forests over them.
 
 Words are runs other than ASCII white space. The base statistics and the base rule are
-fixed; the forest adds a verdict: documents whose mean path length over random splits is
-short are anomalous, and the score from which they are dropped is set on labelled rows.
-Null and empty texts have no words, so the base rule drops them.
+fixed; the forests add a verdict: documents whose mean path length over random splits is
+short are anomalous, and the score from which they are dropped is set on all labelled rows.
+
+There is a forest for each group of statistics, so that those in which good texts vary widely do
+not shorten the paths that others need: one on shares of characters (symbols, capitals,
+punctuation), one on words and lines (mean word length, digits, repeated lines, words in
+repeated windows). A forest whose threshold would cost more good rows than the bad ones it
+catches are worth drops nothing.
+
+Defined results: null and empty texts have no words, so the base rule drops them; an empty
+table gives an empty one, and without good labelled rows the base rule decides alone. Very long
+texts are read whole. Repeated rows are judged each by itself; of repeated labels of one id 1
+counts; a score at the threshold is dropped. Extra columns are kept, and one named like an
+added one, in whatever case, gives way to it.
 """
 
 from __future__ import annotations
@@ -23,9 +34,13 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[0x30:0x3A] = True
 _MARK = np.zeros(256, bool)
 _MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: The statistics of each forest, as rule_statistics has them.
+GROUPS = ((0, 1, 2), (3, 4, 5, 6))
 WINDOW = 3
 BINS = 1 << 17
 
@@ -110,18 +125,21 @@ def base_statistics(piece: Piece) -> np.ndarray:
 
 
 def rule_statistics(piece: Piece, base: np.ndarray) -> np.ndarray:
-    """What the forest splits on: the shares of symbols, capitals and punctuation among the characters in words.
+    """What the forests split on, none of which grows with a text's length.
 
-    Repeated words and short texts are the base rule's; statistics in which good texts
-    vary as widely as bad ones would only shorten the paths of good texts.
+    The shares of symbols, capitals and punctuation among the characters in words; their mean
+    number in a word and the share of digits; the shares of repeated lines and of words in
+    repeated windows.
     """
 
     def total(flags: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
         return sums[piece.offsets[1:]] - sums[piece.offsets[:-1]]
 
-    chars = np.maximum(base[:, 1], 1)
-    return np.stack([base[:, 2] / chars, total(_UPPER[piece.data]) / chars, total(_MARK[piece.data]) / chars], axis=1)
+    words, chars = np.maximum(base[:, 0], 1), np.maximum(base[:, 1], 1)
+    lines = 1 + total(piece.data == 10)
+    shares = [total(kind[piece.data]) / chars for kind in (_UPPER, _MARK, _DIGIT)]
+    return np.stack([base[:, 2] / chars, shares[0], shares[1], base[:, 1] / words, shares[2], base[:, 3] / lines, base[:, 4] / words], axis=1)
 
 
 def _expected(n: np.ndarray | float) -> np.ndarray:
@@ -206,12 +224,16 @@ def failed(base: np.ndarray) -> np.ndarray:
     return (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
 
 
-def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Forest | None:
-    """A forest grown on good labelled rows and a few bad ones, at most 2 * per_class of them; its threshold is set on all labelled rows.
+def anomalies(forests: list[Forest], rows: np.ndarray) -> np.ndarray:
+    """rows x forests: each group's score."""
+    return np.stack([anomaly(f, rows[:, list(own)]) for f, own in zip(forests, GROUPS, strict=True)], axis=1)
 
-    Rows that the base rule drops take no part. Without good rows there is no forest, and
-    the base rule decides alone. The driver gets counts by ranges of 1 / BINS of the score,
-    so as many as there are ranges at most.
+
+def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> list[Forest] | None:
+    """Forests grown on good labelled rows and a few bad ones, at most 2 * per_class of them; their thresholds are set on all labelled rows.
+
+    Rows that the base rule drops take no part. Without good rows there is no forest. The
+    driver gets counts by ranges of 1 / BINS of the scores, so as many as there are ranges at most.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = labelled_ids(labels, "quality", settings.per_class, learnable=False)
@@ -230,23 +252,25 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     if not good.any():
         return None
     few = rows[~good][: int(np.ceil(settings.impure * good.sum()))]
-    forest = grow(np.concatenate([rows[good], few]), settings)
+    grown = [grow(np.concatenate([rows[good], few])[:, list(own)], settings) for own in GROUPS]
 
     def score():
         def compute(piece: Piece):
             base = base_statistics(piece)
-            return [failed(base), np.floor(anomaly(forest, rule_statistics(piece, base)) * BINS).astype(np.int64)]
+            return [failed(base), list(np.floor(anomalies(grown, rule_statistics(piece, base)) * BINS).astype(np.int64))]
 
         return compute
 
     every = labelled_ids(labels, "quality", None, learnable=False)
-    scored = with_text_columns(texts.join(every, "doc_id").select("text", "label"), "text", [T.StructField("failed", T.BooleanType()), T.StructField("bin", T.LongType())], score)
-    counts = scored.where(~F.col("failed")).groupBy("bin").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") != 1).alias("bad")).collect()
-    return calibrated_on(forest, [(r["bin"] / BINS, (r["bin"] + 1) / BINS, r["good"], r["bad"]) for r in counts], settings.cost)
+    scored = with_text_columns(texts.join(every, "doc_id").select("text", "label"), "text", [T.StructField("failed", T.BooleanType()), T.StructField("bins", T.ArrayType(T.LongType()))], score)
+    bins = scored.where(~F.col("failed")).select("label", F.posexplode("bins").alias("forest", "bin"))
+    counts = bins.groupBy("forest", "bin").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") != 1).alias("bad")).collect()
+    of = [[(r["bin"] / BINS, (r["bin"] + 1) / BINS, r["good"], r["bad"]) for r in counts if r["forest"] == k] for k in range(len(GROUPS))]
+    return [calibrated_on(f, own, settings.cost) for f, own in zip(grown, of, strict=True)]
 
 
-def judge(documents: DataFrame, forest: Forest | None, text: str = "text") -> DataFrame:
-    """documents with the base statistics, base_failed, the anomaly score and kept."""
+def judge(documents: DataFrame, forests: list[Forest] | None, text: str = "text") -> DataFrame:
+    """documents with the base statistics, base_failed, the greatest anomaly score and kept."""
     fields = [T.StructField(n, T.LongType()) for n in BASE]
     fields += [T.StructField("base_failed", T.BooleanType()), T.StructField("anomaly", T.DoubleType()), T.StructField("kept", T.BooleanType())]
 
@@ -254,8 +278,10 @@ def judge(documents: DataFrame, forest: Forest | None, text: str = "text") -> Da
         def compute(piece: Piece):
             base = base_statistics(piece)
             bad = failed(base)
-            odd = anomaly(forest, rule_statistics(piece, base)) if forest else np.zeros(piece.n_docs)
-            return [*base.T, bad, odd, ~bad & (odd < forest.threshold if forest else True)]
+            if not forests:
+                return [*base.T, bad, np.zeros(piece.n_docs), ~bad]
+            odd = anomalies(forests, rule_statistics(piece, base))
+            return [*base.T, bad, odd.max(axis=1), ~bad & (odd < [f.threshold for f in forests]).all(axis=1)]
 
         return compute
 

@@ -71,8 +71,8 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    forest = quality_rules.train(documents, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(documents, forest).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "anomaly")
+    forests = quality_rules.train(documents, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(documents, forests).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "anomaly")
 
 
 def op10_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import language_id, pii, quality_classifier, quality_rules
 from lectern.llm.queries import QUERIES, table
+from lectern.llm.sampling import held_out, may_learn
 from lectern.llm.textarrays import Piece, mix, text_pieces
 from tests.llm.tables import LONG, ODD, labels, odd_documents, prose
 
@@ -110,7 +111,9 @@ def test_the_threshold_is_set_on_all_labelled_rows(spark, monkeypatch):
     marks = spark.createDataFrame([(k, int(k < 60)) for k, _ in rows], "doc_id long, quality int")
     kept = [k for k, t in rows if not quality_rules.failed(np.array([brute_base(t)]))[0]]
     forest = quality_rules.train(docs, marks, quality_rules.Settings(per_class=5))
-    assert [sum(r[j] for r in seen[0]) for j in (2, 3)] == [sum(k < 60 for k in kept), sum(k >= 60 for k in kept)]
+    assert len(seen) == len(quality_rules.GROUPS)
+    for counts in seen:
+        assert [sum(r[j] for r in counts) for j in (2, 3)] == [sum(k < 60 for k in kept), sum(k >= 60 for k in kept)]
     got = {r["doc_id"]: r for r in quality_rules.judge(docs, forest).collect()}
     assert sum(not got[k]["kept"] for k in kept if k < 60) <= 60 / 200
 
@@ -137,6 +140,26 @@ def test_rules_keep_good_documents(spark):
         assert [every[doc["doc_id"]][n] for n in quality_rules.BASE] == brute_base(doc["text"])
 
 
+def test_words_and_lines_have_a_forest(spark):
+    rng = random.Random(2)
+    good = [(k, " ".join(prose(k, 120))) for k in range(150)]
+    odd = [(1000 + k, " ".join("".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(60 + k))) for k in range(40)]
+    docs = spark.createDataFrame(good + odd, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k < 1000)) for k, _ in good[:100] + odd[:20]], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs, quality_rules.train(docs, marks)).collect()}
+    assert all(kept[k] for k, _ in good) and sum(kept[k] for k, _ in odd[20:]) <= 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_rules_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, marks = (table(spark, folder, n) for n in ("documents", "labels"))
+    learned = marks.where(may_learn(F.col("doc_id")))
+    rows = quality_rules.judge(docs.select("doc_id", "text"), quality_rules.train(docs, learned)).join(marks, "doc_id").where(held_out(F.col("doc_id")) & ~F.col("base_failed"))
+    kept = {r["quality"]: r["kept"] for r in rows.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[1] >= 0.995 and kept[0] <= 0.15
+
+
 @needs_tables
 def test_classifier_on_held_out_rows(spark):
     rows = QUERIES["op1_quality_classifier"](spark, FOLDER).join(table(spark, FOLDER, "labels"), "doc_id").where("held_out").collect()

@@ -1,7 +1,13 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the
-columns of documents.
+columns of documents, whatever they are. Each works on all rows that it is given:
+
+- null and empty texts stay rows, unless the classifier rejects them; they are no copies of one another,
+  hold no item, and encode to null and to nothing;
+- very long texts are taken whole;
+- of repeated rows of one id one stays; rows without an id stay;
+- an empty table gives an empty one, and models that have nothing to learn from reject nothing.
 """
 
 from __future__ import annotations
@@ -11,28 +17,28 @@ from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, minhash, pii, quality_classifier, sentencepiece
 from lectern.llm.queries import KEEP_FROM, table
-from lectern.llm.scratch import Scratch
+from lectern.scratch import Scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject. Without labelled rows every score is 0.5, so all stay."""
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
     scored = quality_classifier.score(docs, model, name="__score")
     return scored.where(F.col("__score") >= KEEP_FROM).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies."""
+    """One document of each group of copies and near copies: the one with the least id."""
     return minhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty items are in no document."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked; n_chars is that of the new text."""
+    """Documents with personal data masked; n_chars is that of the new text. Null texts stay null, with their n_chars."""
     out = pii.redact(docs, pii.train(docs))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
@@ -40,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their pieces in the place of the text, and whether they decode to it again."""
+    """Documents with the ids of their pieces in the place of the text, and whether they decode to it again; both null where the text is."""
     return sentencepiece.encoded(docs, sentencepiece.load_vocabulary(), keep_text=False)
 
 
@@ -52,7 +58,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: SQL cannot express the models of these stages.
+#: SQL cannot express the models of these stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

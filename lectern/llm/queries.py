@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import chat, decontaminate, language_id, minhash, pii, quality_classifier, quality_rules, sentencepiece, url_filter, warc
 from lectern.llm.sampling import held_out
-from lectern.llm.scratch import Scratch
+from lectern.scratch import Scratch
 
 KEEP_FROM = 0.3
 
@@ -79,6 +79,11 @@ def op10_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_segments(chat.swapped_replies(table(spark, sf_dir, "conversations")))
 
 
+def weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate operator on multisets: each run of words weighs as often as it occurs."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(weights="count"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_near_dedup,
         op9_quality_rules,
         op10_chat_preference,
+        weighted_near_dedup,
     )
 }
 
@@ -147,6 +153,16 @@ e AS (SELECT a, b FROM c JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE
 link AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT link.b, r.root FROM r JOIN link ON link.a = r.doc_id WHERE r.root < link.b)
 SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id
+""",
+    "weighted_near_dedup": SHINGLES_SQL.replace("WITH w", "WITH RECURSIVE w").replace("SELECT DISTINCT doc_id, unnest", "SELECT doc_id, unnest")
+    + """
+, m AS (SELECT doc_id, s, count(*) AS k FROM x GROUP BY ALL),
+n AS (SELECT doc_id, sum(k) AS n FROM m GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.k, b.k)) AS c FROM m a JOIN m b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE 5 * c >= 4 * (m.n + k.n - c)),
+link AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT link.b, r.root FROM r JOIN link ON link.a = r.doc_id WHERE r.root < link.b)
+SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id
 """,
     "op10_chat_preference": """
 WITH t AS (

@@ -1,8 +1,10 @@
 """Text arrays, classifier, language identification, rules, personal data."""
 
+import math
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -409,3 +411,114 @@ def test_personal_data_query(spark):
         shown = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in sorted(base[k]))
         assert r["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
         assert set(filter(None, shown.split(","))) <= set(r["spans"].split(","))
+
+
+# ---- whole results against brute force
+
+SMALL = "/root/testdata/sf0.001"
+needs_small = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+
+
+def hash_of(content: bytes) -> int:
+    p = Piece(0, np.frombuffer(content, np.uint8), np.array([0, len(content)]))
+    return int(p.span_hashes(np.array([0]), np.array([len(content)]))[0])
+
+
+def scrambled(value: int, seed: int) -> int:
+    return int(mix(np.array([value % 2**64], np.uint64), seed)[0])
+
+
+def brute_quality(text: str | None, model) -> float:
+    """The dot product of one text's n-grams with the weights, n-gram by n-gram."""
+    tokens = [hash_of(t.encode()) for t in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x20\x09-\x0D]+", text or "")]
+    features = list(tokens)
+    features += [scrambled(1 if a == b else scrambled(3 * a + b, 5), 9) for a, b in zip(tokens, tokens[1:], strict=False)]
+    total = sum(float(model.weights[f >> (64 - model.bits)]) for f in features)
+    return 1 / (1 + math.exp(-(total * model.scale / max(1, len(features)) + model.bias)))
+
+
+@needs_small
+def test_all_quality_scores_are_those_of_brute_force(spark):
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, table(spark, SMALL, "labels"))
+    got = {r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in QUERIES["op1_quality_classifier"](spark, SMALL).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        score = brute_quality(r["text"], model)
+        held, found, predicted = got[r["doc_id"]]
+        assert found == pytest.approx(score, abs=1e-5) and predicted == (found >= 0.3) and held == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def brute_language(text: str | None, model) -> tuple[str, float]:
+    """The mean of one text's subword rows, subword by subword."""
+    folded = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 128 or 0x61 <= b <= 0x7A else 32 for b in (text or "").encode())
+    rows = []
+    for size in (3, 4):
+        for k in range(len(folded) - size + 1):
+            sub = folded[k : k + size]
+            if 32 not in sub[1:-1]:
+                key = int.from_bytes(sub, "little") + (size << 40)
+                rows.append(((key * 0x9E3779B97F4A7C15) % 2**64) >> (64 - model.bits))
+    logits = (model.table[rows].astype(float).sum(axis=0) / max(1, len(rows)) + model.bias) / model.temperature
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    return model.languages[int(p.argmax())], float(p.max())
+
+
+@needs_small
+def test_all_languages_are_those_of_brute_force(spark):
+    docs = table(spark, SMALL, "documents")
+    model = language_id.train(docs)
+    got = {r["doc_id"]: r for r in QUERIES["op6_language_id"](spark, SMALL).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        lettered = any(c.isalpha() for c in r["text"] or "")
+        name, score = brute_language(r["text"], model) if lettered else ("und", 0.0)
+        assert got[r["doc_id"]]["lang_pred"] == name and got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-4)
+
+
+def brute_anomaly(forest, row) -> float:
+    paths = 0.0
+    for t in range(len(forest.split)):
+        node = 0
+        for _ in range(forest.depth):
+            node = 2 * node + (2 if row[forest.feature[t, node]] > forest.split[t, node] else 1)
+        paths += forest.length[t, node]
+    return 2 ** (-paths / len(forest.split) / forest.norm)
+
+
+@needs_small
+def test_all_rule_verdicts_are_those_of_brute_force(spark):
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    forests = quality_rules.train(docs, table(spark, SMALL, "labels"))
+    got = {r["doc_id"]: r for r in QUERIES["op9_quality_rules"](spark, SMALL).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        text, base = r["text"] or "", brute_base(r["text"])
+        n, chars = max(1, base[0]), max(1, base[1])
+        capitals, marks, digits = (sum(bool(re.match(p, c)) for c in text) for p in (r"[A-Z]", r"[!-/:-@\[-`{-~]", r"[0-9]"))
+        rules = [base[2] / chars, capitals / chars, marks / chars, base[1] / n, digits / chars, base[3] / (1 + text.count("\n")), base[4] / n]
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        odd = [brute_anomaly(f, [rules[k] for k in own]) for f, own in zip(forests, quality_rules.GROUPS, strict=True)]
+        found = got[r["doc_id"]]
+        assert [found[name] for name in quality_rules.BASE] == base and found["base_failed"] == failed
+        assert found["anomaly"] == pytest.approx(max(odd)) and found["kept"] == (not failed and all(x < f.threshold for x, f in zip(odd, forests, strict=True)))
+
+
+@needs_small
+def test_all_spans_are_those_of_brute_force(spark, monkeypatch):
+    """Without the screen, and a text at a time."""
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    got = {r["doc_id"]: r["spans"] for r in QUERIES["op3_pii"](spark, SMALL).collect()}
+    model = pii.train(docs)
+    monkeypatch.setattr(pii, "_has_span", lambda model, prepared, windows: np.ones(len(windows), bool))
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        text = r["text"] or ""
+        base, every = pii.spans_of([text], model, pii.Settings())[0]
+        assert base == brute_spans(text)
+        assert got[r["doc_id"]] == pii.joined(every), r["doc_id"]

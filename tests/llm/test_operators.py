@@ -522,3 +522,61 @@ def test_pipeline_stages(spark, tmp_path, vocabulary):
     assert all(seen[3][k]["text"] == seen[2][k]["text"] for k in seen[3] if k != 203)
     result = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in result} == set(seen[3]) and all(r["round_trip"] and r["ids"] for r in result)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, vocabulary):
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    folder = f"file://{tmp_path}"
+    for name, items, marks in (("some", [(1, "a benchmark item of more than five words"), (2, None)], labels(spark)), ("none", [], labels(spark, []))):
+        marks.write.parquet(f"{folder}/{name}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/{name}/benchmark.parquet")
+        for frame in (docs, docs.limit(0)):
+            for title, stage in corpus_pipeline.STAGES:
+                out = stage(spark, frame, f"{folder}/{name}")
+                rows = out.collect()
+                assert title == "encoding" or out.columns == frame.columns
+                if title in ("decontamination", "personal data"):
+                    assert sorted(map(str, (r["doc_id"] for r in rows))) == sorted(str(r["doc_id"]) for r in frame.collect())
+                if title == "near-dedup" and rows:
+                    assert sorted(r["doc_id"] or 0 for r in rows) == [0, 1, 2, 3, 4, 5, 7, 8]
+                if title == "encoding":
+                    assert all((r["ids"] is None) == (r["doc_id"] == 1) for r in rows)
+    assert stage_rows(corpus_pipeline, "quality classifier", spark, docs, f"{folder}/none") == len(ODD)
+
+
+def stage_rows(pipeline, title, spark, docs, folder):
+    return dict(pipeline.STAGES)[title](spark, docs, folder).count()
+
+
+@needs_tables
+def test_the_pipeline_is_that_of_brute_force(spark, vocabulary):
+    import sentencepiece as library
+
+    import corpus_pipeline
+    from lectern.llm import pii, quality_classifier
+    from tests.llm.test_models import brute_quality
+
+    documents = table(spark, FOLDER, "documents")
+    model = quality_classifier.train(documents, table(spark, FOLDER, "labels"))
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    rows = [(i, t) for i, t in rows if brute_quality(t, model) >= 0.3]
+    classes = brute_classes(rows)
+    rows = [(i, t) for i, t in rows if classes[i] == i]
+    items = [shingles(r["text"]) for r in table(spark, FOLDER, "benchmark").collect()]
+    rows = [(i, t) for i, t in rows if not any(q and len(q & shingles(t)) >= 0.8 * len(q) for q in items)]
+    tagger = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    coder = library.SentencePieceProcessor(model_file=sentencepiece.MODEL_FILE)
+    wanted = {}
+    for i, t in rows:
+        spans = pii.spans_of([t or ""], tagger, pii.Settings())[0][1]
+        wanted[i] = coder.encode(pii.masked(t, spans)) if t is not None else None
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, FOLDER).collect()}
+    assert got == wanted
+
+
+def test_a_very_long_turn(spark):
+    frame = spark.createDataFrame([(0, 0, "user", "u" * 1_000_000), (0, 1, "assistant", "a" * 1_000_000), (1, 0, "user", "v"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    rows = {(r["pair_id"], r["part"]): r for r in chat.preference_segments(chat.swapped_replies(frame)).collect()}
+    assert rows[0, "chosen"]["target"] == "a" * 1_000_000 + chat.CLOSE and rows[0, "prompt"]["masked"].count("u") > 999_999 and rows[0, "rejected"]["target"] == "b" + chat.CLOSE

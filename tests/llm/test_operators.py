@@ -452,6 +452,7 @@ def test_preference_pairs(spark):
     ]
     assert chat.preference_segments(chat.paired_turns(frame.limit(0), pairs)).count() == 0
     swapped = chat.preference_segments(chat.swapped_replies(frame)).collect()
+    assert sorted(swapped) == sorted(chat.preference_segments(chat.swapped_replies(frame), broadcast_rows=0).collect())
     assert {(r["pair_id"], r["part"], r["turn"], r["target"]) for r in swapped} == {
         (0, "prompt", 0, ""), (0, "prompt", 1, ""), (0, "chosen", 2, f"good < |im_end|>{c}"), (0, "chosen", 3, ""), (0, "rejected", 2, f"bad{c}"), (0, "rejected", 3, ""),
         (1, "prompt", 0, ""), (1, "prompt", 1, ""), (1, "chosen", 2, f"bad{c}"), (1, "rejected", 2, f"good < |im_end|>{c}"),

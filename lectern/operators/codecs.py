@@ -1,8 +1,9 @@
 """Codecs for lists of non-negative integers, as posting lists are: gamma, gaps, variable bytes, Simple-9.
 
-Lists are coded as numpy arrays, not number by number. Columns of lists are coded by Pandas UDFs;
-long posting lists are cut into blocks of documents before (`posting_blocks`), so that no list is
-one unbounded value. Parquet's own encodings serve the tables.
+Lists are coded many at a time, as one array of numbers with the places where lists begin, so
+that short lists, of which there are most, cost no call each. Columns of lists are coded by Pandas
+UDFs; long posting lists are cut into blocks of documents before (`posting_blocks`), so that no
+list is one unbounded value. Parquet's own encodings serve the tables.
 """
 
 from __future__ import annotations
@@ -15,66 +16,87 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Numbers = Sequence[int] | np.ndarray
+#: Lists laid end to end, and where each begins; one place more for the end of the last.
+Lists = tuple[np.ndarray, np.ndarray]
+
+
+def _laid(lists: Sequence, kind: type) -> Lists:
+    first = np.append(0, np.cumsum([len(v) for v in lists])).astype(np.int64)
+    if kind is np.uint8:
+        return np.frombuffer(b"".join(lists), np.uint8), first
+    return np.concatenate([np.zeros(0, np.int64), *(np.asarray(v, np.int64) for v in lists)]), first
+
+
+def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups laid end to end, each element's group and place in it."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _groups(values: np.ndarray, bits: int) -> np.ndarray:
+    """How many groups of so many bits each number needs, one at least."""
+    out = np.ones(len(values), np.int64)
+    rest = values >> bits
+    while (rest > 0).any():
+        out += rest > 0
+        rest = rest >> bits
+    return out
+
+
+def _ends(lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the lists begin when their elements have these lengths."""
+    return np.append(0, np.cumsum(lengths))[first]
 
 
 class PostingCodec(ABC):
-    """encode takes a whole list; array and decode give it back."""
+    """encode_lists gives the lists' bytes laid end to end, decode_lists the numbers."""
 
     @abstractmethod
-    def encode(self, values: Numbers) -> bytes: ...
+    def encode_lists(self, values: np.ndarray, first: np.ndarray) -> Lists: ...
 
     @abstractmethod
-    def array(self, blob: bytes) -> np.ndarray: ...
+    def decode_lists(self, blob: np.ndarray, first: np.ndarray) -> Lists: ...
+
+    def encode(self, values: Sequence[int]) -> bytes:
+        return self.encode_lists(*_laid([values], np.int64))[0].tobytes()
 
     def decode(self, blob: bytes) -> list[int]:
-        return self.array(blob).tolist()
+        return self.decode_lists(*_laid([blob], np.uint8))[0].tolist()
 
     def encoded(self, column: Column) -> Column:
-        return self._udf(lambda v: self.encode(np.asarray(v, np.int64)), "binary")(column)
+        return self._udf(self.encode_lists, np.int64, lambda data, a, b: data[a:b].tobytes(), "binary")(column)
 
     def decoded(self, column: Column) -> Column:
-        return self._udf(lambda b: self.array(bytes(b)), "array<long>")(column)
+        return self._udf(self.decode_lists, np.uint8, lambda data, a, b: data[a:b], "array<long>")(column)
+
+    def _udf(self, code: Callable[..., Lists], kind: type, cut: Callable, name: str) -> Callable[[Column], Column]:
+        nothing = () if kind is np.int64 else self.encode(())
 
-    @staticmethod
-    def _udf(one: Callable, kind: str) -> Callable[[Column], Column]:
         def run(values: pd.Series) -> pd.Series:
-            return pd.Series([None if v is None else one(v) for v in values], dtype=object)
+            data, first = code(*_laid([nothing if v is None else v for v in values], kind))
+            return pd.Series([None if v is None else cut(data, first[k], first[k + 1]) for k, v in enumerate(values)], dtype=object)
 
         run.__annotations__ = {"values": pd.Series, "return": pd.Series}
-        return F.pandas_udf(run, kind)
-
-
-def _lengths(values: np.ndarray, bits: int, most: int) -> np.ndarray:
-    """How many groups of so many bits each number needs, one at least."""
-    return 1 + sum((values >> np.int64(bits * k) > 0).astype(np.int64) for k in range(1, most))
-
-
-def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For groups laid end to end, each element's group and place in it."""
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return F.pandas_udf(run, name)
 
 
 class VariableByte(PostingCodec):
     """Seven bits a byte, the lowest first; the high bit marks a number's last byte."""
 
-    def encode(self, values: Numbers) -> bytes:
-        values = np.asarray(values, np.int64)
-        lengths = _lengths(values, 7, 9)
+    def encode_lists(self, values: np.ndarray, first: np.ndarray) -> Lists:
+        lengths = _groups(values, 7)
         owner, nth = _spread(lengths)
         out = (values[owner] >> (7 * nth)) & 0x7F
         out[np.cumsum(lengths) - 1] |= 0x80
-        return out.astype(np.uint8).tobytes()
+        return out.astype(np.uint8), _ends(lengths, first)
 
-    def array(self, blob: bytes) -> np.ndarray:
-        own = np.frombuffer(blob, np.uint8)
-        last = np.flatnonzero(own & 0x80)
-        if not len(last):
-            return np.zeros(0, np.int64)
-        first = np.append(0, last[:-1] + 1)
-        _, nth = _spread(last - first + 1)
-        return np.add.reduceat((own & 0x7F).astype(np.int64) << (7 * nth), first)
+    def decode_lists(self, blob: np.ndarray, first: np.ndarray) -> Lists:
+        last = np.flatnonzero(blob & 0x80)
+        begins = np.append(0, last[:-1] + 1)[: len(last)]
+        _, nth = _spread(last - begins + 1)
+        parts = (blob[: len(nth)] & 0x7F).astype(np.int64) << (7 * nth)
+        values = np.add.reduceat(parts, begins) if len(begins) else np.zeros(0, np.int64)
+        return values, np.searchsorted(last, first)
 
 
 class Gaps(PostingCodec):
@@ -83,74 +105,109 @@ class Gaps(PostingCodec):
     def __init__(self, inner: PostingCodec | None = None) -> None:
         self.inner = inner or VariableByte()
 
-    def encode(self, values: Numbers) -> bytes:
-        return self.inner.encode(np.diff(np.asarray(values, np.int64), prepend=0))
+    def encode_lists(self, values: np.ndarray, first: np.ndarray) -> Lists:
+        gaps = np.diff(values, prepend=0)
+        heads = first[:-1][np.diff(first) > 0]
+        gaps[heads] = values[heads]
+        return self.inner.encode_lists(gaps, first)
 
-    def array(self, blob: bytes) -> np.ndarray:
-        return np.cumsum(self.inner.array(blob), dtype=np.int64)
+    def decode_lists(self, blob: np.ndarray, first: np.ndarray) -> Lists:
+        gaps, at = self.inner.decode_lists(blob, first)
+        sums = np.append(0, np.cumsum(gaps, dtype=np.int64))
+        return sums[1:] - np.repeat(sums[at[:-1]], np.diff(at)), at
 
 
 class Gamma(PostingCodec):
-    """Elias gamma codes of n + 1, behind the count of numbers in four bytes."""
-
-    def encode(self, values: Numbers) -> bytes:
-        wanted = np.asarray(values, np.int64) + 1
-        widths = _lengths(wanted, 1, 63)
-        owner, nth = _spread(2 * widths - 1)
+    """Elias gamma codes of n + 1, behind the count of numbers in four bytes; each list is filled up to whole bytes."""
+
+    def encode_lists(self, values: np.ndarray, first: np.ndarray) -> Lists:
+        wanted, counts = values + 1, np.diff(first)
+        widths = _groups(wanted, 1)
+        sizes = 2 * widths - 1
+        used = np.diff(_ends(sizes, first))
+        at = np.append(0, np.cumsum(4 + -(-used // 8)))
+        owner, nth = _spread(sizes)
         back = 2 * widths[owner] - 2 - nth  # the bit's place from the lowest on; zeros stand before the number
-        bits = np.where(back < widths[owner], (wanted[owner] >> np.minimum(back, 62)) & 1, 0)
-        return len(wanted).to_bytes(4, "big") + np.packbits(bits.astype(np.uint8)).tobytes()
-
-    def array(self, blob: bytes) -> np.ndarray:
-        n = int.from_bytes(blob[:4], "big")
-        bits = np.unpackbits(np.frombuffer(blob, np.uint8, offset=4))
-        ones = np.flatnonzero(bits)
-        out, at = np.zeros(n, np.int64), 0
-        starts = np.zeros(n, np.int64)
-        widths = np.zeros(n, np.int64)
-        for k in range(n):
-            one = int(ones[np.searchsorted(ones, at)])
-            starts[k], widths[k] = one, one - at + 1
-            at = one + int(widths[k])
+        ones = (back < widths[owner]) & ((wanted[owner] >> np.minimum(back, 62)) & 1 > 0)
+        bits = np.zeros(8 * int(at[-1]), np.uint8)
+        begins = np.repeat(8 * (at[:-1] + 4) - (np.cumsum(used) - used), used)
+        bits[(begins + np.arange(len(owner)))[ones]] = 1
+        out = np.packbits(bits)
+        for k in range(4):
+            out[at[:-1] + k] = (counts >> (24 - 8 * k)) & 0xFF
+        return out, at
+
+    def decode_lists(self, blob: np.ndarray, first: np.ndarray) -> Lists:
+        heads = first[:-1]
+        counts = sum(blob[heads + k].astype(np.int64) << (24 - 8 * k) for k in range(4)) if len(heads) else np.zeros(0, np.int64)
+        bits = np.unpackbits(blob)
+        at = 8 * (heads + 4)  # where each list's next number begins
+        starts, widths = (np.zeros(int(counts.sum()), np.int64) for _ in range(2))
+        place = np.append(0, np.cumsum(counts))
+        ones = np.append(np.flatnonzero(bits), len(bits))
+        live = np.flatnonzero(counts > 0)
+        n = 0
+        while len(live):  # the n-th number of every list that has one
+            one = ones[np.searchsorted(ones, at[live])]
+            width = one - at[live] + 1
+            starts[place[live] + n], widths[place[live] + n] = one, width
+            at[live] = one + width
+            n += 1
+            live = live[counts[live] > n]
         owner, nth = _spread(widths)
-        if n:
-            np.add.at(out, owner, bits[starts[owner] + nth].astype(np.int64) << (widths[owner] - 1 - nth))
-        return out - 1
+        parts = bits[starts[owner] + nth].astype(np.int64) << (widths[owner] - 1 - nth)
+        values = np.add.reduceat(parts, np.cumsum(widths) - widths) - 1 if len(widths) else np.zeros(0, np.int64)
+        return values, place
 
 
 class Simple9(PostingCodec):
-    """Words of 32 bits: 4 choose how many numbers of equal width the other 28 hold. Numbers are below 2**28."""
+    """Words of 32 bits: 4 choose how many numbers of equal width the other 28 hold. Numbers are below 2**28. The first word counts a list's numbers."""
 
     # Numbers in a word and the bits of each, by selector.
     LAYOUTS = ((28, 1), (14, 2), (9, 3), (7, 4), (5, 5), (4, 7), (3, 9), (2, 14), (1, 28))
 
-    def encode(self, values: Numbers) -> bytes:
-        values = np.asarray(values, np.int64)
+    def encode_lists(self, values: np.ndarray, first: np.ndarray) -> Lists:
         if len(values) and values.max() >= 1 << 28:
             raise ValueError("a number needs more than 28 bits")
-        n = len(values)
+        n, counts = len(values), np.diff(first)
         # for each layout the first number from each place on that is too wide for it
         reach = []
         for _, width in self.LAYOUTS:
             wide = np.append(np.flatnonzero(values >= 1 << width), n)
             reach.append(wide[np.searchsorted(wide, np.arange(n))])
-        out, at = [n], 0
-        while at < n:
-            for selector, (count, width) in enumerate(self.LAYOUTS):
-                end = min(at + count, n)
-                if reach[selector][at] >= end:
-                    own = values[at:end] << (width * np.arange(end - at))
-                    out.append(selector << 28 | int(own.sum()))
-                    at = end
-                    break
-        return np.array(out, ">u4").tobytes()
-
-    def array(self, blob: bytes) -> np.ndarray:
-        total, *words = np.frombuffer(blob, ">u4").astype(np.int64)
-        words = np.array(words, np.int64)
-        counts, widths = (np.array(x)[words >> 28] for x in zip(*self.LAYOUTS, strict=True))
+        at, ends, live = first[:-1].copy(), first[1:], np.flatnonzero(counts > 0)
+        words, owners = [counts.astype(np.int64)], [np.arange(len(counts))]
+        while len(live):  # the next word of every list that has numbers left
+            here, chosen, size = at[live], np.full(len(live), -1), np.zeros(len(live), np.int64)
+            for selector, (count, _) in enumerate(self.LAYOUTS):
+                end = np.minimum(here + count, ends[live])
+                fits = (chosen < 0) & (reach[selector][here] >= end)
+                chosen[fits], size[fits] = selector, (end - here)[fits]
+            owner, nth = _spread(size)
+            width = np.array([w for _, w in self.LAYOUTS])[chosen]
+            parts = values[here[owner] + nth] << (width[owner] * nth)
+            words.append(chosen.astype(np.int64) << 28 | np.add.reduceat(parts, np.cumsum(size) - size))
+            owners.append(live)
+            at[live] += size
+            live = live[at[live] < ends[live]]
+        owner, word = np.concatenate(owners), np.concatenate(words)
+        order = np.argsort(owner, kind="stable")
+        return word[order].astype(">u4").view(np.uint8), 4 * np.append(0, np.cumsum(np.bincount(owner, minlength=len(counts)))).astype(np.int64)
+
+    def decode_lists(self, blob: np.ndarray, first: np.ndarray) -> Lists:
+        words = np.frombuffer(blob.tobytes(), ">u4").astype(np.int64)
+        heads = first[:-1] // 4
+        totals = words[heads]
+        body = np.ones(len(words), bool)
+        body[heads] = False
+        owner_of = np.repeat(np.arange(len(heads)), np.diff(first // 4))[body]
+        own = words[body]
+        counts, widths = (np.array(x)[own >> 28] for x in zip(*self.LAYOUTS, strict=True))
         owner, nth = _spread(counts)
-        return (words[owner] >> (widths[owner] * nth) & ((1 << widths[owner]) - 1))[:total] if len(words) else np.zeros(0, np.int64)
+        values = own[owner] >> (widths[owner] * nth) & ((1 << widths[owner]) - 1)
+        held = np.bincount(owner_of[owner], minlength=len(heads)) if len(owner) else np.zeros(len(heads), np.int64)
+        _, place = _spread(held)
+        return values[place < np.repeat(totals, held)], np.append(0, np.cumsum(totals))
 
 
 CODECS = {"vbyte": VariableByte, "delta": Gaps, "gamma": Gamma, "simple9": Simple9}

@@ -40,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
@@ -258,13 +258,19 @@ def prefix_pairs(rooted: DataFrame, sets: DataFrame, settings: Settings, scratch
     after = F.sum("weight").over(own) - F.sum("weight").over(upto) + F.col("weight")
     prefix = common.withColumn("after", after).where(F.col("after") >= F.lit(settings.similarity) * F.col("whole") - 1e-9)
     heads = scratch.keep(prefix.select("id", "element", "after", "whole").join(rooted, "id"), "prefixes")
-    several = heads.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("element")
-    heads = heads.join(several, "element", "left_semi")
-    x, y = (heads.select("element", F.col("id").alias(k), F.col("root").alias(f"r{k}"), F.col("after").alias(f"after_{k}"), F.col("whole").alias(f"whole_{k}")) for k in "ab")
+    several = heads.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("element", "n")
+    heads = heads.join(_narrow(scratch.keep(several, "several"), settings), "element")
+    # an element of many sets is many groups: each set is in one as the first of a pair and in all as the second
+    salts = F.when(F.col("n") >= HOT_SPREAD, COPY_SALTS).otherwise(1)
+
+    def side(k: str, salt: Column) -> DataFrame:
+        return heads.select("element", salt.alias("salt"), F.col("id").alias(k), F.col("root").alias(f"r{k}"), F.col("after").alias(f"after_{k}"), F.col("whole").alias(f"whole_{k}"))
+
+    x, y = side("a", F.pmod(F.xxhash64("id"), salts).cast("int")), side("b", F.explode(F.sequence(F.lit(0), salts - 1)))
     # at the first common element, what lies ahead in either set bounds the common weight
     needed = F.lit(settings.similarity / (1 + settings.similarity)) * (F.col("whole_a") + F.col("whole_b")) - 1e-9
     alike = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (F.least("after_a", "after_b") >= needed)
-    return x.join(y, (x["element"] == y["element"]) & alike).select("a", "b").distinct()
+    return x.join(y, ["element", "salt"]).where(alike).select("a", "b").distinct()
 
 
 def near_duplicates(documents: DataFrame, settings: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:

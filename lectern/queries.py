@@ -502,7 +502,7 @@ ALL = list(PARSED)
 @query(TF_SQL + clauses_sql(ALL) + search_sql(ALL))
 def search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores, filters and exclusions of a batch."""
-    found = run_batch(list(PARSED.items()), index_of(spark, sf_dir))
+    found = run_batch([(n, PARSED[n]) for n in ALL], index_of(spark, sf_dir))
     return found.select("qid", "doc_id", "score", "rubrique", "has_image")
 
 

@@ -1,4 +1,4 @@
-"""lectern scrape FOLDER | build FOLDER INDEX | query INDEX [TEXT] | eval INDEX GOLDEN"""
+"""lectern scrape FOLDER | build FOLDER INDEX | query INDEX [TEXT] | eval INDEX GOLDEN | serve INDEX"""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from lectern.plans.search import SearchService
 from lectern.session import session
 from lectern.sources.html import bulletins, html_files
 from lectern.sources.tables import write_xml
+from lectern.web import server
 
 ONE_SHOT, REPL = 20, 10
 
@@ -35,6 +36,9 @@ def arguments() -> argparse.ArgumentParser:
     evaluate.add_argument("index")
     evaluate.add_argument("golden", help="JSON: a list of {id, query, relevant_articles}")
     evaluate.add_argument("--report")
+    serve = commands.add_parser("serve")
+    serve.add_argument("index")
+    serve.add_argument("--port", type=int, default=8000)
     return parser
 
 
@@ -88,6 +92,9 @@ def main(argv: list[str] | None = None) -> int:
         else:
             repl(service, wanted.mode)
         return 0
+    if wanted.command == "serve":
+        server(service, port=wanted.port).serve_forever()
+        return 0
     with open(wanted.golden, encoding="utf-8") as f:
         golden = [(g["id"], g["query"], set(g["relevant_articles"])) for g in json.load(f)]
     results = run_evaluation(service, golden, runs=10, report=wanted.report)

@@ -1,7 +1,11 @@
+import json
 import math
 import random
 from collections import Counter
 from datetime import date
+from threading import Thread
+from urllib.error import HTTPError
+from urllib.request import urlopen
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +30,7 @@ from lectern.operators.evaluation import evaluated, precision_recall_f1, run_eva
 from lectern.operators.scoring import BM25Scorer, EmbeddingScorer, FrequencyScorer, clause_table, nearest
 from lectern.plans.ast import KeywordGroup, ParsedQuery
 from lectern.plans.search import SearchService, run_batch
+from lectern.web import server
 
 DOCS = [
     (1, "Airbus et la chimie", "un avion airbus vole vite", "Focus", date(2013, 3, 5), True, "10"),
@@ -146,6 +151,23 @@ def test_search_service(index):
     assert SearchService(index, corrector=None).run("articles de la rubrique inconnue").isEmpty()
 
 
+def test_search_over_http(index):
+    web = server(SearchService(index))
+    Thread(target=web.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{web.server_address[1]}"
+        with urlopen(f"{base}/search?q=articles+qui+parlent+de+airbis") as reply:
+            answer = json.load(reply)
+        assert [r["doc_id"] for r in answer["results"]] == [1] and "airbus" in answer["hint"]
+        with urlopen(f"{base}/search?q=articles&mode=booleen") as reply:
+            assert [r["doc_id"] for r in json.load(reply)["results"]] == [3, 1, 2, 4]
+        for path in ("/", "/search", "/search?q=a&mode=x"):
+            with pytest.raises(HTTPError):
+                urlopen(f"{base}{path}")
+    finally:
+        web.shutdown()
+
+
 def test_bm25_and_embeddings(spark, index):
     clauses = clause_table(spark, [("b", QUERIES["b"])])
     scores = {r["doc_id"]: r["score"] for r in BM25Scorer().score(clauses, index).collect()}

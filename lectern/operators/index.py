@@ -138,7 +138,9 @@ def dense_ids(frame: DataFrame, *order: str | Column, name: str = "doc_id") -> D
 
 
 class BaseIndex(ABC):
-    """What search needs of an index."""
+    """What search needs of an index over documents, a table with doc_id."""
+
+    documents: DataFrame
 
     @abstractmethod
     def get_postings(self, term: str, zone: str) -> DataFrame:
@@ -148,13 +150,12 @@ class BaseIndex(ABC):
     def get_idf(self, terms: DataFrame) -> DataFrame:
         """terms (term) with their idf, 0 for those that the corpus has not."""
 
-    @abstractmethod
     def all_doc_ids(self) -> DataFrame:
-        """(doc_id) of all documents."""
+        return self.documents.select("doc_id")
 
-    @abstractmethod
     def get_documents(self, ids: DataFrame) -> DataFrame:
         """The documents of ids (doc_id)."""
+        return self.documents.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 @dataclass(frozen=True)
@@ -210,12 +211,6 @@ class Index(BaseIndex):
     def get_idf(self, terms: DataFrame) -> DataFrame:
         return terms.join(self.vocabulary.select("term", "idf"), "term", "left").select("term", F.coalesce("idf", F.lit(0.0)).alias("idf"))
 
-    def all_doc_ids(self) -> DataFrame:
-        return self.documents.select("doc_id")
-
-    def get_documents(self, ids: DataFrame) -> DataFrame:
-        return self.documents.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-
     def vocabulary_terms(self) -> DataFrame:
         return self.vocabulary.select("term").orderBy("term")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators.index import BaseIndex
 
 
 def ngrams(text: Column, n: int) -> Column:
@@ -35,24 +36,19 @@ def ngram_postings(documents: DataFrame, n: int = 3, unit: str = "char", text: s
     return grams.groupBy("ngram", "doc_id").agg(F.count("*").alias("tf"))
 
 
-class NgramIndex:
-    """Postings of n-grams over documents (doc_id, text)."""
+class NgramIndex(BaseIndex):
+    """Postings of n-grams over documents (doc_id, text), which have one zone only."""
 
     def __init__(self, documents: DataFrame, n: int = 3, unit: str = "char", text: str = "text") -> None:
         self.documents = documents
         self.postings = ngram_postings(documents, n, unit, text)
 
-    def get_postings(self, ngram: str) -> DataFrame:
-        return self.postings.where(F.col("ngram") == ngram).select("doc_id", "tf")
+    def get_postings(self, term: str, zone: str = "text") -> DataFrame:
+        """(doc_id, tf) of an n-gram."""
+        return self.postings.where(F.col("ngram") == term).select("doc_id", "tf")
 
-    def get_idf(self, ngrams_: DataFrame) -> DataFrame:
-        """(ngram) with their idf, 0 for absent ones."""
+    def get_idf(self, terms: DataFrame) -> DataFrame:
+        """terms (ngram) with their idf, 0 for those that the corpus has not."""
         df = self.postings.groupBy("ngram").agg(F.count("*").alias("df"))
         n = self.documents.agg(F.count("*").alias("n")).scalar()
-        return ngrams_.join(df, "ngram", "left").select("ngram", F.coalesce(X.idf(F.col("df"), n), F.lit(0.0)).alias("idf"))
-
-    def all_doc_ids(self) -> DataFrame:
-        return self.documents.select("doc_id")
-
-    def get_documents(self, ids: DataFrame) -> DataFrame:
-        return self.documents.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        return terms.join(df, "ngram", "left").select("ngram", F.coalesce(X.idf(F.col("df"), n), F.lit(0.0)).alias("idf"))

@@ -15,7 +15,7 @@ from lectern.operators import scoring as S
 from lectern.operators.codecs import CODECS, posting_blocks
 from lectern.operators.evaluation import evaluated, latency_ms, macro_mean, run_evaluation
 from lectern.operators.filters import date_range, day_in
-from lectern.operators.ngrams import ngram_postings
+from lectern.operators.ngrams import NgramIndex, ngram_postings
 from lectern.plans.ast import DateFilter, FilterSet, KeywordGroup, ParsedQuery
 from lectern.plans.parser import FrenchQueryParser, is_temporal, theme_itself
 from lectern.plans.search import SearchService, run_batch
@@ -644,6 +644,23 @@ def word_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_postings(table(spark, sf_dir, "documents"), 2, "word")
 
 
+@query(r"""
+WITH g AS (SELECT doc_id, unnest(list_transform(range(1, length(w) - 1), lambda k: substr(w, k, 3))) AS ngram FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents) WHERE length(w) >= 3),
+n AS (SELECT count(*) AS n FROM documents), f AS (SELECT ngram, count(DISTINCT doc_id) AS df FROM g GROUP BY ngram)
+SELECT x.ngram, round(coalesce(log10(n / df), 0), 6) AS idf, coalesce(df, 0) AS df FROM (VALUES ('the'), ('ion'), ('que'), ('q#z')) x(ngram) LEFT JOIN f USING (ngram), n
+""")
+def ngram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of character n-grams."""
+    index = NgramIndex(table(spark, sf_dir, "documents"))
+    wanted = ("the", "ion", "que", "q#z")
+    idf = index.get_idf(spark.createDataFrame([(g,) for g in wanted], "ngram string"))
+    counts = None
+    for g in wanted:
+        one = index.get_postings(g).agg(F.count("*").alias("df")).select(F.lit(g).alias("ngram"), "df")
+        counts = one if counts is None else counts.unionByName(one)
+    return idf.join(counts, "ngram").select("ngram", F.round("idf", 6).alias("idf"), "df")
+
+
 # ---- correction
 
 LEXICON_SQL = f"""

@@ -261,9 +261,10 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
 
         return compute
 
-    every = labelled_ids(labels, "quality", None, learnable=False)
-    scored = with_text_columns(texts.join(every, "doc_id").select("text", "label"), "text", [T.StructField("failed", T.BooleanType()), T.StructField("bins", T.ArrayType(T.LongType()))], score)
-    bins = scored.where(~F.col("failed")).select("label", F.posexplode("bins").alias("forest", "bin"))
+    # all texts are scored where they lie, and the scores joined with the labels, so that no text is shuffled
+    scored = with_text_columns(texts, "text", [T.StructField("failed", T.BooleanType()), T.StructField("bins", T.ArrayType(T.LongType()))], score, keep_text=False)
+    rated = scored.where(~F.col("failed")).select("doc_id", "bins").join(labelled_ids(labels, "quality", None, learnable=False), "doc_id")
+    bins = rated.select("label", F.posexplode("bins").alias("forest", "bin"))
     counts = bins.groupBy("forest", "bin").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") != 1).alias("bad")).collect()
     of = [[(r["bin"] / BINS, (r["bin"] + 1) / BINS, r["good"], r["bad"]) for r in counts if r["forest"] == k] for k in range(len(GROUPS))]
     return [calibrated_on(f, own, settings.cost) for f, own in zip(grown, of, strict=True)]

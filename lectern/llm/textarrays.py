@@ -253,17 +253,18 @@ def with_text_columns(
     added: list[T.StructField],
     make: Callable[[], Callable[[Piece], Iterable]],
     piece_bytes: int = PIECE_BYTES,
+    keep_text: bool = True,
 ) -> DataFrame:
     """The rows of frame with columns computed from whole texts, a piece at a time.
 
     make() is called once in each task and gives the function from a piece to one list or
     array for each added column. A column of frame that has an added column's name, in
-    whatever case, gives way to it.
+    whatever case, gives way to it, and so does the text if keep_text is not set.
     """
     names = {f.name.lower() for f in added}
     kept = [f for f in frame.schema.fields if f.name.lower() not in names or f.name == text]
     source = frame.select(*[f"`{f.name}`" for f in kept])
-    out_fields = [f for f in kept if f.name.lower() not in names]
+    out_fields = [f for f in kept if f.name.lower() not in names and (keep_text or f.name != text)]
     schema = T.StructType(out_fields + added)
     out_names, types = [f.name for f in out_fields], [f.dataType for f in added]
 

@@ -161,7 +161,8 @@ def train(documents: DataFrame, settings: Settings = Settings()) -> Model | None
     """
     bits = settings.bits
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & may_learn(F.col("doc_id")))
-    common = rows.groupBy("lang").count()
+    # a row for each language, of which the model holds 2**bits numbers
+    common = F.broadcast(rows.groupBy("lang").count())
     place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # of a language's ids only a share that should hold four times the wanted ones goes on to be ranked
     share = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) * F.col("count") < 4 * settings.per_language + 100

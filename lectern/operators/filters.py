@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import parse_day, parse_month
+from lectern.operators.index import of_terms
 from lectern.plans.ast import DateFilter, FilterSet
 
 
@@ -86,4 +87,4 @@ def passes_filters() -> Column:
 
 def excluded(postings: DataFrame, exclusions: DataFrame) -> DataFrame:
     """(qid, doc_id) of documents that hold an excluded term (qid, term) in any zone."""
-    return postings.join(exclusions, "term").select("qid", "doc_id").distinct()
+    return of_terms(postings, exclusions).join(exclusions, "term").select("qid", "doc_id").distinct()

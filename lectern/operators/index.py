@@ -62,6 +62,11 @@ def with_idf(frequencies: DataFrame, n: Column) -> DataFrame:
     return frequencies.withColumn("idf", X.idf(F.col("df"), n))
 
 
+def of_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """rows of the terms of a query table, which is as small as its batch. The semi-join goes below the counting of what is not written yet."""
+    return rows.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+
+
 def postings_of(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, doc_id, zone, tf, tfidf)."""
     rows = counts.join(vocabulary.select("term", "idf"), "term")
@@ -169,6 +174,7 @@ class Index(BaseIndex):
     statistics: DataFrame
     surfaces: DataFrame
     noise: DataFrame
+    counts: DataFrame | None = None  # of an index that is not saved: postings without weights
 
     TABLES = ("documents", "postings", "vocabulary", "lengths", "statistics", "surfaces", "noise")
 
@@ -181,7 +187,11 @@ class Index(BaseIndex):
         n = documents.agg(F.count("*").alias("n")).scalar()
         vocabulary = with_idf(frequencies_of(documents, lemmatizer), n)
         postings = postings_of(counts, vocabulary)
-        return cls(documents, postings, vocabulary, lengths, statistics, surface_forms(tokens), noise_terms(greatest_weights(postings), threshold, seeds))
+        return cls(documents, postings, vocabulary, lengths, statistics, surface_forms(tokens), noise_terms(greatest_weights(postings), threshold, seeds), counts)
+
+    def frequencies(self) -> DataFrame:
+        """(term, doc_id, zone, tf)."""
+        return (self.postings if self.counts is None else self.counts).select("term", "doc_id", "zone", "tf")
 
     def save(self, folder: str) -> Index:
         """Writes all tables and gives the index that reads them.

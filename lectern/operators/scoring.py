@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.index import Index, dense_ids
+from lectern.operators.index import Index, dense_ids, of_terms
 from lectern.plans.ast import ParsedQuery
 
 # Weights of clauses by zone, and the parameters of BM25.
@@ -39,7 +39,7 @@ def zone_weight(title: float = TITLE_IN_TITLE, content_title: float = CONTENT_IN
 
 def hits(clauses: DataFrame, postings: DataFrame) -> DataFrame:
     """Postings that a clause looks at, with the weight. Spark broadcasts the clauses if they are few."""
-    return postings.join(clauses, "term").withColumn("weight", zone_weight()).where("weight IS NOT NULL")
+    return of_terms(postings, clauses).join(clauses, "term").withColumn("weight", zone_weight()).where("weight IS NOT NULL")
 
 
 def divided(rows: DataFrame, value: str) -> DataFrame:
@@ -59,7 +59,7 @@ class FrequencyScorer(Scorer):
     """Weighted raw term frequencies."""
 
     def score(self, clauses: DataFrame, index: Index) -> DataFrame:
-        rows = hits(clauses, index.postings)
+        rows = hits(clauses, index.frequencies())
         return divided(rows.withColumn("v", F.col("weight") * F.col("tf")), "v").withColumn("score", F.col("score").cast("double"))
 
 
@@ -77,10 +77,10 @@ class BM25Scorer(Scorer):
         mean = {z: n.select(f"avg_len_{z}").scalar() for z in ("titre", "texte")}
         count = n.select("n").scalar()
         own = F.when(F.col("zone") == "titre", F.col("len_titre") / mean["titre"]).otherwise(F.col("len_texte") / mean["texte"])
-        rows = hits(clauses, index.postings).join(index.lengths, "doc_id")
+        rows = hits(clauses, index.frequencies()).join(index.lengths, "doc_id")
         rows = rows.withColumn("w", F.round(F.col("weight") * F.col("tf") / (1 - self.b + self.b * own), 9).cast("decimal(20,9)"))
         keys = ["qid", "group_id", "doc_id", "n_clauses", "clause_id", "term"]
-        met = rows.groupBy(*keys).agg(F.sum("w").cast("double").alias("w")).join(index.vocabulary.select("term", "df"), "term")
+        met = rows.groupBy(*keys).agg(F.sum("w").cast("double").alias("w")).join(of_terms(index.vocabulary.select("term", "df"), clauses), "term")
         idf = F.ln(1 + (count - F.col("df") + 0.5) / (F.col("df") + 0.5))
         value = F.round(idf * F.col("w") * (self.k1 + 1) / (F.col("w") + self.k1), 6).cast("decimal(18,6)")
         return divided(met.withColumn("v", value), "v").withColumn("score", F.col("score").cast("double"))

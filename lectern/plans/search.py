@@ -40,7 +40,7 @@ def run_batch(queries: list[tuple[str, ParsedQuery]], index: Index, scorer: Scor
     kept = found.where(passes_filters())
     words = [(qid, t) for qid, q in queries for t in q.exclusions]
     if words:
-        kept = kept.join(excluded(index.postings, spark.createDataFrame(words, "qid string, term string")), ["qid", "doc_id"], "left_anti")
+        kept = kept.join(excluded(index.frequencies(), spark.createDataFrame(words, "qid string, term string")), ["qid", "doc_id"], "left_anti")
     return kept.select("qid", "score", *index.documents.columns)
 
 

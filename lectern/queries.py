@@ -682,7 +682,7 @@ CANDIDATES_SQL = LEXICON_SQL + """
 
 def words_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """(word): the distinct words of a table's texts, normalized."""
-    words = table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word")).distinct()
+    words = table(spark, sf_dir, name).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))).alias("word")).distinct()
     return words.select(X.normalized(F.col("word")).alias("word")).distinct()
 
 

@@ -17,7 +17,10 @@ there, and two documents agree on a coordinate with their weighted Jaccard simil
    filter: the elements of each set are ordered by how many of these sets have them, rarest
    first, and two sets can only be similar enough if they share an element of the prefix
    that is as heavy as the similarity leaves open, and if enough weight lies ahead of it in
-   both. Members of different components that do are checked. So all pairs of a bucket are
+   both. Members of different components that do are checked. What lies ahead of an element
+   in a set caps the other set's weight, and the lighter set of a pair is within its own cap;
+   so an element joins only such lighter sets with those heavier ones whose caps admit the
+   lightest of them, and never the sets of its main component with each other. So all pairs of a bucket are
    decided: by a check, by the filter, or because they are connected already. Sets that differ from all others in many elements, as edited
    copies in a large group do, have prefixes of elements that no other has.
 
@@ -258,19 +261,35 @@ def prefix_pairs(rooted: DataFrame, sets: DataFrame, settings: Settings, scratch
     after = F.sum("weight").over(own) - F.sum("weight").over(upto) + F.col("weight")
     prefix = common.withColumn("after", after).where(F.col("after") >= F.lit(settings.similarity) * F.col("whole") - 1e-9)
     heads = scratch.keep(prefix.select("id", "element", "after", "whole").join(rooted, "id"), "prefixes")
-    several = heads.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("element", "n")
-    heads = heads.join(_narrow(scratch.keep(several, "several"), settings), "element")
-    # an element of many sets is many groups: each set is in one as the first of a pair and in all as the second
-    salts = F.when(F.col("n") >= HOT_SPREAD, COPY_SALTS).otherwise(1)
-
-    def side(k: str, salt: Column) -> DataFrame:
-        return heads.select("element", salt.alias("salt"), F.col("id").alias(k), F.col("root").alias(f"r{k}"), F.col("after").alias(f"after_{k}"), F.col("whole").alias(f"whole_{k}"))
-
-    x, y = side("a", F.pmod(F.xxhash64("id"), salts).cast("int")), side("b", F.explode(F.sequence(F.lit(0), salts - 1)))
-    # at the first common element, what lies ahead in either set bounds the common weight
-    needed = F.lit(settings.similarity / (1 + settings.similarity)) * (F.col("whole_a") + F.col("whole_b")) - 1e-9
-    alike = (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & (F.least("after_a", "after_b") >= needed)
-    return x.join(y, ["element", "salt"]).where(alike).select("a", "b").distinct()
+    # at the first common element, what lies ahead in either set bounds the common weight, so each set has a cap on the other's;
+    # the lighter set of a pair, being within the other's cap and no heavier, is within its own
+    share = settings.similarity / (1 + settings.similarity)
+    light = F.col("whole") <= F.col("cap")
+    heads = heads.withColumn("cap", F.col("after") / F.lit(share) * (1 + 1e-9) - F.col("whole") + 1e-6)
+    own_roots = heads.groupBy("element", "root").agg(F.count(F.when(light, 1)).alias("n"))
+    main = own_roots.groupBy("element").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n"), F.count("*").alias("roots"))
+    main = scratch.keep(main.where("roots > 1 AND n > 0").select("element", "main"), "main")
+    heads = heads.join(_narrow(main, settings), "element")
+    # part 0: light sets of an element's main root with heavier ones of other roots; part 1: light sets of the other roots with all
+    lights = heads.where(light).withColumn("part", (F.col("root") != F.col("main")).cast("int")).drop("main")
+    others = heads.where("root <> main").withColumn("part", F.lit(0)).unionByName(heads.withColumn("part", F.lit(1))).drop("main")
+    key = ["element", "part"]
+    floors = scratch.keep(lights.groupBy(key).agg(F.min("whole").alias("floor")), "floors")
+    others = scratch.keep(others.join(_narrow(floors, settings), key).where("floor <= cap").drop("floor"), "heavier")
+    caps = scratch.keep(others.groupBy(key).agg(F.max("cap").alias("most"), F.count("*").alias("n_b")), "caps")
+    lights = scratch.keep(lights.join(_narrow(caps, settings), key).where("whole <= most").drop("most"), "lighter")
+    counts = _narrow(scratch.keep(lights.groupBy(key).agg(F.count("*").alias("n_a"), F.max("n_b").alias("n_b")), "counts"), settings)
+    # where either side is long there are many groups: a row of the longer side is in one, a row of the shorter in all
+    salts = F.when(F.greatest("n_a", "n_b") >= HOT_SPREAD, COPY_SALTS).otherwise(1)
+
+    def side(rows: DataFrame, k: str, longer: Column) -> DataFrame:
+        salt = F.when(longer, F.array(F.pmod(F.xxhash64("id"), salts).cast("int"))).otherwise(F.sequence(F.lit(0), salts - 1))
+        return rows.join(counts, key).select(*key, F.explode(salt).alias("salt"), F.col("id").alias(k), F.col("root").alias(f"r{k}"), F.col("after").alias(f"after_{k}"), F.col("whole").alias(f"whole_{k}"))
+
+    x, y = side(lights.drop("n_b"), "a", F.col("n_a") >= F.col("n_b")), side(others, "b", F.col("n_a") < F.col("n_b"))
+    needed = F.lit(share) * (F.col("whole_a") + F.col("whole_b")) - 1e-9
+    alike = (F.col("ra") != F.col("rb")) & (F.col("whole_a") <= F.col("whole_b")) & (F.least("after_a", "after_b") >= needed)
+    return x.join(y, [*key, "salt"]).where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, settings: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:

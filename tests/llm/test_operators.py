@@ -404,6 +404,39 @@ def test_broadcasts_do_not_change_results(spark):
     assert a == b
 
 
+def plan_rows(frame, name):
+    """Rows that the nodes of that name made, after the frame was collected."""
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        made = node.metrics().apply("numOutputRows").value() if node.nodeName() == name else 0
+        return made + sum(walk(node.children().apply(k)) for k in range(node.children().size()))
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_sets_that_share_a_frequent_element_are_not_all_compared(spark, broadcast_rows):
+    rng = random.Random(12)
+    base = " ".join(prose(4, 150))
+    near = [edited(base, rng.randrange(1, 3), rng) for _ in range(300)]
+    far = [edited(base, 5, rng) for _ in range(300)]  # below 0.8 from all others, yet with frequent elements in their prefixes
+    twins = [edited(t, 1, rng) for t in far[:20]] + [" ".join(t.split()[:128]) for t in near[:5]]
+    texts = dict(enumerate(near + far + twins))
+    rooted = spark.createDataFrame([(k, 0 if k < 300 else k) for k in texts], "id long, root long")
+    settings = minhash.Settings(broadcast_rows=broadcast_rows)
+    sets = minhash.packed_sets(spark.createDataFrame(list(texts.items()), "id long, text string"), settings)
+    found = minhash.prefix_pairs(rooted, sets, settings, Scratch(spark, "prefixes"))
+    got = {(r["a"], r["b"]) for r in found.collect()}
+    names = {k: frozenset(shingles(t)) for k, t in texts.items()}
+    wanted = {(a, b) for b in names for a in range(b) if b >= 300 and 5 * len(names[a] & names[b]) >= 4 * len(names[a] | names[b])}
+    assert len(wanted) > 20 and wanted <= got
+    assert plan_rows(found, "Generate") < 20 * len(texts)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(100, 160)] + [(1, k) for k in range(2, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)] + [(5, 5), (3, 1), (3, 1)]

@@ -29,11 +29,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     grows with the logarithm of the longest chain.
     """
     tidy = edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a < b").distinct()
-    now = scratch.keep(tidy, "edges")
+    rows = edges.count()
+    now = scratch.keep(tidy, "edges", rows=rows)
     state = None
     while True:
         small = _small_star(_large_star(now).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        after = scratch.keep(small, "edges")
+        after = scratch.keep(small, "edges", rows=rows)
         print_ = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         scratch.drop(now)
         now = after

@@ -249,7 +249,8 @@ def prefix_pairs(rooted: DataFrame, sets: DataFrame, settings: Settings, scratch
 
     own = bounded_batches(sets.join(_narrow(rooted.select("id"), settings), "id", "left_semi")).select("id", "elements", "counts")
     rows = scratch.keep(own.mapInArrow(run, "id long, element long, weight double, whole double"), "elements")
-    spread = scratch.keep(rows.groupBy("element").agg(F.count("*").alias("spread")).where("spread > 1"), "spread")
+    most = rows.count()
+    spread = scratch.keep(rows.groupBy("element").agg(F.count("*").alias("spread")).where("spread > 1"), "spread", rows=most)
     # what many sets have is looked up where it lies; no more than one in HOT_SPREAD rows names such an element
     often = _narrow(spread.where(F.col("spread") >= HOT_SPREAD), settings)
     known = rows.join(often.withColumnRenamed("spread", "often"), "element", "left")
@@ -260,7 +261,7 @@ def prefix_pairs(rooted: DataFrame, sets: DataFrame, settings: Settings, scratch
     # what no other set has comes first, so the suffix from an element on is made of common ones
     after = F.sum("weight").over(own) - F.sum("weight").over(upto) + F.col("weight")
     prefix = common.withColumn("after", after).where(F.col("after") >= F.lit(settings.similarity) * F.col("whole") - 1e-9)
-    heads = scratch.keep(prefix.select("id", "element", "after", "whole").join(rooted, "id"), "prefixes")
+    heads = scratch.keep(prefix.select("id", "element", "after", "whole").join(rooted, "id"), "prefixes", rows=most)
     # at the first common element, what lies ahead in either set bounds the common weight, so each set has a cap on the other's;
     # the lighter set of a pair, being within the other's cap and no heavier, is within its own
     share = settings.similarity / (1 + settings.similarity)
@@ -268,17 +269,18 @@ def prefix_pairs(rooted: DataFrame, sets: DataFrame, settings: Settings, scratch
     heads = heads.withColumn("cap", F.col("after") / F.lit(share) * (1 + 1e-9) - F.col("whole") + 1e-6)
     own_roots = heads.groupBy("element", "root").agg(F.count(F.when(light, 1)).alias("n"))
     main = own_roots.groupBy("element").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n"), F.count("*").alias("roots"))
-    main = scratch.keep(main.where("roots > 1 AND n > 0").select("element", "main"), "main")
+    main = scratch.keep(main.where("roots > 1 AND n > 0").select("element", "main"), "main", rows=most)
     heads = heads.join(_narrow(main, settings), "element")
     # part 0: light sets of an element's main root with heavier ones of other roots; part 1: light sets of the other roots with all
     lights = heads.where(light).withColumn("part", (F.col("root") != F.col("main")).cast("int")).drop("main")
     others = heads.where("root <> main").withColumn("part", F.lit(0)).unionByName(heads.withColumn("part", F.lit(1))).drop("main")
     key = ["element", "part"]
-    floors = scratch.keep(lights.groupBy(key).agg(F.min("whole").alias("floor")), "floors")
-    others = scratch.keep(others.join(_narrow(floors, settings), key).where("floor <= cap").drop("floor"), "heavier")
-    caps = scratch.keep(others.groupBy(key).agg(F.max("cap").alias("most"), F.count("*").alias("n_b")), "caps")
-    lights = scratch.keep(lights.join(_narrow(caps, settings), key).where("whole <= most").drop("most"), "lighter")
-    counts = _narrow(scratch.keep(lights.groupBy(key).agg(F.count("*").alias("n_a"), F.max("n_b").alias("n_b")), "counts"), settings)
+    floors = scratch.keep(lights.groupBy(key).agg(F.min("whole").alias("floor")), "floors", rows=most)
+    others = scratch.keep(others.join(_narrow(floors, settings), key).where("floor <= cap").drop("floor"), "heavier", rows=2 * most)
+    caps = scratch.keep(others.groupBy(key).agg(F.max("cap").alias("most"), F.count("*").alias("n_b")), "caps", rows=most)
+    lights = scratch.keep(lights.join(_narrow(caps, settings), key).where("whole <= most").drop("most"), "lighter", rows=most)
+    counts = _narrow(scratch.keep(lights.groupBy(key).agg(F.count("*").alias("n_a"), F.max("n_b").alias("n_b")), "counts", rows=most), settings)
+    compared = counts.agg(F.sum(F.col("n_a").cast("double") * F.col("n_b"))).first()[0] or 0
     # where either side is long there are many groups: a row of the longer side is in one, a row of the shorter in all
     salts = F.when(F.greatest("n_a", "n_b") >= HOT_SPREAD, COPY_SALTS).otherwise(1)
 
@@ -289,43 +291,47 @@ def prefix_pairs(rooted: DataFrame, sets: DataFrame, settings: Settings, scratch
     x, y = side(lights.drop("n_b"), "a", F.col("n_a") >= F.col("n_b")), side(others, "b", F.col("n_a") < F.col("n_b"))
     needed = F.lit(share) * (F.col("whole_a") + F.col("whole_b")) - 1e-9
     alike = (F.col("ra") != F.col("rb")) & (F.col("whole_a") <= F.col("whole_b")) & (F.least("after_a", "after_b") >= needed)
-    return x.join(y, [*key, "salt"]).where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return scratch.few(x.join(y, [*key, "salt"]).where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), compared)
 
 
 def near_duplicates(documents: DataFrame, settings: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, class_id) for every row: the least id of the group of copies and near copies that it belongs to."""
     scratch = Scratch(documents.sparkSession, "near")
     signed = scratch.keep(signatures(documents, settings, text, doc_id), "signed")
+    most = signed.count()
     sized = signed.where("n > 0")
-    reps = scratch.keep(sized.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("times")), "reps")
+    reps = scratch.keep(sized.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("times"), F.min("n").alias("n")), "reps", rows=most * settings.bands / 2)
     alone = reps.where("times = 1").select(F.col("rep").alias("id"), "rep")
     salts = F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1)))
     copied = reps.where("times > 1").select("set_a", "set_b", "rep", salts.alias("salt"))
     copies = sized.select("id", "set_a", "set_b", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int").alias("salt")).join(copied, ["set_a", "set_b", "salt"]).select("id", "rep")
     blank = signed.where("n = 0").select("id", F.col("id").alias("rep"))
-    members = scratch.keep(alone.unionByName(copies).unionByName(blank), "members")
+    members = scratch.keep(alone.unionByName(copies).unionByName(blank), "members", rows=most)
     scratch.drop(signed)
 
-    entries = reps.where("rep IS NOT NULL").select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    shared = scratch.keep(entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"), "shared")
-    placed = scratch.keep(entries.join(_narrow(shared, settings), "key").select("key", "id", "lo"), "placed")
+    entries = reps.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
+    shared = scratch.keep(entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo"), "shared", rows=most * settings.bands / 2)
+    placed = scratch.keep(entries.join(_narrow(shared, settings), "key").select("key", "id", "n", "lo"), "placed", rows=most * settings.bands)
     scratch.drop(reps)
-    ids = scratch.keep(placed.select("id").distinct(), "ids")
+    ids = scratch.keep(placed.select("id").distinct(), "ids", rows=most)
     texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.lower(F.col(text).cast("string")).alias("text"))
     sets = scratch.keep(packed_sets(texts.join(_narrow(ids, settings), "id", "left_semi"), settings), "sets", compression="none")
-    stars = scratch.keep(placed.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = scratch.keep(similar_pairs(stars, sets, settings), "links")
-    roots = scratch.keep(components(links, scratch), "roots")
+    stars = scratch.keep(placed.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"), "n").groupBy("a", "b").agg(F.max("n").alias("n")), "stars", rows=placed.count())
+    # a pair is read with its whole set
+    pairs, read = stars.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    links = scratch.keep(similar_pairs(stars, sets, settings), "links", rows=read)
+    roots = scratch.keep(components(links, scratch), "roots", rows=most)
 
     # members of buckets that hold more than one component
     rooted = placed.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    loose = scratch.keep(rooted.join(mixed, "key", "left_semi").select("id", "root").distinct(), "loose")
-    crossing = prefix_pairs(loose, sets, settings, scratch).join(stars, ["a", "b"], "left_anti")
+    loose = scratch.keep(rooted.join(mixed, "key", "left_semi").select("id", "root").distinct(), "loose", rows=most)
+    crossing = prefix_pairs(loose, sets, settings, scratch).join(_narrow(stars, settings), ["a", "b"], "left_anti")
     crossing = scratch.keep(crossing, "crossing")
-    if not crossing.isEmpty():
-        links = scratch.keep(links.unionByName(similar_pairs(crossing, sets, settings)), "links")
-        roots = scratch.keep(components(links, scratch), "roots")
+    more = crossing.count()
+    if more:
+        links = scratch.keep(links.unionByName(similar_pairs(crossing, sets, settings)), "links", rows=read + more * read / max(pairs, 1))
+        roots = scratch.keep(components(links, scratch), "roots", rows=most)
     scratch.drop(sets)
     members = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int"))
     classes = members.join(roots.select(F.col("id").alias("rep"), "root", salts.alias("salt")), ["rep", "salt"], "left")

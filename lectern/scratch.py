@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: So many narrow rows are work for one task and one file, unless cores would be idle.
+FILE_ROWS = 1 << 17
+
 _own: dict[str, str] = {}
 
 
@@ -35,8 +39,16 @@ class Scratch:
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def keep(self, frame: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    def few(self, frame: DataFrame, rows: float) -> DataFrame:
+        """frame in no more partitions than about so many narrow rows need, or than there are cores; it may have fewer."""
+        return frame.coalesce(max(self.spark.sparkContext.defaultParallelism, math.ceil(rows / FILE_ROWS)))
+
+    def keep(self, frame: DataFrame, name: str, compression: str = "zstd", rows: float | None = None) -> DataFrame:
+        """rows: about the most that the table can have, in narrow rows: wide ones, also those it is made from, count as several.
+        Else each partition is a file, however small, and a file costs its commit and, on a local disk without Hadoop's native library, processes that set its rights.
+        """
         self._n += 1
+        frame = frame if rows is None else self.few(frame, rows)
         path = f"{self.folder}/{self._n:03d}-{name}"
         frame.write.parquet(path, compression=compression)
         return self.spark.read.schema(frame.schema).parquet(path)

@@ -404,6 +404,33 @@ def test_broadcasts_do_not_change_results(spark):
     assert a == b
 
 
+def test_small_intermediate_tables_are_few_files(spark, monkeypatch):
+    """Whatever the number of shuffle partitions; the classes are the same."""
+    rng = random.Random(2)
+    texts = [edited(" ".join(prose(k % 20, 100)), k // 20, rng) for k in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    wanted = sorted(minhash.near_duplicates(docs).collect())
+    files, keep = [], Scratch.keep
+
+    def counted(*given, **named):
+        kept = keep(*given, **named)
+        files.append((given[2], len(kept.inputFiles())))
+        return kept
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = sorted(minhash.near_duplicates(docs).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == wanted and len({r["class_id"] for r in got}) < len(got)
+    assert len(files) > 10 and max(n for _, n in files) <= spark.sparkContext.defaultParallelism, files
+
+
 def plan_rows(frame, name):
     """Rows that the nodes of that name made, after the frame was collected."""
     def walk(node):

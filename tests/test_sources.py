@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators.index import Index
-from lectern.sources.html import bulletins, html_files, pages_text, parse_bulletin
+from lectern.sources.html import bulletins, html_files, pages_text, parse_bulletin, parse_page
 from lectern.sources.tables import read_terms, read_xml, write_terms, write_xml
 from lectern.streaming.ingest import StreamingIndexer, event_counts
 
@@ -93,3 +93,8 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch, text):
         (tmp_path / "golden.json").write_text(json.dumps([{"id": "Q", "query": text, "relevant_articles": ["1"]}]))
         monkeypatch.setattr(cli, "run_evaluation", lambda s, g, runs, report: __import__("lectern.operators.evaluation", fromlist=["x"]).run_evaluation(s, g, 0, report))
         assert cli.main(["eval", f"file://{tmp_path}/index", str(tmp_path / "golden.json")]) == 0
+
+
+def test_names_of_characters_in_cut_text_are_text():
+    cut = parse_page('<title>a = &quot</title><article><h1>&copy b &amp c &middot; d &quotx</h1><p>r&amp;d &am</p><p><script>a&b</script></article>')
+    assert (cut["title"], cut["heading"], cut["texte"]) == ("a = &quot", "&copy b & c · d &quotx", "r&d &am\na&b")

@@ -36,7 +36,8 @@ def _each(one: Callable[[str | None], str], text: Column) -> Column:
         return texts.map(lambda t: one(t) if t is not None else None)
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")(text)
+    # else Spark repeats it in filters, and drops a distinct() below it as redundant, so that it runs on every token
+    return F.pandas_udf(run, "string").asNondeterministic()(text)
 
 
 def without_accents(text: Column) -> Column:

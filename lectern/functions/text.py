@@ -58,6 +58,22 @@ def surfaces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), 0)
 
 
+def counted(items: Column, name: str = "term") -> Column:
+    """Distinct entries of an array and how often it has each (name, tf), by sorting it within its row."""
+
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(places, lambda k: (k == 0) | (F.get(ordered, k) != F.get(ordered, k - 1)))
+
+        def of(starts: Column) -> Column:  # bound once, as the only entry of an array
+            return F.transform(starts, lambda at, k: F.struct(F.get(ordered, at).alias(name), (F.coalesce(F.get(starts, k + 1), n) - at).cast("long").alias("tf")))
+
+        return F.flatten(F.transform(F.array(first), of))
+
+    return F.flatten(F.transform(F.array(F.sort_array(items)), runs))
+
+
 def is_alphabetic(token: Column) -> Column:
     return token.rlike(ALPHABETIC)
 

@@ -39,6 +39,27 @@ def term_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "zone", "term").agg(F.count("*").alias("tf"))
 
 
+def counts_of(documents: DataFrame, lemmatizer: Lemmatizer | None = None, distinct: bool | None = None) -> DataFrame:
+    """As term_counts, from the documents themselves; distinct: whether each has an id of its own, which is looked up if it is not told.
+
+    Then a document's terms are counted within its row, and nothing is shuffled.
+    """
+    lemmatizer = lemmatizer or LowerCase()
+    if lemmatizer.column(F.lit("")) is None or not (has_own_ids(documents) if distinct is None else distinct):
+        return term_counts(tokens_of(documents, lemmatizer))
+    zones = F.array(*[F.struct(F.lit(z).alias("zone"), _zone_counts(z, lemmatizer).alias("terms")) for z in ZONES])
+    return documents.select("doc_id", F.explode(zones).alias("z")).select("doc_id", "z.zone", F.explode("z.terms").alias("t")).select("doc_id", "zone", "t.term", "t.tf")
+
+
+def _zone_counts(zone: str, lemmatizer: Lemmatizer) -> Column:
+    return X.counted(F.transform(X.surfaces(F.coalesce(F.col(zone), F.lit(""))), lemmatizer.column))
+
+
+def has_own_ids(documents: DataFrame) -> bool:
+    """Whether no two documents have the same id."""
+    return documents.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def document_frequencies(counts: DataFrame) -> DataFrame:
     """Documents that have a term in any zone, from the counts of their zones."""
     return counts.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
@@ -53,9 +74,13 @@ def frequencies_of(documents: DataFrame, lemmatizer: Lemmatizer | None = None) -
     lemmatizer = lemmatizer or LowerCase()
     if lemmatizer.column(F.lit("")) is None:
         return document_frequencies(term_counts(tokens_of(documents, lemmatizer)))
+    return terms_of(documents, lemmatizer).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def terms_of(documents: DataFrame, lemmatizer: Lemmatizer | None = None) -> DataFrame:
+    """(doc_id, term): the distinct terms of each row, of any zone, found within it."""
     words = F.concat(*[X.surfaces(F.coalesce(F.col(z), F.lit(""))) for z in ZONES])
-    terms = documents.select(F.explode(F.array_distinct(F.transform(words, lemmatizer.column))).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+    return documents.select("doc_id", F.explode(F.array_distinct(F.transform(words, (lemmatizer or LowerCase()).column))).alias("term"))
 
 
 def with_idf(frequencies: DataFrame, n: Column) -> DataFrame:
@@ -94,6 +119,24 @@ def greatest_weights(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.max("tfidf").alias("max_tfidf"))
 
 
+def greatest_weights_of(documents: DataFrame, n: Column, lemmatizer: Lemmatizer | None = None, distinct: bool | None = None) -> DataFrame:
+    """As greatest_weights of their postings: a weight grows with its frequency, so only each term's greatest is weighed.
+
+    Where each document has an id of its own, one reading gives a term's documents and its
+    greatest frequency: its counts in both zones, and a row that takes a document away which has it in both.
+    """
+    lemmatizer = lemmatizer or LowerCase()
+    if lemmatizer.column(F.lit("")) is None or not (has_own_ids(documents) if distinct is None else distinct):
+        counts = counts_of(documents, lemmatizer, False)
+        terms = counts.groupBy("term").agg(F.max("tf").alias("tf")).join(document_frequencies(counts), "term")
+    else:
+        zones = documents.select(*[_zone_counts(z, lemmatizer).alias(z) for z in ZONES])
+        rows = [F.transform(z, lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), F.lit(1).alias("df"))) for z in ZONES]
+        both = F.transform(F.array_intersect(*[F.transform(z, lambda t: t["term"]) for z in ZONES]), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("tf"), F.lit(-1).alias("df")))
+        terms = zones.select(F.explode(F.concat(*rows, both)).alias("t")).groupBy("t.term").agg(F.max("t.tf").alias("tf"), F.sum("t.df").alias("df"))
+    return terms.select("term", X.tfidf(F.col("tf"), X.idf(F.col("df"), n)).alias("max_tfidf"))
+
+
 def noise_terms(greatest: DataFrame, threshold: float = NOISE_THRESHOLD, seeds: tuple[str, ...] = SEED_NOISE) -> DataFrame:
     spark = greatest.sparkSession
     fixed = spark.createDataFrame([(s,) for s in seeds], "term string")
@@ -175,19 +218,21 @@ class Index(BaseIndex):
     surfaces: DataFrame
     noise: DataFrame
     counts: DataFrame | None = None  # of an index that is not saved: postings without weights
+    noise_rule: tuple[float, tuple[str, ...]] | None = None  # of an index that is built: threshold and seeds
 
     TABLES = ("documents", "postings", "vocabulary", "lengths", "statistics", "surfaces", "noise")
 
     @classmethod
     def build(cls, documents: DataFrame, lemmatizer: Lemmatizer | None = None, threshold: float = NOISE_THRESHOLD, seeds: tuple[str, ...] = SEED_NOISE) -> Index:
-        tokens = tokens_of(documents, lemmatizer)
-        counts = term_counts(tokens)
+        tokens, distinct = tokens_of(documents, lemmatizer), has_own_ids(documents)
+        counts = counts_of(documents, lemmatizer, distinct)
         lengths = lengths_of(documents)
         statistics = corpus_statistics(lengths)
         n = documents.agg(F.count("*").alias("n")).scalar()
         vocabulary = with_idf(frequencies_of(documents, lemmatizer), n)
         postings = postings_of(counts, vocabulary)
-        return cls(documents, postings, vocabulary, lengths, statistics, surface_forms(tokens), noise_terms(greatest_weights(postings), threshold, seeds), counts)
+        noise = noise_terms(greatest_weights_of(documents, n, lemmatizer, distinct), threshold, seeds)
+        return cls(documents, postings, vocabulary, lengths, statistics, surface_forms(tokens), noise, counts, (threshold, seeds))
 
     def frequencies(self) -> DataFrame:
         """(term, doc_id, zone, tf)."""
@@ -197,16 +242,26 @@ class Index(BaseIndex):
         """Writes all tables and gives the index that reads them.
 
         Postings lie by zone and, in each file, by term, so that a lookup skips row groups
-        by their ranges. The range partitioning puts a frequent term into several files.
+        by their ranges. The range partitioning puts a frequent term into several files. Of an
+        index that was built, a table that follows from others is made from what is written of these.
         """
-        for name in self.TABLES:
+        spark = self.documents.sparkSession
+        for name in ("documents", "vocabulary", "lengths", "statistics", "surfaces", "postings", "noise"):
             frame = getattr(self, name)
+            if self.noise_rule is not None:
+                read = {k: spark.read.parquet(f"{folder}/{k}") for k in {"postings": ["vocabulary"], "statistics": ["lengths"], "noise": ["postings"]}.get(name, [])}
+                if name == "postings":
+                    frame = postings_of(self.counts, read["vocabulary"])
+                elif name == "statistics":
+                    frame = corpus_statistics(read["lengths"])
+                elif name == "noise":
+                    frame = noise_terms(greatest_weights(read["postings"]), *self.noise_rule)
             if name == "postings":
                 frame = frame.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
                 frame.write.mode("overwrite").partitionBy("zone").parquet(f"{folder}/{name}")
             else:
                 frame.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return self.load(self.documents.sparkSession, folder)
+        return self.load(spark, folder)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Index:
@@ -228,25 +283,36 @@ class Index(BaseIndex):
         return self.documents.agg(F.count("*").alias("n"))
 
     def violations(self) -> DataFrame:
-        """(rule, n): how many rows break each rule that the tables must keep."""
+        """(rule, n): how many rows break each rule that the tables must keep.
+
+        Postings are read twice, once to be summed by term and once by document; the sums are written, as rules share them.
+        """
 
-        def one(rule: str, frame: DataFrame) -> DataFrame:
-            return frame.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
+        def one(rule: str, frame: DataFrame, n: Column | None = None) -> DataFrame:
+            n = F.count("*") if n is None else F.coalesce(F.sum(n), F.lit(0)).cast("long")
+            return frame.agg(n.alias("n")).select(F.lit(rule).alias("rule"), "n")
 
         def repeated(frame: DataFrame, *keys: str) -> DataFrame:
             return frame.groupBy(*keys).count().where("count > 1")
 
+        kept = Scratch(self.documents.sparkSession, "rules")
         ids, terms = self.documents.select("doc_id"), self.vocabulary.select("term")
-        found = self.postings.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("found"))
+        zone, known = F.col("zone"), F.coalesce(F.col("zone").isin(*ZONES), F.lit(False))
+        pairs = self.postings.groupBy("term", "doc_id").agg(F.count("*").alias("rows"), *[F.count(F.when(zone == z, 1)).alias(z) for z in ZONES])
+        more = sum(((F.col(z) > 1).cast("int") for z in ZONES), F.lit(0))
+        by_term = kept.keep(pairs.groupBy("term").agg(F.sum("rows").alias("rows"), F.sum(more).alias("more"), F.count("*").alias("found")), "terms")
+        by_id = self.postings.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count(F.when(~zone.isin(*ZONES), 1)).alias("zoneless"), F.count(F.when(F.col("tf") < 1, 1)).alias("empty"))
+        by_id = kept.keep(by_id, "ids")
+        others = repeated(self.postings.where(~known), "term", "doc_id", "zone").select(F.lit(1).alias("more"))
         parts = [
             one("a document's id is one document's", repeated(self.documents, "doc_id")),
             one("a term is one term's", repeated(self.vocabulary, "term")),
-            one("a term, document and zone have one posting", repeated(self.postings, "term", "doc_id", "zone")),
-            one("a posting is of a document", self.postings.join(ids, "doc_id", "left_anti")),
-            one("a posting is of a term", self.postings.join(terms, "term", "left_anti")),
-            one("a posting is of a zone", self.postings.where(~F.col("zone").isin(*ZONES))),
-            one("a posting counts one at least", self.postings.where("tf < 1")),
-            one("a term's df is its documents", self.vocabulary.join(found, "term", "left").where("df <> coalesce(found, 0)")),
+            one("a term, document and zone have one posting", by_term.select("more").unionByName(others), F.col("more")),
+            one("a posting is of a document", by_id.join(ids, "doc_id", "left_anti"), F.col("rows")),
+            one("a posting is of a term", by_term.join(terms, "term", "left_anti"), F.col("rows")),
+            one("a posting is of a zone", by_id, F.col("zoneless")),
+            one("a posting counts one at least", by_id, F.col("empty")),
+            one("a term's df is its documents", self.vocabulary.join(by_term, "term", "left").where("df <> coalesce(found, 0)")),
             one("a length is of a document", self.lengths.join(ids, "doc_id", "left_anti")),
             one("a surface is not empty", self.surfaces.where("surface = '' OR lemma = ''")),
         ]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators.index import BaseIndex
+from lectern.operators.index import BaseIndex, has_own_ids
+from lectern.scratch import Scratch
 
 
 def ngrams(text: Column, n: int) -> Column:
@@ -27,13 +30,17 @@ def word_ngrams(text: Column, n: int) -> Column:
     return F.flatten(F.transform(F.array(X.words(text)), grams))
 
 
-def ngram_postings(documents: DataFrame, n: int = 3, unit: str = "char", text: str = "text") -> DataFrame:
-    """(ngram, doc_id, tf) over lower-cased texts, of characters within words or of words."""
-    if unit == "word":
-        grams = documents.select("doc_id", F.explode(word_ngrams(F.col(text), n)).alias("ngram"))
-    else:
-        grams = documents.select("doc_id", F.explode(X.words(F.col(text))).alias("w")).select("doc_id", F.explode(ngrams(F.col("w"), n)).alias("ngram"))
-    return grams.groupBy("ngram", "doc_id").agg(F.count("*").alias("tf"))
+def ngram_postings(documents: DataFrame, n: int = 3, unit: str = "char", text: str = "text", distinct: bool | None = None, wanted: list[str] | None = None) -> DataFrame:
+    """(ngram, doc_id, tf) over lower-cased texts, of characters within words or of words, of wanted n-grams or of all.
+
+    Where each document has an id of its own (distinct; looked up if it is not told), they are counted within its row.
+    """
+    grams = word_ngrams(F.col(text), n) if unit == "word" else F.flatten(F.transform(X.words(F.col(text)), lambda w: ngrams(w, n)))
+    if wanted is not None:
+        grams = F.filter(grams, lambda g: g.isin(wanted))
+    if has_own_ids(documents) if distinct is None else distinct:
+        return documents.select("doc_id", F.explode(X.counted(grams, "ngram")).alias("g")).select("g.ngram", "doc_id", "g.tf")
+    return documents.select("doc_id", F.explode(grams).alias("ngram")).groupBy("ngram", "doc_id").agg(F.count("*").alias("tf"))
 
 
 class NgramIndex(BaseIndex):
@@ -41,7 +48,14 @@ class NgramIndex(BaseIndex):
 
     def __init__(self, documents: DataFrame, n: int = 3, unit: str = "char", text: str = "text") -> None:
         self.documents = documents
-        self.postings = ngram_postings(documents, n, unit, text)
+        self.how = n, unit, text
+        self.postings = ngram_postings(documents, *self.how)
+
+    def of(self, wanted: list[str]) -> NgramIndex:
+        """The index of these n-grams only, whose postings are found in one reading of the documents and written."""
+        part = copy(self)
+        part.postings = Scratch(self.documents.sparkSession, "ngrams").keep(ngram_postings(self.documents, *self.how, wanted=wanted), "postings")
+        return part
 
     def get_postings(self, term: str, zone: str = "text") -> DataFrame:
         """(doc_id, tf) of an n-gram."""

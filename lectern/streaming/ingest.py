@@ -30,7 +30,7 @@ class StreamingIndexer:
         rows = batch.groupBy("doc_id").agg(F.max(F.struct(*[c for c in batch.columns if c != "doc_id"])).alias("row")).select("doc_id", "row.*").persist()
         tokens = I.tokens_of(rows, self.lemmatizer)
         forms = tokens.where(X.is_alphabetic(F.col("surface"))).groupBy("doc_id", "surface", F.col("term").alias("lemma")).agg(F.count("*").alias("freq"))
-        for name, frame in (("documents", rows), ("counts", I.term_counts(tokens)), ("surfaces", forms)):
+        for name, frame in (("documents", rows), ("counts", I.counts_of(rows, self.lemmatizer, distinct=True)), ("surfaces", forms)):
             frame.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={number}")
         rows.unpersist()
 
@@ -46,10 +46,11 @@ class StreamingIndexer:
     def index(self) -> I.Index:
         documents, counts, forms = (self._current(n) for n in ("documents", "counts", "surfaces"))
         lengths = I.document_lengths(documents, counts)
-        vocabulary = I.with_idf(I.document_frequencies(counts), documents.agg(F.count("*")).scalar())
+        n = documents.agg(F.count("*")).scalar()
+        vocabulary = I.with_idf(I.document_frequencies(counts), n)
         postings = I.postings_of(counts, vocabulary)
         surfaces = forms.groupBy("surface", "lemma").agg(F.sum("freq").alias("freq"))
-        return I.Index(documents, postings, vocabulary, lengths, I.corpus_statistics(lengths), surfaces, I.noise_terms(I.greatest_weights(postings)))
+        return I.Index(documents, postings, vocabulary, lengths, I.corpus_statistics(lengths), surfaces, I.noise_terms(I.greatest_weights_of(documents, n, self.lemmatizer, distinct=True)), counts)
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -4,8 +4,9 @@ import os
 
 import pytest
 
-from lectern.operators import correction
+from lectern.operators import correction, index
 from lectern.operators.correction import COMPARED_TOKENS, LevenshteinCorrector, SurfaceLexicon, edit_candidates, embedding_candidates, ngram_candidates
+from lectern.operators.ngrams import ngram_postings
 from lectern.queries import QUERIES, words_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -48,3 +49,33 @@ def test_blocks_of_tokens_give_the_pairs_of_one_block_without_a_join(spark, monk
     monkeypatch.setattr(correction, "TOKEN_CELLS", 20)
     assert sorted(map(tuple, find(tokens, lexicon).collect())) == sorted(map(tuple, whole.collect()))
     assert {("bananas", "banana"), ("prefixes", "prefix")} <= {(r["token"], r["word"]) for r in whole.collect()}
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["token_tf", "char_ngrams", "word_ngrams"])
+def test_documents_with_their_own_ids_are_counted_within_their_rows(spark, name):
+    assert "Aggregate" not in plan_of(QUERIES[name](spark, FOLDER))
+
+
+def test_documents_of_one_id_are_counted_together(spark):
+    rows = [(1, "A a b", "a"), (1, "b b", ""), (2, None, "c C"), (None, "a", "a"), (None, "a", None)]
+    documents = spark.createDataFrame(rows, "doc_id long, titre string, texte string")
+    for part in (documents, documents.where("titre IS NULL OR texte = 'a'")):
+        wanted = sorted(map(repr, index.term_counts(index.tokens_of(part)).select("doc_id", "zone", "term", "tf").collect()))
+        assert sorted(map(repr, index.counts_of(part).select("doc_id", "zone", "term", "tf").collect())) == wanted
+        texts = part.selectExpr("doc_id", "concat_ws(' ', titre, texte) AS text")
+        got = [sorted(map(repr, ngram_postings(texts, 1, distinct=d).collect())) for d in (False, None)]
+        assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("name", ["integrity", "ngram_lookup", "index_tables"])
+def test_what_reads_an_index_often_reads_it_written(spark, name):
+    assert "regexp_extract_all" not in plan_of(QUERIES[name](spark, FOLDER))
+
+
+@pytest.mark.parametrize("name", ["term_max_tfidf", "streaming_upserts"])
+def test_weights_and_counts_need_no_join_with_postings(spark, name):
+    assert "Join Inner" not in plan_of(QUERIES[name](spark, FOLDER))

@@ -126,12 +126,10 @@ class Gamma(PostingCodec):
         sizes = 2 * widths - 1
         used = np.diff(_ends(sizes, first))
         at = np.append(0, np.cumsum(4 + -(-used // 8)))
-        owner, nth = _spread(sizes)
-        back = 2 * widths[owner] - 2 - nth  # the bit's place from the lowest on; zeros stand before the number
-        ones = (back < widths[owner]) & ((wanted[owner] >> np.minimum(back, 62)) & 1 > 0)
+        owner, nth = _spread(widths)
         bits = np.zeros(8 * int(at[-1]), np.uint8)
-        begins = np.repeat(8 * (at[:-1] + 4) - (np.cumsum(used) - used), used)
-        bits[(begins + np.arange(len(owner)))[ones]] = 1
+        begins = np.repeat(8 * (at[:-1] + 4) - (np.cumsum(used) - used), counts) + np.cumsum(sizes) - sizes + widths - 1  # behind the zeros
+        bits[begins[owner] + nth] = (wanted[owner] >> (widths[owner] - 1 - nth)) & 1
         out = np.packbits(bits)
         for k in range(4):
             out[at[:-1] + k] = (counts >> (24 - 8 * k)) & 0xFF
@@ -141,19 +139,15 @@ class Gamma(PostingCodec):
         heads = first[:-1]
         counts = sum(blob[heads + k].astype(np.int64) << (24 - 8 * k) for k in range(4)) if len(heads) else np.zeros(0, np.int64)
         bits = np.unpackbits(blob)
-        at = 8 * (heads + 4)  # where each list's next number begins
-        starts, widths = (np.zeros(int(counts.sum()), np.int64) for _ in range(2))
         place = np.append(0, np.cumsum(counts))
-        ones = np.append(np.flatnonzero(bits), len(bits))
-        live = np.flatnonzero(counts > 0)
-        n = 0
-        while len(live):  # the n-th number of every list that has one
-            one = ones[np.searchsorted(ones, at[live])]
-            width = one - at[live] + 1
-            starts[place[live] + n], widths[place[live] + n] = one, width
-            at[live] = one + width
-            n += 1
-            live = live[counts[live] > n]
+        found, ends, find = [], [], bits.tobytes().find
+        for at, count in zip((8 * (heads + 4)).tolist(), counts.tolist(), strict=True):  # a number's place follows from the one before, so by turns
+            for _ in range(count):
+                one = find(b"\1", at)
+                found.append(one)
+                ends.append(at := 2 * one - at + 1)
+        starts = np.array(found, np.int64)
+        widths = np.array(ends, np.int64) - starts
         owner, nth = _spread(widths)
         parts = bits[starts[owner] + nth].astype(np.int64) << (widths[owner] - 1 - nth)
         values = np.add.reduceat(parts, np.cumsum(widths) - widths) - 1 if len(widths) else np.zeros(0, np.int64)
@@ -170,27 +164,26 @@ class Simple9(PostingCodec):
         if len(values) and values.max() >= 1 << 28:
             raise ValueError("a number needs more than 28 bits")
         n, counts = len(values), np.diff(first)
-        # for each layout the first number from each place on that is too wide for it
-        reach = []
-        for _, width in self.LAYOUTS:
+        of_list = np.repeat(np.arange(len(counts)), counts)
+        places, ends = np.arange(n), first[1:][of_list]
+        # the layout of a word that would begin with each number, and how many numbers it would hold
+        chosen, size = np.full(n, -1), np.zeros(n, np.int64)
+        for selector, (count, width) in enumerate(self.LAYOUTS):
             wide = np.append(np.flatnonzero(values >= 1 << width), n)
-            reach.append(wide[np.searchsorted(wide, np.arange(n))])
-        at, ends, live = first[:-1].copy(), first[1:], np.flatnonzero(counts > 0)
-        words, owners = [counts.astype(np.int64)], [np.arange(len(counts))]
-        while len(live):  # the next word of every list that has numbers left
-            here, chosen, size = at[live], np.full(len(live), -1), np.zeros(len(live), np.int64)
-            for selector, (count, _) in enumerate(self.LAYOUTS):
-                end = np.minimum(here + count, ends[live])
-                fits = (chosen < 0) & (reach[selector][here] >= end)
-                chosen[fits], size[fits] = selector, (end - here)[fits]
-            owner, nth = _spread(size)
-            width = np.array([w for _, w in self.LAYOUTS])[chosen]
-            parts = values[here[owner] + nth] << (width[owner] * nth)
-            words.append(chosen.astype(np.int64) << 28 | np.add.reduceat(parts, np.cumsum(size) - size))
-            owners.append(live)
-            at[live] += size
-            live = live[at[live] < ends[live]]
-        owner, word = np.concatenate(owners), np.concatenate(words)
+            end = np.minimum(places + count, ends)
+            fits = (chosen < 0) & (wide[np.searchsorted(wide, places)] >= end)
+            chosen[fits], size[fits] = selector, (end - places)[fits]
+        begins, at, after = [], 0, (places + size).tolist()
+        while at < n:  # a word begins where the one before ends, in the last one of a list with the next list
+            begins.append(at)
+            at = after[at]
+        begins = np.array(begins, np.int64)
+        size, chosen = size[begins], chosen[begins]
+        owner, nth = _spread(size)
+        width = np.array([w for _, w in self.LAYOUTS])[chosen]
+        parts = values[begins[owner] + nth] << (width[owner] * nth)
+        packed = chosen.astype(np.int64) << 28 | (np.add.reduceat(parts, np.cumsum(size) - size) if n else np.zeros(0, np.int64))
+        owner, word = np.append(np.arange(len(counts)), of_list[begins]), np.append(counts.astype(np.int64), packed)
         order = np.argsort(owner, kind="stable")
         return word[order].astype(">u4").view(np.uint8), 4 * np.append(0, np.cumsum(np.bincount(owner, minlength=len(counts)))).astype(np.int64)
 
@@ -215,5 +208,5 @@ CODECS = {"vbyte": VariableByte, "delta": Gaps, "gamma": Gamma, "simple9": Simpl
 
 def posting_blocks(postings: DataFrame, bits: int = 16) -> DataFrame:
     """(term, block, ids) of (term, doc_id): ascending distinct ids, in blocks of 2**bits ids, so that a list has no more."""
-    keyed = postings.select("term", F.shiftright("doc_id", bits).alias("block"), "doc_id").distinct()
-    return keyed.groupBy("term", "block").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    keyed = postings.select("term", F.shiftright("doc_id", bits).alias("block"), "doc_id")
+    return keyed.groupBy("term", "block").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))

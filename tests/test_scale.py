@@ -1,10 +1,13 @@
 """Queries do their work on executors, once, and in proportion to their tables."""
 
 import os
+import time
 
+import numpy as np
 import pytest
 
 from lectern.operators import correction, index
+from lectern.operators.codecs import CODECS
 from lectern.operators.correction import COMPARED_TOKENS, LevenshteinCorrector, SurfaceLexicon, edit_candidates, embedding_candidates, ngram_candidates
 from lectern.operators.ngrams import ngram_postings
 from lectern.queries import QUERIES, words_of
@@ -79,3 +82,14 @@ def test_what_reads_an_index_often_reads_it_written(spark, name):
 @pytest.mark.parametrize("name", ["term_max_tfidf", "streaming_upserts"])
 def test_weights_and_counts_need_no_join_with_postings(spark, name):
     assert "Join Inner" not in plan_of(QUERIES[name](spark, FOLDER))
+
+
+def test_long_lists_are_coded_in_few_steps():
+    values = np.arange(60_000)
+    lists = [values, values[:0], values[5:6], values[::3]]
+    data, first = np.concatenate(lists), np.append(0, np.cumsum([len(v) for v in lists]))
+    for kind in CODECS.values():
+        began = time.perf_counter()
+        again, places = kind().decode_lists(*kind().encode_lists(data, first))
+        assert (again == data).all() and (places == first).all()
+        assert time.perf_counter() - began < 1.0  # one numpy call or more for each number of the longest list took longer

@@ -92,4 +92,11 @@ class SearchService:
         return ordered(run_batch([("q", self.parse(raw))], self.index, self.scorer).drop("qid"), mode)
 
     def run_many(self, questions: dict[str, str]) -> DataFrame:
-        return run_batch([(qid, self.parse(raw)) for qid, raw in questions.items()], self.index, self.scorer)
+        """A batch; unless there is a corrector already, its tokens are joined with the lexicon, which need not be on the driver then."""
+        corrector = TableCorrector(lexicon_table(self.index, metadata=True)) if self.corrector is _DEFAULT else self.corrector
+        raw = list(questions.values())
+        if corrector is not None and raw:
+            done = corrector.correct_many(raw) if isinstance(corrector, TableCorrector) else [corrector.correct(r) for r in raw]
+            self.last_correction, raw = done[-1], [d.corrected_query for d in done]
+        parser = self._parser()
+        return run_batch([(qid, parser.parse(r)) for qid, r in zip(questions, raw, strict=True)], self.index, self.scorer)

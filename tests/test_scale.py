@@ -10,6 +10,7 @@ from lectern.operators import correction, index
 from lectern.operators.codecs import CODECS
 from lectern.operators.correction import COMPARED_TOKENS, LevenshteinCorrector, SurfaceLexicon, edit_candidates, embedding_candidates, ngram_candidates
 from lectern.operators.ngrams import ngram_postings
+from lectern.plans import search
 from lectern.queries import QUERIES, words_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -84,6 +85,13 @@ def test_weights_and_counts_need_no_join_with_postings(spark, name):
     assert "Join Inner" not in plan_of(QUERIES[name](spark, FOLDER))
 
 
+def test_a_batch_of_questions_takes_no_lexicon_to_the_driver(spark, monkeypatch):
+    monkeypatch.delattr(SurfaceLexicon, "from_index")
+    tables = []
+    monkeypatch.setattr(search, "lexicon_table", lambda *a, **b: tables.append(1) or correction.lexicon_table(*a, **b))
+    assert QUERIES["search_questions"](spark, FOLDER).count() > 0 and len(tables) == 1
+
+
 def test_long_lists_are_coded_in_few_steps():
     values = np.arange(60_000)
     lists = [values, values[:0], values[5:6], values[::3]]

@@ -2,11 +2,13 @@
 
 import os
 import time
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lectern.operators import correction, index
+from lectern.operators import correction, index, scoring
 from lectern.operators.codecs import CODECS
 from lectern.operators.correction import COMPARED_TOKENS, LevenshteinCorrector, SurfaceLexicon, edit_candidates, embedding_candidates, ngram_candidates
 from lectern.operators.ngrams import ngram_postings
@@ -101,3 +103,14 @@ def test_long_lists_are_coded_in_few_steps():
         again, places = kind().decode_lists(*kind().encode_lists(data, first))
         assert (again == data).all() and (places == first).all()
         assert time.perf_counter() - began < 1.0  # one numpy call or more for each number of the longest list took longer
+
+
+def test_similarities_are_taken_in_bounded_pieces(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(scoring.np, "partition", lambda a, *b, f=np.partition, **c: sizes.append(a.size) or f(a, *b, **c))
+    monkeypatch.setattr(scoring, "CELLS", 12)
+    queries = SimpleNamespace(value=[(str(k), [1.0, float(k)]) for k in range(3)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array([[1.0, float(k % 7)] for k in range(20)], pa.list_(pa.float64()))], names=["doc_id", "vector"])
+    frame = SimpleNamespace(select=lambda *c: SimpleNamespace(mapInArrow=lambda run, schema: list(run(iter([batch])))))
+    rows = [r for b in scoring._similarities(frame, queries, 2) for r in b.to_pylist()]
+    assert max(sizes) <= 12 and {r["doc_id"] for r in rows if r["qid"] == "0"} == {0, 7, 14, *[r["doc_id"] for r in rows if r["qid"] == "0"]}
